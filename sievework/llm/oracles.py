@@ -44,3 +44,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR 2 * length(regexp_replace(t, '[^\\p{Lu}]', '', 'g')) > word_chars) AS kept
 FROM b
 """
+
+#: Base32 of the SHA-1's 160 bits, five at a time.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT p.page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ('0b' || substr(unhex(p.h)::BIT::VARCHAR, 5 * i + 1, 5))::INT, 1)), '') AS payload_digest,
+  CASE WHEN p.page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN p.page_id > first THEN first END AS refers_to
+FROM p JOIN g ON p.h = g.h
+"""

@@ -1,10 +1,15 @@
 """Queries of this subpackage by name, and the SQL that gives the same rows where SQL can express them."""
 
-from . import mixing, quality_rules
-from .oracles import MIXING, QUALITY_RULES
+from . import bpe, language_id, mixing, mpeg_audio, quality_rules, token_counts, warc
+from .oracles import MIXING, QUALITY_RULES, WARC
 
 QUERIES = {
+    "op1_token_counts": token_counts.query,
     "op3_mixing": mixing.query,
+    "op4_warc": warc.query,
+    "op6_language_id": language_id.query,
+    "op7_mpeg_audio": mpeg_audio.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_bpe": bpe.query,
 }
-ORACLES = {"op3_mixing": MIXING, "op9_quality_rules": QUALITY_RULES}
+ORACLES = {"op3_mixing": MIXING, "op4_warc": WARC, "op9_quality_rules": QUALITY_RULES}
