@@ -1 +1,48 @@
-run = None
+"""A corpus from raw documents to token ids, in five stages; each takes what the one before it kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievework.llm import bpe, mixing, near_duplicates, quality_rules, substring_dedup
+from sievework.llm.common import documents, shared_dir, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality_rules.keep(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id."""
+    return near_duplicates.deduplicated(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 20 words and more that stand earlier in the corpus."""
+    out = substring_dedup.without_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns) if "n_chars" in docs.columns else out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, each as often as its source's target asks."""
+    return mixing.mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and token_ids of each document."""
+    return bpe.encode(docs).select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids")
+
+
+STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("substring_dedup", substrings), ("mixing", mix), ("bpe", tokens)]
+#: SQL can't express the tokenizer; tests/llm holds the stages against brute force instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents of ``sf_dir``; what each stage gives is written and read again."""
+    docs, folder = documents(spark, sf_dir), shared_dir(spark)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), folder, name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -78,18 +78,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS, schedules=
     copies counts how often the whole document stands in the mix, the cut copy being one if half of it is taken.
     """
     more = carry or {}
-    d = docs.select("doc_id", "source", F.size(words_of(text_of())).cast("long").alias("size"), order_hash(seed).alias("h"), *[c.alias(k) for k, c in more.items()])
+    d = docs.select("doc_id", "source", F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), F.size(words_of(text_of())).cast("long").alias("size"), order_hash(seed).alias("h"), *[c.alias(k) for k, c in more.items()])
     if not more:  # few bytes a row: the texts are then read once
         d = written(d, shared_dir(docs.sparkSession), "sizes")
     bits = max(0, (-(-docs.count() // range_rows) - 1).bit_length())
-    part = F.shiftright(F.col("h"), 60 - bits) if bits else F.lit(0)
-    d = d.withColumn("part", part.cast("long"))
-    ranges = d.groupBy("source", "part").agg(F.count("*").alias("part_rows"), F.sum("size").alias("part_size"))
-    goal = targets(ranges.groupBy("source").agg(F.sum("part_rows").alias("rows"), F.sum("part_size").alias("source_size")), weights, most)
-    ranges = ranges.withColumn("before", F.sum("part_size").over(Window.partitionBy("source").orderBy("part")) - F.col("part_size"))
-    ranges = ranges.alias("r").join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).select("r.source", "part", "before", "source_size", "target", "k")
-    d = d.alias("d").join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.part") == F.col("r.part"))).select("d.*", "before", "source_size", "target", "k")
-    inside = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size")
+    d = d.withColumn("part", F.shiftright(F.col("h"), 60 - bits).cast("long"))
+    ranges = d.groupBy("name", "unnamed", "part").agg(F.count("*").alias("part_rows"), F.sum("size").alias("part_size"))
+    per_source = ranges.groupBy("name", "unnamed").agg(F.sum("part_rows").alias("rows"), F.sum("part_size").alias("source_size"))
+    goal = targets(per_source.withColumn("source", F.when(~F.col("unnamed"), F.col("name"))), weights, most)
+    goal = goal.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), "source_size", "target", "k")
+    ranges = ranges.withColumn("before", F.sum("part_size").over(Window.partitionBy("name", "unnamed").orderBy("part")) - F.col("part_size"))
+    d = d.join(ranges.join(goal, ["name", "unnamed"]).drop("part_rows", "part_size"), ["name", "unnamed", "part"])
+    inside = Window.partitionBy("name", "unnamed", "part").orderBy("h", "doc_id", "size")
     d = d.withColumn("a", F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     d = d.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     rest = F.floor(F.col("target")).cast("long") - F.col("whole") * F.col("source_size") - F.col("a")

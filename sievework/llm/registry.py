@@ -1,14 +1,17 @@
 """Queries of this subpackage by name, and the SQL that gives the same rows where SQL can express them."""
 
-from . import bpe, language_id, mixing, mpeg_audio, quality_rules, token_counts, warc
+from . import bpe, language_id, mixing, mpeg_audio, near_duplicates, quality_classifier, quality_rules, substring_dedup, token_counts, warc
 from .oracles import MIXING, QUALITY_RULES, WARC
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
+    "op2_substring_dedup": substring_dedup.query,
     "op3_mixing": mixing.query,
     "op4_warc": warc.query,
+    "op5_quality_classifier": quality_classifier.query,
     "op6_language_id": language_id.query,
     "op7_mpeg_audio": mpeg_audio.query,
+    "op8_near_duplicates": near_duplicates.query,
     "op9_quality_rules": quality_rules.query,
     "op10_bpe": bpe.query,
 }
