@@ -192,7 +192,7 @@ def bare_price(text: str) -> bool:
     if t[0] in CURRENCY:
         return True
     plain = all(c.isalpha() or c in "0123456789" or c.isspace() or c in CURRENCY or c in SEPARATORS for c in t)
-    return plain and all(w.lower().rstrip("s") in UNITS for w in re.split(r"[^^\W\d_]+|[\W\d_]+", t) if w)
+    return plain and all(w.lower().rstrip("s") in UNITS for w in re.findall(r"[^\W\d_]+", t))
 
 
 # Blocks
