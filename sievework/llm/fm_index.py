@@ -54,12 +54,11 @@ class FMIndex:
     """
 
     def __init__(self, text: np.ndarray, sigma: int, longest: int):
-        n, reach = len(text), 1
+        reach = 1
         rank = text.astype(np.int64)
         while reach < longest + 1:
-            nxt = np.zeros(n, np.int64)
-            nxt[: max(0, n - reach)] = rank[reach:] + 1
-            rank = np.unique(rank * (int(rank.max()) + 2) + nxt, return_inverse=True)[1].reshape(-1)
+            nxt = np.roll(rank, -reach)  # the text as a ring, as the transform has it; patterns without 0 never go round
+            rank = np.unique(rank * (int(rank.max()) + 1) + nxt, return_inverse=True)[1].reshape(-1)
             reach *= 2
         self.suffixes = np.argsort(rank, kind="stable")
         self.bwt = WaveletMatrix(text[self.suffixes - 1], sigma)
