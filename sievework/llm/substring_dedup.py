@@ -77,7 +77,12 @@ def anchored_twice(h: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: n
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("_raw", F.col("text").cast("string").cast("binary"))
+    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
+
+
+def raw(d: DataFrame) -> DataFrame:
+    """Adds the text's bytes, after the exchanges: these carry each text once."""
+    return d.withColumn("_raw", F.col("text").cast("string").cast("binary"))
 
 
 def anchors(d: DataFrame) -> DataFrame:
@@ -93,7 +98,8 @@ def anchors(d: DataFrame) -> DataFrame:
                 text, anchor, own = text[rows], anchor[rows], own[rows]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(own.view(np.int64)), ids.take(pa.array(text + lo))], names=["anchor", "seg", "id"])
 
-    return d.select("_id", "_raw").mapInArrow(run, "anchor bigint, seg bigint, id bigint")
+    found = raw(d).select("_id", "_raw").mapInArrow(run, "anchor bigint, seg bigint, id bigint")
+    return found.where("anchor IS NOT NULL AND seg IS NOT NULL AND id IS NOT NULL")  # as joins would add: one exchange then serves all
 
 
 def contents(d: DataFrame) -> DataFrame:
@@ -188,17 +194,16 @@ def search(content: DataFrame) -> DataFrame:
 def marked(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, _id and _raw, and what of the text is repeated: full (segment hashes), part (word ranges)."""
     d = keyed(docs)
-    text = keyed(docs.select("doc_id", "text")).select("_id", "_raw")
-    all_ = anchors(text)
+    all_ = anchors(keyed(docs.select("doc_id", "text")))
     shared = all_.groupBy("anchor").count().where("count > 1").select("anchor")
     rows = all_.join(shared, "anchor", "left_semi")
     distinct = rows.groupBy("anchor", "seg").agg(F.min("id").alias("first"))
     wanted = distinct.groupBy(F.col("first").alias("_id")).agg(F.collect_list("seg").alias("segs"))
-    part = search(contents(d.join(wanted, "_id").select(*d.columns, "segs")))
+    part = search(contents(raw(d.join(wanted, "_id").select(*d.columns, "segs"))))
     full = rows.join(distinct, ["anchor", "seg"]).where("id <> first").select("id", "seg")
     both = full.select("id", "seg", F.lit(None).cast("struct<a:bigint,b:bigint>").alias("part")).union(part.select("id", F.lit(None).cast("bigint").alias("seg"), F.struct("a", "b").alias("part")))
     found = both.groupBy(F.col("id").alias("_id")).agg(F.collect_list("seg").alias("full"), F.collect_list("part").alias("part"))
-    return d.join(found, "_id", "left").select(*d.columns, "full", "part")
+    return raw(d.join(found, "_id", "left").select(*d.columns, "full", "part"))
 
 
 def kept_words(texts: list[bytes], full: list, part: list):
