@@ -234,7 +234,8 @@ def confirm(members: DataFrame, keys: tuple[str, ...], hubs_only: bool) -> DataF
 
 def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``members`` (cls, fp, ...) with their shingles, computed anew from the texts of documents cls."""
-    d = docs.select(F.col("doc_id").alias("cls"), F.col("text").cast("string").cast("binary").alias("text")).join(members, "cls")
+    d = docs.select(F.col("doc_id").alias("cls"), F.col("text").cast("string").cast("binary").alias("text"))
+    d = d.join(members.hint("merge"), "cls")  # the same exchange at every size
     rest = [c for c in d.columns if c not in ("text", "fp")]
     kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in rest)
 
@@ -300,7 +301,7 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, leaf: int = LEAF, block
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with all their columns."""
     lost = near_duplicates(docs, **how).where("NOT kept").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(lost.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
