@@ -35,7 +35,8 @@ def stems(text: Column) -> Column:
 
 def overlap(question: Column, text: Column) -> Column:
     """How many words of the question share their first five letters with a word of the text."""
-    return F.size(F.filter(stems(question), lambda s: F.array_contains(stems(text), s)))
+    # the text's stems are bound once for a row, as the array's one element
+    return F.element_at(F.transform(F.array(stems(text)), lambda t: F.size(F.filter(stems(question), lambda s: F.array_contains(t, s)))), 1)
 
 
 def most_relevant(links: DataFrame, by, score: str, cap: int) -> DataFrame:

@@ -59,6 +59,17 @@ def nested_vote(spans: DataFrame, by, limit_rows: str | None = None) -> DataFram
     return voted.groupBy(*own).agg(F.sum("p2").alias("_more")).withColumn("share", F.least(F.lit(1.0), F.floor((F.col("p") + F.coalesce("_more", F.lit(0.0))) * 100 + 0.5) / 100)).drop("_more")
 
 
+def best_with_vote(spans: DataFrame, by, within: str = "block") -> DataFrame:
+    """The best span of each group as :func:`ranked` orders them, with ``share`` as in :func:`nested_vote`, in one pass over
+    the group: the winner is spread over its window, and the spans nested with it are summed there."""
+    keys = names(by)
+    w = Window.partitionBy(*keys)
+    d = ranked(spans, keys, "_rank").withColumn("_w", F.max(F.when(F.col("_rank") == 1, F.struct(within, "start", "end"))).over(w))
+    holds = (F.col("start") <= F.col("_w.start")) & (F.col("end") >= F.col("_w.end")) | (F.col("start") >= F.col("_w.start")) & (F.col("end") <= F.col("_w.end"))
+    d = d.withColumn("_sum", F.sum(F.when((F.col(within) == F.col(f"_w.{within}")) & holds, F.col("p"))).over(w)).where("_rank = 1")
+    return d.withColumn("share", F.least(F.lit(1.0), F.floor(F.col("_sum") * 100 + 0.5) / 100)).drop("_rank", "_w", "_sum")
+
+
 def inside(spans: DataFrame, winners: DataFrame, by) -> DataFrame:
     """Spans strictly inside their group's winner (start, end)."""
     keys = names(by)

@@ -50,8 +50,7 @@ def precise(pages: DataFrame, question: str, threshold: float = 0.2, scorer=None
     best = select.top_k(scored, "page_id", PRECISE_BLOCKS, FLOOR).select("page_id", "page_url", "i", "kind", "text")
     found = spans.spans(best).withColumn("said", F.coalesce("label", "text"))
     ranked = s.score(found, "said") if isinstance(s, LexicalScorer) else s.score(found)
-    voted = select.nested_vote(ranked, ["page_id", "block"])
-    top = select.first_of(select.ranked(voted.where(F.col("p") >= threshold), "page_id"), "page_id", [F.col("rank")])
+    top = select.best_with_vote(ranked, "page_id").where(F.col("p") >= threshold)
     link = F.udf(lambda u, t, a, b: spans.fragment_link(u or "", t, (a, b)), "string")
     blocks = best.select("page_id", F.col("i").alias("block"), "page_url", F.col("text").alias("quote"))
     return top.join(blocks, ["page_id", "block"]).select("page_id", F.col("text").alias("answer"), "p", "share", "block", "start", "end", link("page_url", "quote", "start", "end").alias("link"))

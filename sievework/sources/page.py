@@ -795,7 +795,13 @@ def extract_pages(pages: DataFrame, parts: list[str] | None = None) -> DataFrame
                 rows = [{"page_id": i, "url": u, **{k: v for k, v in read_page(h or "", u or "").items() if k in schema.names}} for i, u, h in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, out)
+    return spread(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")).mapInArrow(run, out)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer partitions, as from one small file; a larger input is left as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def child(pages: DataFrame, name: str) -> DataFrame:
