@@ -25,8 +25,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3.0
 #: Schedules by weight class, as (time, rate) knots joined by lines: heavy sources early, light ones late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (0.5, 1.0), (1.0, 1.75)))
-#: Rows of a source that one range of hashes should hold.
-RANGE_ROWS = 20_000
+#: Rows that one range of hashes holds at most, about, should all be of one source.
+RANGE_ROWS = 2_500
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
