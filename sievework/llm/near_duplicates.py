@@ -185,7 +185,7 @@ def candidates(classes: DataFrame, folder: str, trees: int = TREES, leaf: int =
             return edges
         depth += 1
         if depth > DEEPEST:
-            parts = large.withColumn("part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / leaf)))
+            parts = large.withColumn("part", F.pmod(F.xxhash64("key", "cls"), F.ceil(F.col("size") / leaf)))
             heads = parts.where("cls = head").select("key", "cls", "sig", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / leaf) - 1)).alias("part"))
             return edges.union(may_link(parts.select("key", "cls", "sig", "part").union(heads), ("key", "part")))
         nodes = written(deeper(large), folder, f"nodes-{depth}")
