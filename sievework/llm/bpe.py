@@ -29,6 +29,8 @@ from .common import documents, text_of
 #: The tokenizer's split, in Java's syntax, for Unicode classes. Fixed value of the vocabulary's format.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED_WORDS = 200_000
+#: Columns in flight, by names that no table has.
+TEXT, WORDS = "__sievework_text", "__sievework_words"
 BATCH_ROWS = 500
 
 
@@ -100,18 +102,18 @@ class Words:
 
 
 def split(docs: DataFrame, path: str) -> DataFrame:
-    """Adds _words, the words of the text, or null where the tokenizer has to read the whole text, which is then in _text."""
+    """Adds WORDS, the words of the text, or null where the tokenizer has to read the whole text, which is then in TEXT."""
     t = text_of()
     hard = t.rlike(r"\p{Cn}")
     for token in added_tokens(path):
         hard = hard | t.contains(token)
-    return docs.withColumn("_text", F.when(hard, t)).withColumn("_words", F.when(~hard, F.regexp_extract_all(t, F.lit(PATTERN), 0)))
+    return docs.withColumn(TEXT, F.when(hard, t)).withColumn(WORDS, F.when(~hard, F.regexp_extract_all(t, F.lit(PATTERN), 0)))
 
 
 def encoded(docs: DataFrame, per_row, fields: str, path: str | None = None, carry=("doc_id",)) -> DataFrame:
     """``carry`` and the ``fields`` that ``per_row(ids, pieces)`` gives as a tuple for each row's ids (an array of unsigned 32-bit numbers)."""
     path = path or vocabulary_path()
-    d = split(docs, path).select(*[F.col(f"`{c}`") for c in carry], "_text", "_words")
+    d = split(docs, path).select(*[F.col(f"`{c}`") for c in carry], TEXT, WORDS)
     kept = docs.select(*[F.col(f"`{c}`") for c in carry]).schema
     added = docs.sparkSession.createDataFrame([], fields).schema
     names = added.names
@@ -124,9 +126,9 @@ def encoded(docs: DataFrame, per_row, fields: str, path: str | None = None, carr
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 b = whole.slice(at, BATCH_ROWS)
-                ids, row = table.batch(b.column("_words"))
+                ids, row = table.batch(b.column(WORDS))
                 out = []
-                for i, text in enumerate(b.column("_text").to_pylist()):
+                for i, text in enumerate(b.column(TEXT).to_pylist()):
                     own = ids[row[i] : row[i + 1]] if text is None else np.array(table.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                     out.append(per_row(own, known))
                 cols = [pa.array([r[k] for r in out], schema.field(n).type) for k, n in enumerate(names)]
@@ -136,8 +138,8 @@ def encoded(docs: DataFrame, per_row, fields: str, path: str | None = None, carr
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """All columns of ``docs`` and ``token_ids``, an array of integers."""
-    keep = [c for c in docs.columns if c not in ("token_ids", "_text", "_words")]
+    """All columns of ``docs`` and ``token_ids``, an array of integers, in place of a column of that name."""
+    keep = [c for c in docs.columns if c.lower() != "token_ids"]
     return encoded(docs, lambda ids, _: (ids.astype(np.int32),), "token_ids array<int>", path, keep)
 
 

@@ -12,7 +12,9 @@ and each word that a repeat covers is removed. The input is cut so that equal wi
    all its occurrences, whose earliest place decides. A window that only one segment has is left early.
 4. Each document gets its repeats and drops the words they cover.
 
-A task cuts its segments into shards of about SHARD words by anchor, so an index stays small whatever the partition holds.
+A task reads its segments in order of anchor and cuts them into shards of about SHARD words, so an index stays small whatever
+the partition holds. An anchor with over HOT occurrences is split: each of its segments is indexed in one of its parts and
+streams past all of them, in pieces, so neither an index nor what a task holds grows with the anchor.
 
 Words are compared by a 64-bit hash, segments by one of theirs. Edge cases: null and blank texts have no words; a text below
 WINDOW words keeps all; a null id is the smallest; rows that share an id count as one document, so a row doesn't make its own
@@ -29,13 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents
 from .fm_index import FMIndex
 from .word_hashes import U, blocks, mixed, powers, windows, words
 
 WINDOW, GRAM = 20, 6
-SHARD = 1_000_000
+SHARD, HOT = 1_000_000, 40_000
 NO_ID = -(1 << 63)
 
 
@@ -77,7 +80,9 @@ def anchored_twice(h: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: n
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
+    """(_id, text, doc_id, row) of ``docs``: row holds the columns other than the text, so that no name of theirs can clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_id"), "text", row.alias("row"))
 
 
 def raw(d: DataFrame) -> DataFrame:
@@ -103,7 +108,10 @@ def anchors(d: DataFrame) -> DataFrame:
 
 
 def contents(d: DataFrame) -> DataFrame:
-    """(anchor, id, start, body): the first segment of each hash in ``segs`` in each row of (_id, _raw, segs)."""
+    """(anchor, part, indexed, id, start, body): the first segment of each hash in ``segs`` in each row of (_id, _raw, segs).
+
+    One row for a segment of one part; else one for each part, indexed in the part that its hash names.
+    """
 
     def run(batches):
         for b in batches:
@@ -112,25 +120,30 @@ def contents(d: DataFrame) -> DataFrame:
                 h, first, after, at = words(texts)
                 text, start, size, anchor, own = segments(h, at)
                 joined = b" ".join([b"", *texts, b""])
-                rows = ([], [], [], [])
+                rows = ([], [], [], [], [], [])
                 bounds = np.searchsorted(text, np.arange(len(texts) + 1))
                 for i in range(len(texts)):
                     a, z = bounds[i], bounds[i + 1]
-                    want = np.array(wanted[lo + i].values.to_numpy(), np.int64).view(U)
+                    value = wanted[lo + i].values
+                    want, parts = np.array(value.field("seg").to_numpy(), np.int64).view(U), np.array(value.field("parts").to_numpy(), np.int64)
                     kinds, place = np.unique(own[a:z], return_index=True)
-                    for k in place[np.isin(kinds, want)] + a:
+                    by = np.argsort(want)
+                    hit = np.minimum(np.searchsorted(want[by], kinds), len(by) - 1)
+                    found = np.flatnonzero(want[by][hit] == kinds)
+                    for k, n in zip((place[found] + a).tolist(), parts[by][hit[found]].tolist(), strict=True):
                         s, e = start[k], start[k] + size[k]
-                        rows[0].append(anchor[k])
-                        rows[1].append(ids[lo + i].as_py())
-                        rows[2].append(s - at[i])
-                        rows[3].append(b" ".join(joined[first[s] : after[e - 1]].split()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(rows[0], U).view(np.int64)), pa.array(rows[1], pa.int64()), pa.array(np.array(rows[2], np.int64)), pa.array(rows[3], pa.binary())], names=["anchor", "id", "start", "body"])
+                        body = b" ".join(joined[first[s] : after[e - 1]].split())
+                        home = int(own[k]) % n
+                        for part in range(n):
+                            for col, v in zip(rows, (anchor[k], part, part == home, ids[lo + i].as_py(), s - at[i], body), strict=True):
+                                col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(rows[0], U).view(np.int64)), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.bool_()), pa.array(rows[3], pa.int64()), pa.array(np.array(rows[4], np.int64)), pa.array(rows[5], pa.binary())], names=["anchor", "part", "indexed", "id", "start", "body"])
 
-    return d.mapInArrow(run, "anchor bigint, id bigint, start bigint, body binary")
+    return d.mapInArrow(run, "anchor bigint, part int, indexed boolean, id bigint, start bigint, body binary")
 
 
-def repeats(ids: np.ndarray, starts: np.ndarray, bodies: list[bytes], window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """(id, first word, word after) of stretches of repeated windows in one shard's segments."""
+def repeats(ids: np.ndarray, starts: np.ndarray, bodies: list[bytes], indexed: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(id, first word, word after) of stretches of windows of the segments that start earlier in an ``indexed`` one."""
     h, _, _, at = words(bodies)
     n = np.diff(at)
     kinds, symbol = np.unique(h, return_inverse=True)
@@ -138,11 +151,12 @@ def repeats(ids: np.ndarray, starts: np.ndarray, bodies: list[bytes], window: in
     place = np.arange(len(h)) + segment  # a 0 after each segment
     text = np.zeros(len(h) + len(bodies), np.int64)
     text[place] = symbol.reshape(-1) + 1
-    index = FMIndex(text, len(kinds) + 1, window)
+    inside = np.repeat(indexed, n + 1)  # by position of the text
+    index = FMIndex(text[inside], len(kinds) + 1, window)
     offset = np.arange(len(h)) - at[segment]
     begins = np.flatnonzero(offset + window <= n[segment])
-    length, lo, hi = index.matches(text, place[begins] + window, window, alone=1)
-    many = np.flatnonzero((length == window) & (hi - lo > 1))
+    length, lo, hi = index.matches(text, place[begins] + window, window, alone=1 if indexed.all() else 0)
+    many = np.flatnonzero((length == window) & ((hi - lo > 1) | ~indexed[segment[begins]]))
     if not len(many):
         return []
     where = np.full(len(text), len(text), np.int64)  # rank of each position by (id, word); equal places rank equal
@@ -152,10 +166,8 @@ def repeats(ids: np.ndarray, starts: np.ndarray, bodies: list[bytes], window: in
     low, which = np.unique(lo[many], return_inverse=True)
     high = np.zeros(len(low), np.int64)
     high[which.reshape(-1)] = hi[many]
-    ordered = where[index.suffixes]
-    edges = np.stack([low, np.minimum(high, len(ordered) - 1)], axis=1).reshape(-1)
-    earliest = np.minimum.reduceat(ordered, edges)[0::2]
-    earliest = np.where(high == len(ordered), np.minimum(earliest, ordered[-1]), earliest)
+    ordered = np.append(where[inside][index.suffixes], len(text))  # one more, so that an interval's end is a place
+    earliest = np.minimum.reduceat(ordered, np.stack([low, high], axis=1).reshape(-1))[0::2]
     late = begins[many][earliest[which.reshape(-1)] < where[place[begins[many]]]]
     out = []
     for run in np.split(late, np.flatnonzero((np.diff(late) != 1) | (np.diff(segment[late]) != 0)) + 1):
@@ -166,41 +178,50 @@ def repeats(ids: np.ndarray, starts: np.ndarray, bodies: list[bytes], window: in
 
 
 def search(content: DataFrame) -> DataFrame:
-    """(id, a, b): the words from a to b of document id are covered by repeats, as the shards of (anchor, id, start, body) find."""
+    """(id, a, b): the words from a to b of document id are covered by repeats, as the shards of :func:`contents` find."""
+
+    def shard(t: pa.Table):
+        t = t.combine_chunks()
+        ids, starts, indexed = (np.array(t.column(c).to_numpy()) for c in ("id", "start", "indexed"))
+        found = repeats(ids, starts, t.column("body").to_pylist(), indexed.astype(bool))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(3)], names=["id", "a", "b"])
 
     def run(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        anchor, ids, starts = (np.array(t.column(c).to_numpy()) for c in ("anchor", "id", "start"))
-        body = t.column("body").combine_chunks() if t.column("body").num_chunks > 1 else t.column("body").chunk(0)
-        order = np.argsort(anchor, kind="stable")
-        size = np.cumsum(np.array([len(x.as_buffer()) for x in body], np.int64)[order] // 6)
-        lo = 0
-        while lo < len(order):
-            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SHARD, "right")))
-            while hi < len(order) and anchor[order[hi]] == anchor[order[hi - 1]]:
-                hi += 1
-            own = order[lo:hi]
-            found = repeats(ids[own], starts[own], [body[int(i)].as_buffer().to_pybytes() for i in own])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(3)], names=["id", "a", "b"])
-            lo = hi
-
-    return content.repartition("anchor").mapInArrow(run, "id bigint, a bigint, b bigint")
+        held, size = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            held, size = t if held is None else pa.concat_tables([held, t]), size + b.nbytes // 6
+            if size < SHARD:
+                continue
+            key = np.array(held.column("anchor").to_numpy()) ^ (np.array(held.column("part").to_numpy()).astype(np.int64) << 40)
+            cut = np.flatnonzero(key != key[-1])
+            cut = int(cut[-1]) + 1 if len(cut) else 0  # the last group may go on
+            if cut:
+                yield shard(held.slice(0, cut))
+                held = held.slice(cut)
+            elif size >= 4 * SHARD and not held.column("indexed")[held.num_rows - 1].as_py():
+                yield shard(held)  # more of one group: its indexed segments, which came first, stay
+                held = held.filter(held.column("indexed"))
+            size = held.nbytes // 6
+        if held is not None and held.num_rows:
+            yield shard(held)
+
+    order = ("anchor", "part")
+    return content.repartition(*order).sortWithinPartitions(*order, F.col("indexed").desc()).mapInArrow(run, "id bigint, a bigint, b bigint")
 
 
 def marked(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, _id and _raw, and what of the text is repeated: full (segment hashes), part (word ranges)."""
     d = keyed(docs)
     all_ = anchors(keyed(docs.select("doc_id", "text")))
-    shared = all_.groupBy("anchor").count().where("count > 1").select("anchor")
-    rows = all_.join(shared, "anchor", "left_semi")
-    distinct = rows.groupBy("anchor", "seg").agg(F.min("id").alias("first"))
-    wanted = distinct.groupBy(F.col("first").alias("_id")).agg(F.collect_list("seg").alias("segs"))
+    shared = all_.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    rows = all_.join(shared, "anchor")
+    distinct = rows.groupBy("anchor", "seg").agg(F.min("id").alias("first"), F.max("parts").alias("parts"))
+    wanted = distinct.groupBy(F.col("first").alias("_id")).agg(F.collect_list(F.struct("seg", "parts")).alias("segs"))
     part = search(contents(raw(d.join(wanted, "_id").select(*d.columns, "segs"))))
-    full = rows.join(distinct, ["anchor", "seg"]).where("id <> first").select("id", "seg")
+    full = rows.select("anchor", "seg", "id").join(distinct.select("anchor", "seg", "first"), ["anchor", "seg"]).where("id <> first").select("id", "seg")
     both = full.select("id", "seg", F.lit(None).cast("struct<a:bigint,b:bigint>").alias("part")).union(part.select("id", F.lit(None).cast("bigint").alias("seg"), F.struct("a", "b").alias("part")))
     found = both.groupBy(F.col("id").alias("_id")).agg(F.collect_list("seg").alias("full"), F.collect_list("part").alias("part"))
     return raw(d.join(found, "_id", "left").select(*d.columns, "full", "part"))
@@ -227,19 +248,22 @@ def kept_words(texts: list[bytes], full: list, part: list):
         yield t.split(), np.cumsum(steps[:-1]) == 0
 
 
-def rebuilt(docs: DataFrame, fields: str, kinds: list, per_row, keep: list[str]) -> DataFrame:
+def rebuilt(docs: DataFrame, fields: T.StructType, per_row) -> DataFrame:
+    """(row, text, the ``fields`` that ``per_row(words, kept)`` gives) for each row of ``docs``."""
     m = marked(docs)
-    names = [x.split()[0] for x in fields.split(", ")]
-    kept = ", ".join([f"`{c}` {m.schema[c].dataType.simpleString()}" for c in keep] + [fields])
+    out = T.StructType([m.schema["row"], m.schema["text"], *fields])
 
     def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in fields]
         for b in batches:
             for lo, texts in blocks(b.column("_raw")):
                 p = b.slice(lo, len(texts))
                 rows = [per_row(w, k) for w, k in kept_words(texts, p.column("full").to_pylist(), p.column("part").to_pylist())]
-                yield pa.RecordBatch.from_arrays([*[p.column(c) for c in keep], *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=[*keep, *names])
+                yield pa.RecordBatch.from_arrays([p.column("row"), p.column("text"), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=out.names)
 
-    return m.mapInArrow(run, kept)
+    return m.mapInArrow(run, out)
 
 
 def digest_row(w: list[bytes], keep: np.ndarray):
@@ -248,14 +272,16 @@ def digest_row(w: list[bytes], keep: np.ndarray):
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return rebuilt(docs.select("doc_id", "text"), "n_words bigint, n_removed bigint, kept_sha256 string", [pa.int64(), pa.int64(), pa.string()], digest_row, ["doc_id"])
+    """(doc_id, n_words, n_removed, kept_sha256) for each row."""
+    fields = T.StructType().add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_sha256", T.StringType())
+    return rebuilt(docs.select("doc_id", "text"), fields, digest_row).select("row.doc_id", *fields.names)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``; a text with repeats becomes its kept words joined by blanks, others stay as they are."""
-    cols = docs.columns
-    new = rebuilt(docs, "_text string", [pa.string()], lambda w, k: (None if k.all() else b" ".join(compress(w, k.tolist())).decode("utf-8", "replace"),), cols)
-    return new.select(*[F.coalesce("_text", F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in cols])
+    fields = T.StructType().add("new", T.StringType())
+    out = rebuilt(docs, fields, lambda w, k: (None if k.all() else b" ".join(compress(w, k.tolist())).decode("utf-8", "replace"),))
+    return out.select(*[F.coalesce("new", "text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

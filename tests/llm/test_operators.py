@@ -99,8 +99,9 @@ def test_wavelet_matrix_rank():
         assert (m.rank(np.full(501, c), at) == np.concatenate(([0], np.cumsum(x == c)))).all()
 
 
-@pytest.mark.parametrize("shard", [1_000_000, 40])
-def test_substring_dedup_equals_brute_force(docs, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "hot"), [(1_000_000, 40_000), (40, 40_000), (1_000_000, 2), (30, 1)])
+def test_substring_dedup_equals_brute_force(docs, monkeypatch, shard, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     monkeypatch.setattr(substring_dedup, "SHARD", shard)
     got = as_dict(substring_dedup.digests(docs), "n_words", "n_removed", "kept_sha256")
     for i, (w, keep) in brute.without_repeats(enumerate(corpus())).items():
@@ -132,6 +133,17 @@ def test_large_groups_are_linked_through_hubs(spark):
     assert as_dict(near_duplicates.near_duplicates(df, block=300, leaf=8), "n_shingles", "component_id", "kept") == brute.near_duplicates(rows)
 
 
+def test_extra_columns_that_clash(docs):
+    names = ["_id", "row", "seg", "segs", "full", "part", "new", "_raw", "size", "h", "k", "a", "name", "unnamed", "position", "fp", "cls", "n", "kept", "t", "m", "token_ids", "before", "target", "copies", "component_id", "id", "with space", "Rank"]
+    odd = docs.where("doc_id > 3").select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    for operator in (substring_dedup.without_repeats, near_duplicates.deduplicated, quality_rules.keep, mixing.mixed_documents):
+        out = operator(odd)
+        assert out.columns == odd.columns and all(r[c] == i for r in out.collect() for i, c in enumerate(names))
+    assert set(bpe.encode(odd).columns) == set(odd.columns)
+    for operator in (substring_dedup.digests, near_duplicates.near_duplicates, quality_rules.judge, mixing.mix, token_counts.token_counts, bpe.digest_columns, quality_classifier.document_statistics, mpeg_audio.with_media):
+        assert operator(odd).count() == odd.count()
+
+
 def test_deduplicated_keeps_columns(docs):
     kept = near_duplicates.deduplicated(docs)
     assert kept.columns == docs.columns and {r[0] for r in kept.select("doc_id").collect()} == {i for i, x in brute.near_duplicates(enumerate(corpus())).items() if x[2]}
