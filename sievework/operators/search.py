@@ -42,6 +42,27 @@ def follow(edges: DataFrame, scores: DataFrame, start: str, most: int = 5, bar:
     return spark.createDataFrame(read, "step int, url string, path array<string>, lead double, p double, found boolean")
 
 
+def side_by_side(leads: DataFrame, choices: DataFrame, cap: int = SHORTLIST) -> DataFrame:
+    """The best leads (url, lead) in the order of a choice among them (url, p); those it does not name come last, as they were."""
+    best = leads.orderBy(F.col("lead").desc(), "url").limit(cap)
+    return best.join(choices.groupBy("url").agg(F.max("p").alias("choice")), "url", "left").orderBy(F.col("choice").desc_nulls_last(), F.col("lead").desc(), "url")
+
+
+def hints(listed: DataFrame, start: str, start_p: float = 0.3, cap: int = 300) -> DataFrame:
+    """Listed pages (url, p) as first leads; the start page comes first and counts ``start_p`` at least."""
+    d = listed.withColumn("first", F.col("url") == start).withColumn("p", F.when(F.col("first"), F.greatest("p", F.lit(start_p))).otherwise(F.col("p")))
+    return d.orderBy(F.col("first").desc(), F.col("p").desc(), "url").limit(cap)
+
+
+def second_pass(read: DataFrame, edges: DataFrame, scores: DataFrame, more: DataFrame, start: str, extra: int = 3, **how) -> DataFrame:
+    """``read`` as it is if something was found, else with up to ``extra`` pages that a site's own search gives (dst, p, pos)."""
+    if not read.where("found").isEmpty():
+        return read
+    again = follow(edges.where("false").unionByName(more.select(F.lit(start).alias("src"), "dst", "p", "pos")), scores, start, extra + 1, **how)
+    new = again.join(read.select("url"), "url", "left_anti")
+    return read.unionByName(new.withColumn("step", F.col("step") + F.lit(read.agg(F.max("step")).first()[0] or 0)))
+
+
 def concluded(read: DataFrame) -> DataFrame:
     """The answer's row: the best found page by p times lead, else the closest one."""
     return read.withColumn("rank", F.col("p") * F.col("lead")).orderBy(F.col("found").desc(), F.when(F.col("found"), F.col("rank")).otherwise(F.col("p")).desc(), "url").limit(1)

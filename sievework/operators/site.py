@@ -148,6 +148,36 @@ def path_language(url: Column) -> Column:
     return F.when(F.substring_index(first, "-", 1).isin(*PATH_LANGUAGES) & first.rlike("^[a-z]{2}(-[a-z]{2})?$"), canonical(first))
 
 
+def file_locale(url: Column) -> Column:
+    """The language and region that two neighbouring parts of an address's last segment name (``sitemap-de-at.xml``); null without."""
+    last = F.lower(F.element_at(F.concat(F.array(F.lit("")), urls.segments(url)), -1))
+    found = F.regexp_extract(last, r"(?:^|[-_.])(" + "|".join(PATH_LANGUAGES) + r")[-_.]([a-z]{2})(?:[-_.]|$)", 0)
+    return F.when(found != "", canonical(F.regexp_replace(F.regexp_replace(found, "^[-_.]|[-_.]$", ""), "[_.]", "-")))
+
+
+def url_locale(url: Column) -> Column:
+    return F.coalesce(file_locale(url), path_language(url))
+
+
+def market_rank(locale: Column, country: str | None, languages: list[str]) -> Column:
+    """0 the market's country in one of its languages, 1 its country, 2 anything else."""
+    there = F.coalesce(region(locale) == F.lit((country or "").upper()), F.lit(False))
+    return F.when(there & language(locale).isin(*languages), 0).when(there, 1).otherwise(2)
+
+
+def declares_other_country(url: Column, country: str, own_language: str | None = None) -> Column:
+    """Whether an address names another country, or a language at home in another that is not the reader's."""
+    tag = path_language(url)
+    by_language = (language(tag) != F.lit(own_language or "")) & (likely_region(language(tag)) != country)
+    return F.coalesce(F.when(region(tag).isNotNull(), region(tag) != country.upper()).otherwise(by_language), F.lit(False))
+
+
+def other_language_links(links: DataFrame, by, refused: Column) -> DataFrame:
+    """Keys of links (url, hreflang) whose declared language is refused."""
+    d = links.withColumn("tag", canonical(F.col("hreflang"))).where("tag IS NOT NULL").where(refused)
+    return d.select(*names(by), urls.key(F.col("url")).alias("key")).distinct()
+
+
 def likely_region(lang: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in LIKELY_REGION.items() for x in kv]), lang)
 

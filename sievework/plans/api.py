@@ -72,6 +72,43 @@ def images(pages: DataFrame, question: str | None = None, k: int = 12, threshold
     return pictures.keep(scored, "page_id", threshold, k).select("page_id", "i", "url", "alt", "caption", "p")
 
 
+def with_link(answers: DataFrame, pages: DataFrame, question: str, bar: float = 0.5) -> DataFrame:
+    """Answers with the page's best link to what the question names, null below the bar."""
+    from ..operators.render import decorated
+
+    best = links(pages, question, 1, bar).select("page_id", "url", "text", "p")
+    return decorated(answers, "page_id", "page_link", best)
+
+
+def with_image(answers: DataFrame, pages: DataFrame, question: str) -> DataFrame:
+    """Answers with the best image of their page, by its words."""
+    from ..operators.render import decorated
+
+    return decorated(answers, "page_id", "image", images(pages, question, 1, 0.0).select("page_id", "url", "alt", "caption", "p"))
+
+
+def attached_images(pages: DataFrame) -> DataFrame:
+    """(page_id, i_image, i_block): which block each image belongs to."""
+    p = extract_pages(pages, ["images", "blocks"])
+    return pictures.attach(child(p, "images"), child(p, "blocks"))
+
+
+def values(pages: DataFrame) -> DataFrame:
+    """(page_id, i, text): values that a page states in its structured data only, for answers that its text lacks."""
+    p = extract_pages(pages, ["values"])
+    return p.select("page_id", F.posexplode("values").alias("i", "text"))
+
+
+def next_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, next): a list's next page: declared, else by number, else by step."""
+    from ..operators import paging
+
+    p = extract_pages(pages, ["rel_next", "site_links"])
+    site = child(p, "site_links")
+    d = p.select("page_id", "rel_next").join(paging.numbered_next(site).withColumnRenamed("next", "_n"), "page_id", "left").join(paging.stepped_next(site).withColumnRenamed("next", "_s"), "page_id", "left")
+    return d.select("page_id", F.coalesce("rel_next", "_n", "_s").alias("next")).where("next IS NOT NULL")
+
+
 def sources(pages: DataFrame) -> DataFrame:
     """The largest lists in each page's data."""
     return structured.page_lists(extract_pages(pages, ["data"]))

@@ -239,6 +239,7 @@ class Reader:
         self.end_run()
         out = join_short(self.blocks)
         n = 0
+        out += [{"kind": "para", "text": t, "links": [], "list": None} for t in variants(self.root)]
         for i, b in enumerate(out):
             b["i"] = i
             if b.get("record"):
@@ -467,7 +468,7 @@ def images(r: Reader, photos: list[str]) -> list[dict]:
     def pixels(v: str | None) -> int | None:
         return int(v) if v and re.fullmatch(r"\d+", v.strip()) else None
 
-    def add(src: str | None, alt="", caption="", width=None, height=None, preview=None) -> None:
+    def add(src: str | None, alt="", caption="", width=None, height=None, preview=None, card="") -> None:
         url = urls.join(r.base, src)
         if url is None or urls.bare(url).partition("?")[0] == urls.bare(r.page).partition("?")[0]:
             return
@@ -478,11 +479,11 @@ def images(r: Reader, photos: list[str]) -> list[dict]:
         same = (stem, url.partition("?")[2]) if ext.lower() in FORMATS else url
         for old in out:
             if old["url"] == url or old["same"] == same:
-                old["alt"], old["caption"] = old["alt"] or alt, old["caption"] or caption
+                old["alt"], old["caption"], old["card"] = old["alt"] or alt, old["caption"] or caption, old["card"] or card
                 old["width"] = width if old["width"] is None else old["width"]
                 old["height"] = height if old["height"] is None else old["height"]
                 return
-        out.append({"i": len(out), "url": url, "preview": urls.join(r.base, preview) or url, "alt": alt, "caption": caption, "width": width, "height": height, "same": same})
+        out.append({"i": len(out), "url": url, "preview": urls.join(r.base, preview) or url, "alt": alt, "caption": caption, "card": card, "width": width, "height": height, "same": same})
 
     for m in r.root.find("meta"):
         if m.get("property") == "og:image":
@@ -500,7 +501,7 @@ def images(r: Reader, photos: list[str]) -> list[dict]:
         small = min(((scale(d), u) for u, d in candidates((source or img).get("srcset") or "") if d.endswith("w") and scale(d) >= 320), default=(0, None))[1]
         figure = next((n for k, n in enumerate(img.up()) if k < 4 and n.tag == "figure"), None)
         title = next(figure.find("figcaption"), None) if figure is not None else None
-        add(best[0] if best else lazy or img.get("src"), collapse(img.get("alt") or ""), collapse(title.text()) if title is not None else "", pixels(img.get("width")), pixels(img.get("height")), small or lazy or img.get("src"))
+        add(best[0] if best else lazy or img.get("src"), collapse(img.get("alt") or ""), collapse(title.text()) if title is not None else "", pixels(img.get("width")), pixels(img.get("height")), small or lazy or img.get("src"), card_words(img, collapse(img.get("alt") or "")))
     return out
 
 
@@ -655,6 +656,100 @@ def photos(value) -> list[str]:
     return list(found)[: 40 if holders == 1 else 8]
 
 
+def json_ld_values(value) -> list[str]:
+    """Event dates, course durations and offer prices in JSON-LD, a sentence each, with the name of what holds them."""
+    fields = {"Event": ("startDate", "endDate"), "Course": ("duration",)}
+    out: dict[str, None] = {}
+
+    def said_of(v) -> str:
+        v = v.get("name") if isinstance(v, dict) else v
+        return (scalar(v) or "").strip() if not isinstance(v, bool) else ""
+
+    def visit(v, holder: str) -> None:
+        if isinstance(v, list):
+            for x in v:
+                visit(x, holder)
+        elif isinstance(v, dict):
+            name = said_of(v.get("name"))
+            types = v.get("@type")
+            for t in types if isinstance(types, list) else [types]:
+                parts = [f"{k} {said_of(v.get(k))}" for k in fields.get(t, ()) if said_of(v.get(k))] if isinstance(t, str) else []
+                if t == "Offer" and said_of(v.get("price")):
+                    parts = [f"price {said_of(v['price'])} {said_of(v.get('priceCurrency'))}".rstrip()]
+                if parts:
+                    out.setdefault(f"{t}{' ' + name if name else ''} (JSON-LD{', ' + holder if holder else ''}): {', '.join(parts)}.")
+            for k in sorted(v):
+                if k != "@type" and isinstance(v[k], (dict, list)):
+                    visit(v[k], name or holder)
+
+    visit(value, "")
+    return list(out)[:40]
+
+
+# What a form that buys says, what an option that chooses nothing begins with, names of amounts.
+CART = ("add to cart", "add to basket", "add to bag", "buy now", "add-to-cart", "add_to_cart", "/cart/add", "añadir al carrito", "añadir a la cesta", "comprar", "ajouter au panier", "in den warenkorb")
+NO_CHOICE = ("choose", "select", "please", "elige", "seleccion", "choisir")
+AMOUNTS = ("quantity", "qty", "quantité", "cantidad")
+
+
+def variants(root: Node) -> list[str]:
+    """Lines of the drop-downs of forms that buy: ``Name: chosen (other options: ...)``; none if over three forms have some."""
+    labels = {n.get("for"): collapse(n.text()) for n in root.find("label") if n.get("for")}
+    gone = frozenset("nav footer aside dialog template noscript".split())
+
+    def unseen(n: Node) -> bool:
+        return any(is_chrome(x) or x.marks["hidden"] or x.tag in gone for x in (n, *n.up()))
+
+    def buys(f: Node) -> bool:
+        says = lambda t: any(w in (t or "").lower() for w in CART)
+        return says(f.get("action")) or any(
+            n.tag == "input" and (n.get("name") in ("quantity", "qty") or says(n.get("name"))) or n.get("data-button-action") == "add-to-cart" or n.tag in ("button", "input") and any(map(says, (n.get("name"), n.get("value"), n.get("id"), n.text())))
+            for n in f.elements())
+
+    def line(f: Node, s: Node) -> str | None:
+        options: dict[str, bool] = {}
+        for o in s.find("option"):
+            t = collapse(o.text())
+            empty = not o.get("value").strip() if "value" in o.attrs else t.lstrip("- ").lower().startswith(NO_CHOICE)
+            if not empty and "disabled" not in o.attrs and t and len(t) <= 60:
+                options.setdefault(t, "selected" in o.attrs)
+        around = next((x for x in s.up() if x.tag == "label"), None)
+        label = labels.get(s.get("id")) if s.get("id") else None
+        label = label or (collapse(s.get("aria-label")) if s.get("aria-label") else None) or (collapse("".join(c for c in around.children if isinstance(c, str))) if around is not None else None)
+        if not 2 <= len(options) <= 30 or all(re.fullmatch(r"[0-9]+", t) for t in options) or any((x or "").lower().rstrip(":") in AMOUNTS for x in (s.get("name"), s.get("id"), label)):
+            return None
+        pick = next((t for t, on in options.items() if on), next(iter(options)))
+        return f"{label.rstrip(':') + ': ' if label else ''}{pick} (other options: {', '.join(t for t in options if t != pick)})"
+
+    out: dict[str, None] = {}
+    n = 0
+    for f in root.find("form"):
+        if unseen(f) or not buys(f):
+            continue
+        selects = [*f.find("select"), *(s for s in root.find("select") if f.get("id") and s.get("form") == f.get("id") and f not in s.up())]
+        found = [x for s in selects if not unseen(s) and (x := line(f, s))]
+        n += bool(found)
+        out.update(dict.fromkeys(found))
+    return [] if n > 3 else list(out)
+
+
+def card_words(img: Node, alt: str) -> str:
+    """What stands with an image: its title, then its link's text led by the link's one heading, or the one heading near by."""
+    def heading(n: Node) -> str | None:
+        found = list(n.find(*HEADINGS))
+        return collapse(inline(found[0])) if len(found) == 1 else None
+
+    words = [t for t in (collapse(img.get("title") or ""),) if t and t != alt]
+    link = next((n for n in img.up() if n.tag == "a"), None)
+    said = collapse(inline(link)) if link is not None else ""
+    if said:
+        head = heading(link)
+        around = [head, *(x for x in said.splitlines() if x != head)] if head else [said]
+    else:
+        around = [h for k, n in enumerate(img.up()) if k < 4 and (h := heading(n)) is not None][:1]
+    return "\n".join(dict.fromkeys([*words, *(x for x in around if x)]))[:200]
+
+
 # Declarations
 
 SIGILS = "!^$#%@"
@@ -743,8 +838,8 @@ VERSIONS = array(hreflang=STRING, url=STRING)
 PAGE = struct(
     title=STRING, lang=STRING, root=STRING, root_bytes=LONG, body_bytes=LONG,
     blocks=array(i=INT, kind=STRING, level=INT, lang=STRING, text=STRING, list=INT, href=STRING, record=INT, links=T.ArrayType(STRING)),
-    links=LINKS, site_links=LINKS, images=array(i=INT, url=STRING, preview=STRING, alt=STRING, caption=STRING, width=INT, height=INT),
-    data=array(name=STRING, value=STRING), things=T.ArrayType(STRING), alternates=VERSIONS, link_languages=VERSIONS, rel_next=STRING,
+    links=LINKS, site_links=LINKS, images=array(i=INT, url=STRING, preview=STRING, alt=STRING, caption=STRING, card=STRING, width=INT, height=INT),
+    data=array(name=STRING, value=STRING), things=T.ArrayType(STRING), values=T.ArrayType(STRING), alternates=VERSIONS, link_languages=VERSIONS, rel_next=STRING,
     forms=array(action=STRING, fields=array(name=STRING, kind=STRING, value=STRING)), chosen=T.ArrayType(STRING), app_shell=BOOL, placeholders=BOOL,
 )
 
@@ -766,7 +861,7 @@ def read_page(html: str, url: str) -> dict:
     mount = any(n.tag == "noscript" or n.get("id") in ("root", "app", "__next", "__nuxt") or "data-reactroot" in n.attrs or "ng-app" in n.attrs for n in root.elements())
     return {
         "title": title(root), "lang": declared_lang(root), "root": r.content.tag, "root_bytes": r.content.marks["size"], "body_bytes": body.marks["size"], "blocks": r.read(), "links": content_links(r), "site_links": site_links(r),
-        "images": images(r, [p for v in ld for p in photos(v)]), "data": [{"name": k, "value": json.dumps(v, ensure_ascii=False)} for k, v in data], "things": [t for v in ld for t in things(v)][:300],
+        "images": images(r, [p for v in ld for p in photos(v)]), "data": [{"name": k, "value": json.dumps(v, ensure_ascii=False)} for k, v in data], "things": [t for v in ld for t in things(v)][:300], "values": [t for v in ld for t in json_ld_values(v)][:40],
         "alternates": alternates(root, "link", base), "link_languages": alternates(root, "a", base), "rel_next": urls.bare(rel) if rel else None, "forms": forms(root, base), "chosen": chosen(root),
         "app_shell": script and (len(html.encode()) > 4096 or mount), "placeholders": sum(len(PLACEHOLDER.findall(s)) for s in seen) >= 2,
     }

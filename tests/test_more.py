@@ -139,3 +139,59 @@ def test_query_names_have_matching_columns(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and e.entry(spark).columns == ["page_id", "i", "kind", "level", "text", "p"]
+
+
+def test_json_ld_values():
+    from sievework.sources.page import json_ld_values
+
+    v = {"@graph": [{"@type": "Event", "name": "V", "startDate": "2027-06-16", "endDate": " ", "offers": [{"@type": "Offer", "price": 25, "priceCurrency": "EUR"}]}, {"@type": ["Course"], "duration": "P1D"}]}
+    assert json_ld_values(v) == ["Event V (JSON-LD): startDate 2027-06-16.", "Offer (JSON-LD, V): price 25 EUR.", "Course (JSON-LD): duration P1D."]
+
+
+def test_variants_of_buying_forms():
+    from sievework.sources.page import read_page
+
+    form = "<form action='/cart/add'><label for=s>Size:</label><select id=s><option>Choose one<option>M<option selected>L</select><select name=qty><option>a<option>b</select></form>"
+    assert [b["text"] for b in read_page(f"<main><p>{'word ' * 9}</p>{form}</main>", "http://h/")["blocks"]][-1] == "Size: L (other options: M)"
+    assert len(read_page(f"<main><p>{'word ' * 9}</p>{form * 4}</main>", "http://h/")["blocks"]) == 1
+
+
+def test_cards_of_images():
+    from sievework.sources.page import read_page
+
+    r = read_page('<main><a href="/x"><img src="/a.jpg" alt="a" title="T"><span>10 €</span><h3>Tea</h3></a><div><h2>Cup</h2><p><img src="/b.jpg"></p></div></main>', "http://h/")
+    assert [x["card"] for x in r["images"]] == ["T\nTea\n10 €", "Cup"]
+
+
+def test_next_page_declared_numbered_or_stepped(spark):
+    page = lambda links, head="": f"<head>{head}</head><main>{''.join(f'<a href={x}>x</a>' for x in links)}</main>"
+    rows_ = [(1, "http://h/l", page(["/l?page=2"], '<link rel=next href="/n">')), (2, "http://h/l?page=2", page(["/l?page=1", "/l?page=3"])), (3, "http://h/l", page(["/l?start=20", "/l?start=40"])), (4, "http://h/l", page(["/q"]))]
+    got = api.next_pages(spark.createDataFrame(rows_, "page_id bigint, url string, html string"))
+    assert rows(got, "page_id", "next") == [(1, "http://h/n"), (2, "http://h/l?page=3"), (3, "http://h/l?start=20")]
+
+
+def test_decorations_may_be_missing(pages):
+    base = api.ask(pages, "heat water green brew", k=1, threshold=0.5).where("p IS NOT NULL").select("page_id", "text")
+    r = api.with_image(api.with_link(base, pages, "how to brew green"), pages, "cup").first()
+    assert r["page_link"]["url"] == "http://tea.org/brew/green-tea" and r["image"]["alt"] == "green tea in a cup"
+    assert api.with_link(base, pages, "zebra stripes").first()["page_link"] is None
+
+
+def test_languages_of_addresses(spark):
+    from sievework.operators import site
+
+    d = spark.createDataFrame([("http://h/sitemap-de-at.xml",), ("http://h/fr/x",), ("http://h/en-gb/x",), ("http://h/x",)], "u string")
+    u = F.col("u")
+    assert [tuple(r) for r in d.select(site.url_locale(u), site.market_rank(site.url_locale(u), "AT", ["de"]), site.declares_other_country(u, "FR")).collect()] == [("de-AT", 0, False), ("fr", 2, False), ("en-GB", 2, True), (None, 2, False)]
+
+
+def test_second_pass_only_when_nothing_was_found(spark):
+    from sievework.operators import search
+
+    ensure_checkpoints(spark)
+    edges = spark.createDataFrame([("s", "a", 0.9, 0)], "src string, dst string, p double, pos int")
+    scores = spark.createDataFrame([("s", 0.0), ("a", 0.1), ("z", 0.9)], "url string, p double")
+    read = search.follow(edges, scores, "s", most=3)
+    more = spark.createDataFrame([("z", 0.8, 0)], "dst string, p double, pos int")
+    assert "z" in {r["url"] for r in search.second_pass(read, edges, scores, more, "s").collect()}
+    assert search.second_pass(read.withColumn("found", F.lit(True)), edges, scores, more, "s").count() == 2
