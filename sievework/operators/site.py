@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +47,16 @@ def robots_sitemaps(files: DataFrame, cap: int = 3) -> DataFrame:
     return first_of(one, "host", [F.col("line_no")], cap)
 
 
+def by_batch(f):
+    """A function of a text as a UDF over Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(f)
+
+    return run
+
+
 def normal_octets(text: str | None) -> str | None:
     """Unreserved octets plain, all others percent-encoded in upper case."""
     if text is None:
@@ -66,7 +77,7 @@ def allowed(pages: DataFrame, rules: DataFrame, page_key: str = "page_id") -> Da
 
     Patterns become regular expressions once a rule, paths their normal form once a page; the join is by host.
     """
-    octets, regex = F.udf(normal_octets, "string"), F.udf(pattern_regex, "string")
+    octets, regex = by_batch(normal_octets), by_batch(pattern_regex)
     path = F.concat(urls.path(F.col("url")), F.when(urls.query(F.col("url")) != "", F.concat(F.lit("?"), urls.query(F.col("url")))).otherwise(""))
     p = pages.select(page_key, urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("_path"), octets(path).alias("_octets"))
     r = rules.select("host", "allow", F.octet_length("pattern").alias("_len"), regex("pattern").alias("_regex"))

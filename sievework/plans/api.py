@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import images as pictures
 from ..operators import links as linking
@@ -43,6 +45,11 @@ def code(pages: DataFrame, question: str, k: int = CODE, threshold: float = 0.2,
     return chosen(pages, scorer or LexicalScorer(question), k, threshold, code=True)
 
 
+@F.pandas_udf(T.StringType())
+def fragment_links(url: pd.Series, text: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+    return pd.Series([spans.fragment_link(u or "", t, (a, b)) for u, t, a, b in zip(url, text, start, end, strict=True)], dtype=object)
+
+
 def precise(pages: DataFrame, question: str, threshold: float = 0.2, scorer=None) -> DataFrame:
     """(page_id, answer, p, share, block, start, end, link): each page's best span, its vote and a link to it."""
     s = scorer or LexicalScorer(question)
@@ -51,9 +58,8 @@ def precise(pages: DataFrame, question: str, threshold: float = 0.2, scorer=None
     found = spans.spans(best).withColumn("said", F.coalesce("label", "text"))
     ranked = s.score(found, "said") if isinstance(s, LexicalScorer) else s.score(found)
     top = select.best_with_vote(ranked, "page_id").where(F.col("p") >= threshold)
-    link = F.udf(lambda u, t, a, b: spans.fragment_link(u or "", t, (a, b)), "string")
     blocks = best.select("page_id", F.col("i").alias("block"), "page_url", F.col("text").alias("quote"))
-    return top.join(blocks, ["page_id", "block"]).select("page_id", F.col("text").alias("answer"), "p", "share", "block", "start", "end", link("page_url", "quote", "start", "end").alias("link"))
+    return top.join(blocks, ["page_id", "block"]).select("page_id", F.col("text").alias("answer"), "p", "share", "block", "start", "end", fragment_links("page_url", "quote", "start", "end").alias("link"))
 
 
 def links(pages: DataFrame, question: str, k: int = LINKS, threshold: float = 0.2, cap: int = 250) -> DataFrame:
