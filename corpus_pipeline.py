@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import bpe, mixing, near_duplicates, quality_rules, substring_dedup
 from sievework.llm.common import documents, shared_dir, written
+from sievework.session import share_code
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,12 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs).select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids")
 
 
-STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("substring_dedup", substrings), ("mixing", mix), ("bpe", tokens)]
+def reachable(stage):
+    """The stage, run with this code within reach of the workers."""
+    return lambda spark, docs, sf_dir: stage(share_code(spark), docs, sf_dir)
+
+
+STAGES = [(name, reachable(stage)) for name, stage in (("quality_rules", quality), ("near_dedup", near_dedup), ("substring_dedup", substrings), ("mixing", mix), ("bpe", tokens))]
 #: SQL can't express the tokenizer; tests/llm holds the stages against brute force instead.
 ORACLE_SQL = None
 
