@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .select import first_of, names
 from .spans import table_rows
 
+#: The most rows and characters of a context.
 CONTEXT_ROWS, CONTEXT_CHARS = 60, 6000
 
 

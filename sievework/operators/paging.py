@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from .select import first_of, names
 
+#: Limits of lists and their steps.
 MOST_PAGES, MOST_STEP, MOST_POSITION = 50, 1000, 10_000_000
 #: Parts of parameter names whose numbers are never a position in a list.
 NOT_A_POSITION = ("id", "price", "prec", "prix", "preis", "cost", "min", "max", "year", "ano", "año", "date", "time", "sort", "order", "limit", "size", "per", "count", "num", "show", "rows", "zoom", "lat", "lng", "lon", "version", "item", "ipp", "top", "take", "view", "display", "hits", "result", "nb", "qty", "radius", "dist", "km")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What a lead loses each hop and on cold pages, when a search ends, and how many leads it looks at.
 HOP_DECAY, COLD_PAGE, COLD_TRAIL, BETTER_BY, BEST, SHORTLIST = 0.85, 0.3, 0.02, 0.15, 2, 10
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .select import first_of, names
 
+#: Limits of rows, lists, elements looked into and samples.
 MOST_ROWS, MOST_LISTS, WALKED, SAMPLES, SAMPLE_VALUES, SAMPLE_CHARS = 1000, 8, 50, 2, 60, 120
 
 

@@ -13,6 +13,7 @@ from ..operators import select, spans, structured
 from ..operators.scoring import LexicalScorer
 from ..sources.page import child, extract_pages
 
+#: How many results a mode gives, and the bars they have to reach.
 GIST, ASK, CODE, LINKS = 12, 5, 8, 20
 THRESHOLD, PRECISE, FLOOR, PRECISE_BLOCKS = 0.5, 0.4, 0.1, 3
 

@@ -425,6 +425,7 @@ def marginal(a: Node) -> bool:
     return any(n.tag == "sup" for n in a.up()) or not a.text().strip() and next(a.find("img"), None) is not None
 
 
+# Elements that are the context of a link in them.
 CONTEXT = frozenset("p li td dd blockquote figcaption h1 h2 h3 h4".split())
 
 
@@ -507,6 +508,7 @@ def images(r: Reader, photos: list[str]) -> list[dict]:
 
 # The page's data
 
+# Types that are a site's machinery, and keys that name a node rather than say something of it.
 MACHINERY = ("BreadcrumbList", "SiteNavigationElement", "SearchAction")
 NODE_KEYS = ("@context", "@id", "@type", "@language")
 ASSIGNED = re.compile(r"([A-Za-z_$][\w$]*(?:\.[\w$]+)*)\s*(?<![=!<>+\-*/&|%^])=(?!=)\s*(?=[{\[])", re.A)
@@ -752,6 +754,7 @@ def card_words(img: Node, alt: str) -> str:
 
 # Declarations
 
+# Marks before a placeholder in braces, and elements whose text is no prose.
 SIGILS = "!^$#%@"
 PLACEHOLDER = re.compile(r"\{\{\s*[A-Za-z_][\w.]+\s*\}\}|[" + re.escape(SIGILS) + r"]\{\s*[A-Za-z_][\w.]+\s*\}", re.A)
 NOT_PROSE = frozenset("head script style noscript template textarea pre code kbd samp var".split())
