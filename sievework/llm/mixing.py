@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS, schedules=
     rest = F.floor(F.col("target")).cast("long") - F.col("whole") * F.col("source_size") - F.col("a")
     d = d.withColumn("rest", F.least(F.col("size"), F.greatest(F.lit(0), rest)))
     taken = F.col("whole") * F.col("size") + F.col("rest")
-    at = position(F.col("k"), F.col("a") / F.col("target"), schedules)
+    at = position(F.col("k"), F.col("a") / F.nullif(F.col("target"), F.lit(0.0)), schedules)
     return d.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
                     (F.col("whole") + F.when((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size")), 1).otherwise(0)).cast("int").alias("copies"),
                     F.when(taken > 0, at).alias("position"), "k", F.col("a"), *more)
@@ -112,7 +112,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     m = mix(docs, carry={"row": row}, **how).where("copies > 0")
     again = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
     m = m.select("row", "doc_id", "source_size", "target", "k", "a", again)
-    m = m.withColumn("position", position(F.col("k"), (F.col("a") + F.col("copy") * F.col("source_size")) / F.col("target")))
+    m = m.withColumn("position", position(F.col("k"), (F.col("a") + F.col("copy") * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0))))
     return m.repartitionByRange("position", F.xxhash64("doc_id")).sortWithinPartitions("position", "doc_id").select("row.*")
 
 

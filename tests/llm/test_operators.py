@@ -182,6 +182,12 @@ def test_mixing(docs):
     assert {(r["doc_id"], r["taken"], r["position"]) for r in m} == {(r["doc_id"], r["taken"], r["position"]) for r in again}
 
 
+def test_mixing_sources_without_words(spark):
+    df = spark.createDataFrame([(1, "", "a"), (2, None, "b"), (3, "x y z", "c"), (4, " ", None)], "doc_id bigint, text string, source string")
+    assert as_dict(mixing.mix(df), "target", "taken", "position") == {1: (0.0, 0, None), 2: (0.0, 0, None), 3: (3.0, 3, 0.0), 4: (0.0, 0, None)}
+    assert [r["doc_id"] for r in mixing.mixed_documents(df).collect()] == [3] and mixing.mix(df.where("doc_id <> 3")).where("taken > 0").isEmpty()
+
+
 def test_mixed_documents_are_in_order_and_whole(docs):
     m = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
     out = mixing.mixed_documents(docs)
