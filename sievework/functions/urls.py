@@ -115,7 +115,7 @@ def page_slot(url: Column) -> Column:
     numbers = F.size(in_query) + F.when(in_path != "", 1).otherwise(0)
     clean = F.regexp_replace(F.regexp_replace(path(url), r"(?i)/page/[0-9]+/?$", ""), "/+$", "")
     number = F.when(F.size(in_query) == 1, F.regexp_extract(F.get(in_query, F.lit(0)), r"=([0-9]+)$", 1)).otherwise(in_path)
-    return F.struct(F.concat(site(url), clean, F.lit("?"), F.concat_ws("&", rest)).alias("slot"), F.when(numbers == 1, number.cast("bigint")).alias("page"))
+    return F.struct(F.concat(site(url), clean, F.lit("?"), F.concat_ws("&", rest)).alias("slot"), F.when(numbers == 1, number.try_cast("bigint")).alias("page"))
 
 
 def percent(text: str) -> str:

@@ -50,7 +50,7 @@ def tightened(options: DataFrame, choices: DataFrame, by) -> DataFrame:
     """The option that a choice (choice ``oN``, confidence) names with a confidence of a half or more, else option 0."""
     keys = names(by)
     n = F.regexp_extract("choice", "^o([0-9]+)$", 1)
-    named = choices.where((F.col("confidence") >= 0.5) & (n != "")).select(*keys, n.cast("int").alias("_k"))
+    named = choices.where((F.col("confidence") >= 0.5) & (n != "")).select(*keys, n.try_cast("int").alias("_k"))
     named = named.join(options.select(*keys, F.col("k").alias("_k")), [*keys, "_k"], "left_semi")
     pick = options.select(*keys).distinct().join(named, keys, "left").select(*keys, F.coalesce("_k", F.lit(0)).alias("k"))
     return options.join(pick, [*keys, "k"])

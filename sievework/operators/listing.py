@@ -120,8 +120,8 @@ def tidy_products(bodies: DataFrame) -> DataFrame:
 
 def next_batch(url: Column, items: Column) -> Column:
     """The next batch's address where this one is full: its page number one on."""
-    per = F.regexp_extract(url, r"[?&]per_page=([0-9]+)", 1).cast("int")
-    page = F.coalesce(F.nullif(F.regexp_extract(url, r"[?&]page=([0-9]+)", 1), F.lit("")).cast("int"), F.lit(1))
+    per = F.regexp_extract(url, r"[?&]per_page=([0-9]+)", 1).try_cast("int")
+    page = F.coalesce(F.nullif(F.regexp_extract(url, r"[?&]page=([0-9]+)", 1), F.lit("")).try_cast("int"), F.lit(1))
     bare = F.regexp_replace(F.regexp_replace(url, r"([?&])page=[0-9]+(&|$)", "$1"), "[?&]$", "")
     return F.when(items >= per, F.concat(bare, F.when(bare.contains("?"), "&").otherwise("?"), F.lit("page="), (page + 1).cast("string")))
 

@@ -205,7 +205,7 @@ def accepted(headers: DataFrame, col: str = "header", by="id") -> DataFrame:
     keys = names(by)
     d = headers.select(*keys, F.posexplode(F.split(col, ",")).alias("pos", "part"))
     q = F.regexp_extract("part", r"(?i);\s*q\s*=\s*([0-9.]+)", 1)
-    d = d.select(*keys, "pos", canonical(F.trim(F.substring_index("part", ";", 1))).alias("tag"), F.when(q == "", 1.0).otherwise(q.cast("double")).alias("q")).where("tag IS NOT NULL AND q > 0")
+    d = d.select(*keys, "pos", canonical(F.trim(F.substring_index("part", ";", 1))).alias("tag"), F.when(q == "", 1.0).otherwise(q.try_cast("double")).alias("q")).where("tag IS NOT NULL AND q > 0")
     one = first_of(d, [*keys, "tag"], [F.col("q").desc(), F.col("pos")])
     return one.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("q").desc(), "pos"))).select(*keys, "place", "tag")
 

@@ -405,7 +405,7 @@ def grid(table: Node) -> list[list[str]]:
 
 def span(cell: Node, name: str, default: int) -> int:
     text = (cell.get(name) or "").strip()
-    return int(text) if re.fullmatch(r"\+?\d+", text) else default
+    return int(text) if re.fullmatch(r"\+?[0-9]{1,9}", text) else default
 
 
 # Links and images
@@ -467,7 +467,7 @@ def images(r: Reader, photos: list[str]) -> list[dict]:
     out: list[dict] = []
 
     def pixels(v: str | None) -> int | None:
-        return int(v) if v and re.fullmatch(r"\d+", v.strip()) else None
+        return int(v) if v and re.fullmatch(r"[0-9]{1,9}", v.strip()) else None
 
     def add(src: str | None, alt="", caption="", width=None, height=None, preview=None, card="") -> None:
         url = urls.join(r.base, src)

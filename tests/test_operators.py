@@ -131,3 +131,14 @@ def test_stream_state_equals_batch(spark, tmp_path):
 def test_escalation_stops_at_the_answer_that_stands(spark):
     df = spark.createDataFrame([("u", 1, "plain", 403, None), ("u", 2, "browser", 200, None), ("u", 3, "proxy", 200, None), ("v", 1, "plain", 503, "30")], "url string, attempt int, client string, status int, retry_after string")
     assert rows(state.escalated(df), "url", "client", "status", "attempts") == [("u", "browser", 200, 2), ("v", "plain", 503, 1)]
+
+
+def test_numbers_too_large_are_no_numbers(spark):
+    u = spark.createDataFrame([("http://h/l?page=99999999999999999999",), ("http://h/l?page=2",)], "u string")
+    assert [r[0] for r in u.select(urls.page_slot(F.col("u"))["page"]).collect()] == [None, 2]
+    h = spark.createDataFrame([(1, "en;q=0.8.1, fr")], "id int, header string")
+    assert rows(site.accepted(h), "tag") == [("fr",)]
+    from sievework.sources.page import read_page
+
+    r = read_page('<main><img src="/a.jpg" width="99999999999"><table><tr><td colspan="99999999999999">x</table></main>', "http://h/")
+    assert r["images"][0]["width"] is None and r["blocks"][0]["text"] == "| x |"
