@@ -55,3 +55,24 @@ SELECT p.page_id, strlen(html)::BIGINT AS payload_bytes,
   CASE WHEN p.page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN p.page_id > first THEN first END AS refers_to
 FROM p JOIN g ON p.h = g.h
 """
+
+SUBSTRING_DEDUP = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+m AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k),
+n AS (SELECT g.k, first, min(i) AS start FROM g JOIN m ON g.k = m.k AND g.doc_id = first GROUP BY g.k, first),
+c AS (SELECT DISTINCT doc_id, i + o AS p FROM (SELECT g.doc_id, i, unnest(range(20)) AS o FROM g JOIN n ON g.k = n.k WHERE g.doc_id <> first OR i <> start)),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+k AS (SELECT x.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY x.p) AS t FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.p = c.p WHERE c.p IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+NEAR_DUPLICATES = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS v, doc_id AS u FROM d UNION SELECT r.v, l.b FROM r JOIN l ON r.u = l.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT v, min(u) AS c FROM r GROUP BY v) t ON d.doc_id = v
+"""

@@ -1,7 +1,7 @@
 """Queries of this subpackage by name, and the SQL that gives the same rows where SQL can express them."""
 
 from . import bpe, language_id, mixing, mpeg_audio, near_duplicates, quality_classifier, quality_rules, substring_dedup, token_counts, warc
-from .oracles import MIXING, QUALITY_RULES, WARC
+from .oracles import MIXING, NEAR_DUPLICATES, QUALITY_RULES, SUBSTRING_DEDUP, WARC
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -15,4 +15,4 @@ QUERIES = {
     "op9_quality_rules": quality_rules.query,
     "op10_bpe": bpe.query,
 }
-ORACLES = {"op3_mixing": MIXING, "op4_warc": WARC, "op9_quality_rules": QUALITY_RULES}
+ORACLES = {"op2_substring_dedup": SUBSTRING_DEDUP, "op3_mixing": MIXING, "op4_warc": WARC, "op8_near_duplicates": NEAR_DUPLICATES, "op9_quality_rules": QUALITY_RULES}
