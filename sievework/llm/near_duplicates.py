@@ -5,7 +5,7 @@
 2. Chosen paths: in each of TREES independent trees a node selects one coordinate of the signature, or with probability
    1/3 two, and a class goes on to the child of its value there. A pair of similarity 0.75 stays together on some path of
    a tree with probability 0.69 after two levels, so TREES trees miss it with probability 0.0001. Nodes above LEAF classes
-   branch on; those that are still larger at DEEPEST are dealt out in parts that all hold the node's first class.
+   branch on; those that are still larger at DEEPEST are compared whole, in blocks of at most about twice LEAF classes.
 3. Small nodes are compared exhaustively by signature, at a bar four standard deviations below the threshold. That gives
    a spanning forest of each node, and the forests' connected components group all classes that may be linked.
 4. Within a group, full sets are compared through an inverted index, exactly: |A and B| * 100 >= 75 * |A or B|. A group with
@@ -157,6 +157,11 @@ def forest(sig: np.ndarray, bar: float = BAR) -> list[tuple[int, int]]:
     return out
 
 
+def agreeing(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """In how many coordinates each row of ``sig`` agrees with ``one``."""
+    return np.concatenate([np.count_nonzero(sig[i : i + 2048] == one, axis=1) for i in range(0, len(sig), 2048)])
+
+
 def may_link(nodes: DataFrame, keys=("key",)) -> DataFrame:
     """(a, b) of a spanning forest of each node of (keys, cls, sig)."""
 
@@ -171,6 +176,41 @@ def may_link(nodes: DataFrame, keys=("key",)) -> DataFrame:
     return nodes.select(*keys, "cls", "sig").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
 
 
+def across(large: DataFrame, edges: DataFrame, folder: str, leaf: int) -> DataFrame:
+    """Edges (a, b) that, with ``edges``, connect all pairs of a node of (key, cls, sig, size) that may be linked.
+
+    ``edges`` connect some classes of a node already. Those outside its largest component are open; each is compared with
+    every class of the node, in blocks of one share of the open classes and one share of all. Pairs that are both outside
+    the open ones are connected. A block gives a pair of components once.
+    """
+    c = components(edges, folder, "parts").withColumnRenamed("v", "cls")
+    rows = written(large.select("key", "cls", "sig", "size").join(c, "cls", "left").withColumn("c", F.coalesce("c", "cls")), folder, "large")
+    top = rows.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("n"))
+    top = top.select("key", F.col("top.c").alias("most"), F.ceil((F.col("n") - F.col("top.k")) / leaf).alias("shares")).where("shares > 0")
+    rows = rows.join(top, "key").withColumn("parts", F.ceil(F.col("size") / leaf))
+
+    def spread(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1))
+
+    dealt = rows.withColumns({"part": F.pmod(F.xxhash64("key", "cls"), "parts"), "share": spread("shares"), "open": F.lit(False)})
+    opened = rows.where("c <> most").withColumns({"share": F.pmod(F.xxhash64("cls", "key"), "shares"), "part": spread("parts"), "open": F.lit(True)})
+    keys = ["key", "share", "part"]
+
+    def run(batches):
+        for t in groups(batches, keys):
+            label, is_open, sig = t.column("c").to_numpy(), t.column("open").to_numpy(zero_copy_only=False), sig_matrix(t.column("sig"))
+            all_label, all_sig, pairs = label[~is_open], sig[~is_open], set()
+            for x in np.flatnonzero(is_open) if len(all_sig) else ():
+                near = np.unique(all_label[agreeing(all_sig, sig[x]) >= BAR * COORDINATES])
+                pairs.update((int(label[x]), y) for y in near.tolist() if y != label[x])
+            if pairs:
+                a, b = zip(*pairs, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    names = [*keys, "c", "open", "sig"]
+    return dealt.select(names).union(opened.select(names)).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
+
+
 def candidates(classes: DataFrame, folder: str, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """Edges (a, b) that connect all classes that may be linked, from all nodes of all trees."""
     nodes, edges, depth = written(roots(classes, trees, DEPTH), folder, "nodes-0"), None, DEPTH
@@ -187,7 +227,8 @@ def candidates(classes: DataFrame, folder: str, trees: int = TREES, leaf: int =
         if depth > DEEPEST:
             parts = large.withColumn("part", F.pmod(F.xxhash64("key", "cls"), F.ceil(F.col("size") / leaf)))
             heads = parts.where("cls = head").select("key", "cls", "sig", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / leaf) - 1)).alias("part"))
-            return edges.union(may_link(parts.select("key", "cls", "sig", "part").union(heads), ("key", "part")))
+            edges = written(edges.union(may_link(parts.select("key", "cls", "sig", "part").union(heads), ("key", "part"))), folder, "edges")
+            return edges.union(across(large, edges, folder, leaf))
         nodes = written(deeper(large), folder, f"nodes-{depth}")
 
 

@@ -133,6 +133,25 @@ def test_large_groups_are_linked_through_hubs(spark):
     assert as_dict(near_duplicates.near_duplicates(df, block=300, leaf=8), "n_shingles", "component_id", "kept") == brute.near_duplicates(rows)
 
 
+def test_sparse_links_in_a_large_node(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "DEEPEST", 2)
+    passage, folder = prose(9, 38), shared_dir(spark)
+    rows = [(i * 7 % 300, " ".join([passage, *(f"o{i // 2}x{k}" for k in range(21)), f"end{i}"])) for i in range(300)]
+    classes = near_duplicates.sketch(spark.createDataFrame(rows, "doc_id bigint, text string")).withColumnRenamed("doc_id", "cls").cache()
+    label = dict(map(tuple, graph.components(near_duplicates.candidates(classes, folder, trees=2, leaf=8), folder).collect()))
+    sig, nodes, pairs = {r["cls"]: np.frombuffer(r["sig"], np.uint16) for r in classes.collect()}, {}, 0
+    for r in near_duplicates.roots(classes, 2, 2).collect():
+        nodes.setdefault(r["key"], []).append(r["cls"])
+    assert max(map(len, nodes.values())) > 80
+    for own in nodes.values():
+        for i, x in enumerate(own):
+            for y in own[:i]:
+                if (sig[x] == sig[y]).mean() >= near_duplicates.BAR:
+                    pairs += 1
+                    assert label[x] == label[y]
+    assert pairs > 50
+
+
 def test_extra_columns_that_clash(docs):
     names = ["_id", "row", "seg", "segs", "full", "part", "new", "_raw", "size", "h", "k", "a", "name", "unnamed", "position", "fp", "cls", "n", "kept", "t", "m", "token_ids", "before", "target", "copies", "component_id", "id", "with space", "Rank"]
     odd = docs.where("doc_id > 3").select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
