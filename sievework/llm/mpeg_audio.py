@@ -1,7 +1,8 @@
 """Operator 7, media columns: MPEG audio. Frames are found again after damage, tags and variable-bitrate tables parsed, checksums verified, exact durations and seek offsets kept.
 
 :func:`parse` reads any MPEG 1/2/2.5 audio, layers I to III, from bytes: an ID3v2 tag at the front, an ID3v1 tag at the
-end, a Xing/Info or VBRI table in the first frame, then a chain of frames. A frame header is believed only if a
+end, a Xing/Info or VBRI table in the first frame, then a chain of frames. Where the last frame ends with the file, 'TAG' within
+it is its own data and no ID3v1 tag. A frame header is believed only if a
 second one (or the end) follows where its length says; after damage the next such place is sought byte by byte.
 
 :func:`store` writes a payload losslessly: an ID3v2 tag with the payload's length, an Info frame with frame count, byte
@@ -94,6 +95,7 @@ class Media:
     table_frames: int | None = None
     table_bytes: int | None = None
     toc: bytes | list[int] | None = None
+    end: int = 0  # of the last frame
 
     @property
     def seconds(self) -> float | None:
@@ -142,11 +144,20 @@ def vbr_table(frame: bytes, h: Header, out: Media) -> bool:
 
 
 def parse(data: bytes) -> Media:
-    out, end = Media(), len(data)
-    out.tags, at = id3v2(data)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        out.tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
+    tags, at = id3v2(data)
+    end = len(data) - 128
+    if end < at or data[end : end + 3] != b"TAG":
+        return chain(data, at, len(data), tags)
+    whole = chain(data, at, len(data), tags)
+    if whole.offsets and whole.offsets[-1] < end and whole.end == len(data):
+        return whole  # the last frame holds these bytes: no tag
+    tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
+    return chain(data, at, end, tags)
+
+
+def chain(data: bytes, at: int, end: int, tags: dict[str, str]) -> Media:
+    """The frames from ``at`` to ``end``."""
+    out = Media(tags=tags)
     sums: dict[bytes, int] = {}
     rates, chained, first = set(), False, True
     while at + 4 <= end:
@@ -169,6 +180,7 @@ def parse(data: bytes) -> Media:
             out.rate = out.rate or h.rate
             rates.add(h.kbps)
         at, chained, first = after, True, False
+        out.end = after
     out.skipped += max(0, end - at)
     out.kbps = sorted(rates)
     return out

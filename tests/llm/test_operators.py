@@ -308,6 +308,18 @@ def test_mpeg_resynchronises_and_checks():
     assert mpeg_audio.header(bytes([0xFF, 0xFB, 0x90, 0x64])).size == 417
 
 
+@pytest.mark.parametrize("units", [1, 2, 5])
+def test_mpeg_payload_that_looks_like_a_tag(units):
+    raw = b"x" * (192 * units - 103) + b"TAG" + b"y" * 100
+    stored = mpeg_audio.store(raw)
+    assert len(raw) == 192 * units and stored[-128:-125] == b"TAG"
+    m = mpeg_audio.parse(stored)
+    assert mpeg_audio.payload(stored, m) == raw and (len(m.offsets), m.skipped, "TIT2" in m.tags) == (units, 0, False)
+    tagged = stored + b"TAG" + b"Name".ljust(125, b" ")
+    m = mpeg_audio.parse(tagged)
+    assert mpeg_audio.payload(tagged, m) == raw and (len(m.offsets), m.skipped, m.tags["TIT2"]) == (units, 0, "Name")
+
+
 def test_language_id(spark):
     words = {"en": "the with that which thing", "fr": "le avec que quelle chose é", "de": "der mit dass welche sache ü"}
     r = random.Random(3)
