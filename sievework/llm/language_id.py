@@ -5,8 +5,9 @@ its highest; a filter slot is the union of the bits of the trigrams that hash to
 PROBES slots) returns all languages of a trigram. A text's votes are the set bits of its trigrams by language, less the
 false positives expected at the language's own fill; most votes win, the language that sorts first on a tie.
 
-A trigram is a letter with its neighbours, letters in lower case and everything else a blank. Trigrams rarer than FLOOR of a
-language's are left out of the filter, which bounds it: at most 1 / FLOOR trigrams a language.
+A trigram is a letter with its neighbours, letters in lower case and everything else a blank. All trigrams of the training texts
+are in the filter, however rare. It has at most 2 ** MOST_BITS slots; beyond 2 ** MOST_BITS / SLOTS_PER_GRAM trigrams it fills further,
+and the false positives expected of it rise.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; with letters but no votes it gets the commonest
 training language; without training rows everything is ``und``; rows without a language or an id train nothing; a null id is
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-HALF, FLOOR, PROBES, SLOTS_PER_GRAM, WORD = 0.5, 1e-5, 3, 16, 63
+HALF, PROBES, SLOTS_PER_GRAM, MOST_BITS, WORD = 0.5, 3, 16, 22, 63
 SLICE = 1 << 20
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -105,7 +106,7 @@ class Filter:
 
 
 def train(rows: DataFrame) -> Filter:
-    """The filter learnt from rows (lang, text). To the driver come a row for each language and the slots in use, which FLOOR bounds."""
+    """The filter learnt from rows (lang, text). To the driver come a row for each language and the slots in use, which MOST_BITS bounds."""
     counts = gram_counts(rows.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text")).persist()
     try:
         totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -114,11 +115,11 @@ def train(rows: DataFrame) -> Filter:
             return Filter([], None, 1, np.zeros((1, 2), np.int64))
         share = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, float(totals[k]))]), F.col("lang"))
         index = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)]), F.col("lang"))
-        shares = counts.select("gram", index.alias("l"), share.alias("share")).where(F.col("share") >= FLOOR)
+        shares = counts.select("gram", index.alias("l"), share.alias("share"))
         tops = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("l", "share")).alias("all"))  # a row for each language at most
         own = tops.select("gram", F.explode("all").alias("x"), "top").where(F.col("x.share") >= HALF * F.col("top")).select("gram", F.col("x.l").alias("l"))
         n = tops.count()
-        bits = max(10, (SLOTS_PER_GRAM * n - 1).bit_length())
+        bits = min(MOST_BITS, max(10, (SLOTS_PER_GRAM * n - 1).bit_length()))
         used = own.groupBy("gram", (F.col("l") / WORD).cast("int").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, l % {WORD}))").alias("mask"))
 
         def probe(batches):
@@ -138,7 +139,7 @@ def train(rows: DataFrame) -> Filter:
 def predict(docs: DataFrame, filt: Filter, carry=("doc_id", "held_out")) -> DataFrame:
     """``carry``, lang_pred and score for each row; score is the winner's share of the corrected votes."""
     d = docs.select(*carry, "text")
-    sent = docs.sparkSession.sparkContext.broadcast(filt)  # bounded: see FLOOR
+    sent = docs.sparkSession.sparkContext.broadcast(filt)  # bounded: see MOST_BITS
 
     def run(batches):
         f = sent.value

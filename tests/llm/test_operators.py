@@ -340,6 +340,18 @@ def test_bloom_filters_hold_every_trigram(spark):
     assert model.votes(h, np.array([0, len(h)]))[0, 0] == 3 and len(model.words) == 2
 
 
+@pytest.mark.parametrize("most", [22, 19])
+def test_rare_trigrams_of_a_large_script_vote(spark, monkeypatch, most):
+    monkeypatch.setattr(language_id, "MOST_BITS", most, raising=False)
+    r = random.Random(7)
+    texts = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(200)) for _ in range(1000)]
+    rows = [(x, "zh") for x in texts] + [("the with that which thing " * 20, "en")] * 1000
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.commonest == "en"
+    short = spark.createDataFrame([(i, x[50:60], False) for i, x in enumerate(texts[:100])], "doc_id int, text string, held_out boolean")
+    assert {x["lang_pred"] for x in language_id.predict(short, model).collect()} == {"zh"}
+
+
 def test_quality_classifier_learns_and_never_sees_held_out_labels(spark):
     r = random.Random(5)
     rows = [(i, (" ".join("#$%" for _ in range(60)) if i % 4 == 0 else prose(i, r.randint(60, 200))), int(i % 4 != 0)) for i in range(400)]
