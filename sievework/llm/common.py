@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -32,16 +33,38 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Folders that this process wrote tables to, by session; :func:`release` deletes them.
+_folders: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one the session names in spark.checkpoint.dir, which driver and executors share.
 
-    Where the session names none (tests on one machine), a temporary folder is set and used.
+    Where a session on one machine names none (tests), a temporary folder is set and used; on a cluster that is an error,
+    as executors could not read what others wrote.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sievework-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/sievework-{uuid.uuid4().hex}"
+    _folders.append(f"{base.rstrip('/')}/sievework-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all folders that operators of this process wrote. Their results can't be read afterwards: call it once they are stored."""
+    while _folders:
+        with contextlib.suppress(FileNotFoundError):
+            discard(spark, _folders.pop())
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:

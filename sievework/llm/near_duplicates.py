@@ -2,19 +2,26 @@
 
 1. Each document becomes its set of distinct 5-word shingles (64-bit hashes), a fingerprint of the set, and a MinHash
    signature. Documents with equal sets are one class from here on, so exact copies cost nothing more.
-2. Chosen paths: in each of TREES independent trees a node selects one coordinate of the signature, or with probability
-   1/3 two, and a class goes on to the child of its value there. A pair of similarity 0.75 stays together on some path of
-   a tree with probability 0.69 after two levels, so TREES trees miss it with probability 0.0001. Nodes above LEAF classes
-   branch on; those that are still larger at DEEPEST are compared whole, in blocks of at most about twice LEAF classes.
+2. Chosen paths: in each independent tree a node selects two coordinates of the signature, and a class goes on to the
+   child of its value at each. Two children at similarity 0.75 make more than one common child of each common node, so
+   a pair stays together on some path of a tree however deep it is: the chance of losing it is the extinction of that branching,
+   q = (1 - s + s q) ** 2, 1 / 9 for s = 0.75. :func:`trees_for` takes as many trees as bring q ** trees below the miss that
+   TARGET leaves: 4 trees and 0.0002, whatever the depth.
 3. Small nodes are compared exhaustively by signature, at a bar four standard deviations below the threshold. That gives
    a spanning forest of each node, and the forests' connected components group all classes that may be linked.
+   A node above LEAF classes is first compared in parts. If then at most LEAF of its classes lie outside its largest component,
+   these are compared with the whole node, in blocks; else it branches on, and at DEEPEST its classes outside
+   the largest component are compared with the whole node however many they are. No pair of a node is left uncompared.
 4. Within a group, full sets are compared through an inverted index, exactly: |A and B| * 100 >= 75 * |A or B|. A group with
    more than BLOCK shingles is dealt out in blocks that share hub classes; further rounds make hubs of classes that the
    first left apart, until each class outside the largest part of its group has been compared with the whole group.
 
-Edge cases: a null or blank text has no shingles and is linked with nothing; below five words the whole sequence is
-one shingle; a null id takes the component of its class, null if it has no other; rows that repeat an id share its fate,
-rows with one id and different texts are linked to whatever each text is; an empty table gives an empty result.
+Ids are integers below 2 ** 62. Edge cases: a null or blank text has no shingles and is linked with nothing; below five words the whole sequence is
+one shingle; a null id counts as larger than any other and is linked like them: its row takes the component's smallest id, null
+if that has none, and :func:`deduplicated` keeps one of the rows of a component without ids; rows that repeat an id share its
+fate, rows with one id and different texts are linked to whatever each text is; an empty table gives an empty result; a very
+long text is one row and needs about 12 times its size in a worker; extra columns are ignored by :func:`near_duplicates` and kept, whatever
+their names, by :func:`deduplicated`.
 """
 
 from __future__ import annotations
@@ -23,19 +30,23 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, written
+from .common import BLANKS, documents, shared_dir, written
 from .graph import components
 from .word_hashes import U, blocks, mixed, windows, words
 
 SHINGLE, PERCENT = 5, 75
-COORDINATES, TREES, DEPTH, DEEPEST = 128, 8, 2, 8
+COORDINATES, DEPTH, DEEPEST = 128, 2, 6
+#: Recall of pairs at the threshold that the number of trees is derived from.
+TARGET = 0.9998
 LEAF = 4096
 BLOCK = 4_000_000
 HUBS = 16
 BAR = PERCENT / 100 - 4 * (PERCENT / 100 * (1 - PERCENT / 100) / COORDINATES) ** 0.5
+#: Ids from here on stand for rows without one.
+NO_ID = 1 << 62
 FACTORS = np.random.default_rng(8).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | U(1)
 
 
@@ -79,15 +90,29 @@ def sketch(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n bigint, fp string, sig binary")
 
 
+def extinction(s: float = PERCENT / 100) -> float:
+    """Chance that a pair whose signatures agree in a share ``s`` of the coordinates is parted on all paths of a tree without end."""
+    q = 0.0
+    for _ in range(200):
+        q = (1 - s + s * q) ** 2
+    return q
+
+
+def trees_for(target: float = TARGET, s: float = PERCENT / 100) -> int:
+    """The fewest trees that keep a pair of similarity ``s`` together somewhere with probability ``target``, at any depth."""
+    n = 1
+    while extinction(s) ** n > 1 - target:
+        n += 1
+    return n
+
+
 def step(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child node): each row's node branches once, or with probability 1/3 twice, on a coordinate chosen by the node."""
-    rows, out = [], []
+    """(row, child node): each row's node branches on two coordinates that the node chooses."""
+    rows, out, own = [], [], np.arange(len(node))
     for branch in range(2):
-        own = np.arange(len(node)) if branch == 0 else np.flatnonzero(mixed(node ^ U(77)) % U(3) == 0)
-        x = node[own]
-        c = mixed(x + U(1 + branch)) % U(COORDINATES)
+        c = mixed(node + U(1 + branch)) % U(COORDINATES)
         rows.append(own)
-        out.append(mixed(mixed(x + c * U(0x9E3779B97F4A7C15)) + sig[own, c.astype(np.int64)].astype(U) + U(branch)))
+        out.append(mixed(mixed(node + c * U(0x9E3779B97F4A7C15)) + sig[own, c.astype(np.int64)].astype(U) + U(branch)))
     return np.concatenate(rows), np.concatenate(out)
 
 
@@ -176,22 +201,33 @@ def may_link(nodes: DataFrame, keys=("key",)) -> DataFrame:
     return nodes.select(*keys, "cls", "sig").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
 
 
-def across(large: DataFrame, edges: DataFrame, folder: str, leaf: int) -> DataFrame:
-    """Edges (a, b) that, with ``edges``, connect all pairs of a node of (key, cls, sig, size) that may be linked.
+def spread(n: str):
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1))
 
-    ``edges`` connect some classes of a node already. Those outside its largest component are open; each is compared with
-    every class of the node, in blocks of one share of the open classes and one share of all. Pairs that are both outside
-    the open ones are connected. A block gives a pair of components once.
-    """
-    c = components(edges, folder, "parts").withColumnRenamed("v", "cls")
-    rows = written(large.select("key", "cls", "sig", "size").join(c, "cls", "left").withColumn("c", F.coalesce("c", "cls")), folder, "large")
+
+def in_parts(large: DataFrame, leaf: int) -> DataFrame:
+    """(a, b) of the forests of large nodes (key, cls, sig, size, head), each dealt into parts that share the node's first class."""
+    parts = large.withColumn("part", F.pmod(F.xxhash64("key", "cls"), F.ceil(F.col("size") / leaf)))
+    heads = large.where("cls = head").withColumn("parts", F.ceil(F.col("size") / leaf)).select("key", "cls", "sig", spread("parts").alias("part"))
+    return may_link(parts.select("key", "cls", "sig", "part").union(heads), ("key", "part"))
+
+
+def labelled(large: DataFrame, edges: DataFrame, folder: str, leaf: int, depth: int) -> DataFrame:
+    """Adds to large nodes each class's component by ``edges`` (c), the node's largest (most) and the shares of LEAF that lie outside it."""
+    c = components(edges, folder, f"parts-{depth}").withColumnRenamed("v", "cls")
+    rows = written(large.join(c, "cls", "left").withColumn("c", F.coalesce("c", "cls")), folder, f"large-{depth}")
     top = rows.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("n"))
-    top = top.select("key", F.col("top.c").alias("most"), F.ceil((F.col("n") - F.col("top.k")) / leaf).alias("shares")).where("shares > 0")
-    rows = rows.join(top, "key").withColumn("parts", F.ceil(F.col("size") / leaf))
+    top = top.select("key", F.col("top.c").alias("most"), F.ceil((F.col("n") - F.col("top.k")) / leaf).alias("shares"))
+    return rows.join(top, "key").where("shares > 0").withColumn("parts", F.ceil(F.col("size") / leaf))
 
-    def spread(n: str):
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1))
 
+def across(rows: DataFrame) -> DataFrame:
+    """(a, b) between components of a node of :func:`labelled` rows, so that with its edges all pairs that may be linked are connected.
+
+    The classes outside the largest component are open; each is compared with every class of the node, in blocks of one
+    share of the open classes and one part of all. Pairs that are both outside the open ones are connected.
+    A block gives a pair of components once.
+    """
     dealt = rows.withColumns({"part": F.pmod(F.xxhash64("key", "cls"), "parts"), "share": spread("shares"), "open": F.lit(False)})
     opened = rows.where("c <> most").withColumns({"share": F.pmod(F.xxhash64("cls", "key"), "shares"), "part": spread("parts"), "open": F.lit(True)})
     keys = ["key", "share", "part"]
@@ -211,9 +247,9 @@ def across(large: DataFrame, edges: DataFrame, folder: str, leaf: int) -> DataFr
     return dealt.select(names).union(opened.select(names)).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
 
 
-def candidates(classes: DataFrame, folder: str, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def candidates(classes: DataFrame, folder: str, trees: int | None = None, leaf: int = LEAF, deepest: int = DEEPEST) -> DataFrame:
     """Edges (a, b) that connect all classes that may be linked, from all nodes of all trees."""
-    nodes, edges, depth = written(roots(classes, trees, DEPTH), folder, "nodes-0"), None, DEPTH
+    nodes, edges, depth = written(roots(classes, trees or trees_for(), DEPTH), folder, "nodes-0"), None, DEPTH
     sigs = classes.select("cls", "sig")
     while True:
         sizes = nodes.groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("head")).where("size > 1")
@@ -223,13 +259,14 @@ def candidates(classes: DataFrame, folder: str, trees: int = TREES, leaf: int =
         large = full.where(F.col("size") > leaf)
         if large.isEmpty():
             return edges
-        depth += 1
-        if depth > DEEPEST:
-            parts = large.withColumn("part", F.pmod(F.xxhash64("key", "cls"), F.ceil(F.col("size") / leaf)))
-            heads = parts.where("cls = head").select("key", "cls", "sig", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / leaf) - 1)).alias("part"))
-            edges = written(edges.union(may_link(parts.select("key", "cls", "sig", "part").union(heads), ("key", "part"))), folder, "edges")
-            return edges.union(across(large, edges, folder, leaf))
-        nodes = written(deeper(large), folder, f"nodes-{depth}")
+        edges = written(edges.union(in_parts(large, leaf)), folder, f"edges-{depth}")
+        rows = written(labelled(large, edges, folder, leaf, depth), folder, f"open-{depth}")
+        last = depth >= deepest
+        edges = edges.union(across(rows if last else rows.where("shares = 1")))
+        wide = rows.where("shares > 1")
+        if last or wide.isEmpty():
+            return edges
+        nodes, depth = written(deeper(wide), folder, f"nodes-{depth + 1}"), depth + 1
 
 
 def linked(sets: list[np.ndarray], first: int, percent: int = PERCENT) -> np.ndarray:
@@ -292,9 +329,9 @@ def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return d.mapInArrow(run, f"{kinds}, shingles binary")
 
 
-def class_links(docs: DataFrame, classes: DataFrame, folder: str, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+def class_links(docs: DataFrame, classes: DataFrame, folder: str, trees: int | None = None, leaf: int = LEAF, block: int = BLOCK, deepest: int = DEEPEST) -> DataFrame:
     """(cls, root) for classes (cls, fp, n, sig) that are linked with another."""
-    group = components(candidates(classes, folder, trees, leaf), folder, "groups").select(F.col("v").alias("cls"), F.col("c").alias("grp"))
+    group = components(candidates(classes, folder, trees, leaf, deepest), folder, "groups").select(F.col("v").alias("cls"), F.col("c").alias("grp"))
     group = group.join(classes.select("cls", "fp", "n"), "cls")
     weight = group.groupBy("grp").agg(F.sum("n").alias("weight"))
     group = group.join(weight, "grp").withColumn("parts", F.ceil(F.col("weight") / block).cast("int"))
@@ -326,23 +363,45 @@ def class_links(docs: DataFrame, classes: DataFrame, folder: str, trees: int = T
         turn += 1
 
 
-def near_duplicates(docs: DataFrame, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text)."""
+def number() -> Column:
+    """The id, or for a null id a number from NO_ID on that equal texts share."""
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 2))
+
+
+def linked_rows(docs: DataFrame, trees: int | None = None, leaf: int = LEAF, block: int = BLOCK, deepest: int = DEEPEST) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of (doc_id, text), ids as :func:`number` gives them."""
     folder = shared_dir(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select(number().alias("doc_id"), "text")
     rows = written(sketch(docs), folder, "sketch")
     classes = written(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("cls"), F.min("n").alias("n"), F.min("sig").alias("sig")), folder, "classes")
-    root = class_links(docs, classes.where("cls IS NOT NULL"), folder, trees, leaf, block).groupBy("cls").agg(F.min("root").alias("root"))
+    root = class_links(docs, classes, folder, trees, leaf, block, deepest).groupBy("cls").agg(F.min("root").alias("root"))
     ends = written(classes.select("fp", "cls").join(root, "cls", "left").select("fp", F.coalesce("root", "cls").alias("component_id")), folder, "ends")
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(ends, "fp", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text)."""
+    def real(c):
+        return F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
+
+    return linked_rows(docs, **how).select(real("doc_id"), "n_shingles", real("component_id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all their columns."""
-    lost = near_duplicates(docs, **how).where("NOT kept").select("doc_id").distinct()
-    return docs.join(lost.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` whose id is the smallest of its component, with all their columns.
+
+    Of rows without id that share a text with words and are so kept, the one that is first as JSON stays.
+    """
+    rows = linked_rows(docs, **how)
+    lost = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.select(number().alias("key"), row.alias("row")).join(lost.hint("merge"), "key", "left_anti")
+    if rows.where(F.col("doc_id") >= NO_ID).isEmpty():
+        return d.select("row.*")
+    single = (F.col("key") >= NO_ID) & (F.length(F.translate(F.coalesce(F.col("row.text").cast("string"), F.lit("")), BLANKS, "")) > 0)
+    one = d.where(single).groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return d.where(~single).select("row.*").union(one.select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -13,8 +13,10 @@ LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 5
 INVERSE = pow(BASE, -1, 1 << 64)
 VALUE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
-#: Bytes that are worked on together, unless one text is longer.
+#: Bytes of texts that are worked on together, unless one text is longer.
 BLOCK = 2 << 20
+#: Bytes that running sums cover at once.
+PIECE = 4 << 20
 
 _powers = [np.ones(1, U), np.ones(1, U)]
 
@@ -35,17 +37,34 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, byte after) of each word of the texts joined by blanks, and the texts' offsets among the words."""
+    """(hash, first byte, byte after) of each word of the texts joined by blanks, and the texts' offsets among the words.
+
+    Sums run over pieces of about PIECE bytes that end at a blank, so that a long text needs a few times its size, most of
+    that for the words' arrays. A single word longer than a piece is one piece.
+    """
     joined = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    parts, at = [], 0
+    while at < len(joined):
+        end = min(at + PIECE, len(joined))
+        while end < len(joined) and not BLANK[joined[end - 1]]:
+            later = np.flatnonzero(BLANK[joined[end : end + PIECE]])
+            end = end + int(later[0]) + 1 if len(later) else min(end + PIECE, len(joined))
+        parts.append(piece(joined[max(0, at - 1) : end], lower, max(0, at - 1)))
+        at = end
+    h, first, after = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return h, first, after, np.searchsorted(first, ends)
+
+
+def piece(joined: np.ndarray, lower: bool, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, byte after) of each word of bytes that begin and end with a blank and stand at ``shift``."""
     if lower:
         joined = LOWER[joined]
     edge = np.flatnonzero(np.diff(BLANK[joined].view(np.int8)))
     first, after = edge[0::2] + 1, edge[1::2] + 1
     up, down = powers(len(joined) + 1)
     sums = np.concatenate((np.zeros(1, U), np.cumsum(VALUE[joined] * up[: len(joined)], dtype=U)))
-    h = mixed((sums[after] - sums[first]) * down[first])
-    ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return h, first, after, np.searchsorted(first, ends)
+    return mixed((sums[after] - sums[first]) * down[first]), first + shift, after + shift
 
 
 def blocks(column: pa.Array):

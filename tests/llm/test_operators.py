@@ -120,7 +120,7 @@ def test_texts_without_repeats_stay_as_they_are(docs):
         assert got[i] == (corpus()[i] if all(keep) else " ".join(x for x, k in zip(w, keep) if k), -1)
 
 
-@pytest.mark.parametrize("how", [{}, {"leaf": 3, "block": 400}, {"trees": 12, "leaf": 2}])
+@pytest.mark.parametrize("how", [{}, {"leaf": 3, "block": 400}, {"trees": 12, "leaf": 2, "deepest": 9}])
 def test_near_duplicates_equal_brute_force(docs, how):
     got = as_dict(near_duplicates.near_duplicates(docs, **how), "n_shingles", "component_id", "kept")
     assert got == brute.near_duplicates(enumerate(corpus()))
@@ -133,25 +133,80 @@ def test_large_groups_are_linked_through_hubs(spark):
     assert as_dict(near_duplicates.near_duplicates(df, block=300, leaf=8), "n_shingles", "component_id", "kept") == brute.near_duplicates(rows)
 
 
-def test_sparse_links_in_a_large_node(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "DEEPEST", 2)
+@pytest.mark.parametrize("deepest", [2, 3])
+def test_sparse_links_in_a_large_node(spark, deepest):
     passage, folder = prose(9, 38), shared_dir(spark)
     rows = [(i * 7 % 300, " ".join([passage, *(f"o{i // 2}x{k}" for k in range(21)), f"end{i}"])) for i in range(300)]
     classes = near_duplicates.sketch(spark.createDataFrame(rows, "doc_id bigint, text string")).withColumnRenamed("doc_id", "cls").cache()
-    label = dict(map(tuple, graph.components(near_duplicates.candidates(classes, folder, trees=2, leaf=8), folder).collect()))
+    label = dict(map(tuple, graph.components(near_duplicates.candidates(classes, folder, trees=2, leaf=8, deepest=deepest), folder).collect()))
     sig, nodes, pairs = {r["cls"]: np.frombuffer(r["sig"], np.uint16) for r in classes.collect()}, {}, 0
-    for r in near_duplicates.roots(classes, 2, 2).collect():
-        nodes.setdefault(r["key"], []).append(r["cls"])
-    assert max(map(len, nodes.values())) > 80
+    for r in near_duplicates.roots(classes, 2, deepest).collect():
+        nodes.setdefault(r["key"], set()).add(r["cls"])
+    assert max(map(len, nodes.values())) > 60
     for own in nodes.values():
-        for i, x in enumerate(own):
-            for y in own[:i]:
-                if (sig[x] == sig[y]).mean() >= near_duplicates.BAR:
+        for x in own:
+            for y in own:
+                if x > y and (sig[x] == sig[y]).mean() >= near_duplicates.BAR:
                     pairs += 1
                     assert label[x] == label[y]
     assert pairs > 50
 
 
+def family(pairs, shared, own, seed=3):
+    """Pairs of similarity 0.75 to 0.76 among texts that share a passage and are far less alike otherwise."""
+    r, rows = random.Random(seed), []
+    common = " ".join(f"c{i}" for i in range(shared))
+    for p in range(pairs):
+        words = [f"p{p}w{i}" for i in range(own)]
+        n = shared + own - 4
+        # k edits of one word near the end cost up to 5 shingles each: as many as leave 0.75
+        for side in range(2):
+            w = list(words)
+            if side:
+                for e in range(max(1, int(n * 0.135 / 5))):
+                    w[own - 3 - 6 * e] = f"e{p}x{e}"
+            rows.append((2 * p + side, f"{common} {' '.join(w)}"))
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("leaf", [4, 4096])
+def test_recall_does_not_depend_on_the_size_of_nodes(spark, leaf):
+    rows = family(150, 60, 60)
+    a, b = (set(brute.shingles(rows[[i for i, _ in rows].index(k)][1])) for k in (0, 1))
+    assert 0.75 <= len(a & b) / len(a | b) < 0.8
+    got = as_dict(near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), leaf=leaf), "n_shingles", "component_id", "kept")
+    assert got == brute.near_duplicates(rows)
+
+
+def test_trees_follow_from_the_target_recall():
+    assert near_duplicates.extinction() == pytest.approx(1 / 9) and near_duplicates.trees_for() == 4
+    assert [near_duplicates.trees_for(t) for t in (0.5, 0.95, 0.999999)] == [1, 2, 7]
+    r = np.random.default_rng(4)
+    for depth in (2, 6):
+        lost = 0
+        for k in range(200):
+            a = r.integers(0, 1 << 16, near_duplicates.COORDINATES, dtype=np.uint16)
+            other = np.where(r.random(len(a)) < 0.75, a, r.integers(0, 1 << 16, len(a), dtype=np.uint16))
+            nodes = [set(), set()]
+            for own, sig in zip(nodes, (a, other)):
+                row, node = np.zeros(1, int), near_duplicates.mixed(np.array([k + 1], np.uint64))
+                for _ in range(depth):
+                    up, node = near_duplicates.step(node, np.tile(sig, (len(node), 1)))
+                own.update(node.tolist())
+            lost += not nodes[0] & nodes[1]
+        assert lost / 200 < 0.19  # 1 / 9 in the limit, for one tree
+
+
+def test_rows_without_id_are_deduplicated(spark):
+    text, near, other = prose(3, 60), prose(3, 60) + " end", prose(4, 60)
+    rows = [(None, text, 1), (None, text, 2), (None, text.upper(), 3), (7, near, 4), (None, other, 6), (None, other, 5), (None, " ", 7), (None, None, 8), (None, None, 9), (3, other + " more", 10), (None, prose(8, 60), 12), (None, prose(8, 60), 11)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, k int")
+    assert sorted(r["k"] for r in near_duplicates.deduplicated(df).collect()) == [4, 7, 8, 9, 10, 11]
+    out = near_duplicates.near_duplicates(df).collect()
+    assert {(r["component_id"], r["kept"]) for r in out if r["doc_id"] is None} == {(7, False), (3, False), (None, True)}
+
+
 def test_extra_columns_that_clash(docs):
     names = ["_id", "row", "seg", "segs", "full", "part", "new", "_raw", "size", "h", "k", "a", "name", "unnamed", "position", "fp", "cls", "n", "kept", "t", "m", "token_ids", "before", "target", "copies", "component_id", "id", "with space", "Rank"]
     odd = docs.where("doc_id > 3").select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
@@ -381,3 +436,11 @@ def test_word_hashes():
     assert np.diff(at).tolist() == [2, 0, 1, 2, 1] and h[0] == h[2] and h[0] != h[5]
     assert word_hashes.words(texts, lower=True)[0][5] == word_hashes.words(texts, lower=True)[0][2]
     assert word_hashes.words([])[0].size == 0
+
+
+def test_word_hashes_of_long_texts(monkeypatch):
+    texts = [" ".join(prose(i, 40) for i in range(3)).encode(), b"  ", b"x" * 300, b"a b", b"\n" * 40, b"end"]
+    whole = word_hashes.words(texts)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(word_hashes, "PIECE", size)
+        assert all((a == b).all() for a, b in zip(whole, word_hashes.words(texts), strict=True))
