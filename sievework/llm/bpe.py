@@ -2,15 +2,21 @@
 
 Spark splits each text into the tokenizer's words with one regular expression; a Python worker turns the words of an Arrow
 batch into indexes of the batch's distinct words, has the tokenizer encode each distinct word once, and puts the ids
-back by position with array gathers. Decoding goes the other way through a table from id to the piece's bytes.
-The table of distinct words belongs to a batch (and a bounded cache of it to a worker), not to the corpus: a table for
-the corpus would have to be joined with every occurrence, and shuffling those costs more than encoding anew.
+back by position with array gathers. The table of distinct words belongs to a batch (and a bounded cache of it to a
+worker), not to the corpus: a table for the corpus would have to be joined with every occurrence, and shuffling those costs more than
+encoding anew.
+
+Decoding is a join: each distinct sequence of ids is dealt out by position, every id joined with its piece in the table of the
+vocabulary, and the pieces put together in order of position where the sequence lies already. That table is broadcast up to
+MOST_BROADCAST pieces and joined by a shuffle beyond.
 
 Texts that the split can't be trusted with go to the tokenizer whole: those with an added token's string, and those with
 characters that this Java's Unicode tables don't know.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; null ids and repeated rows are kept; very long
-texts are one row each; an empty table gives an empty result; extra columns are carried by :func:`encode`.
+texts are one row each, and decoding holds one text's pieces in a task; a null array of token ids decodes to null, an id that the vocabulary
+lacks to U+FFFD, as do bytes that are no UTF-8; an empty table gives an empty result; extra columns are carried by :func:`encode`
+and :func:`decode`, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,14 +27,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import documents, shared_dir, text_of, written
 
 #: The tokenizer's split, in Java's syntax, for Unicode classes. Fixed value of the vocabulary's format.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED_WORDS = 200_000
+#: Pieces that a table has at most to be broadcast; at some 40 bytes each in memory, 20 MB.
+MOST_BROADCAST = 500_000
 #: Columns in flight, by names that no table has.
 TEXT, WORDS = "__sievework_text", "__sievework_words"
 BATCH_ROWS = 500
@@ -111,7 +119,7 @@ def split(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame, per_row, fields: str, path: str | None = None, carry=("doc_id",)) -> DataFrame:
-    """``carry`` and the ``fields`` that ``per_row(ids, pieces)`` gives as a tuple for each row's ids (an array of unsigned 32-bit numbers)."""
+    """``carry`` and the ``fields`` that ``per_row(ids)`` gives as a tuple for each row's ids (an array of unsigned 32-bit numbers)."""
     path = path or vocabulary_path()
     d = split(docs, path).select(*[F.col(f"`{c}`") for c in carry], TEXT, WORDS)
     kept = docs.select(*[F.col(f"`{c}`") for c in carry]).schema
@@ -119,7 +127,7 @@ def encoded(docs: DataFrame, per_row, fields: str, path: str | None = None, carr
     names = added.names
 
     def run(batches):
-        table, known = Words(path), pieces(path)
+        table = Words(path)
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(added)
@@ -130,7 +138,7 @@ def encoded(docs: DataFrame, per_row, fields: str, path: str | None = None, carr
                 out = []
                 for i, text in enumerate(b.column(TEXT).to_pylist()):
                     own = ids[row[i] : row[i + 1]] if text is None else np.array(table.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                    out.append(per_row(own, known))
+                    out.append(per_row(own))
                 cols = [pa.array([r[k] for r in out], schema.field(n).type) for k, n in enumerate(names)]
                 yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(carry))], *cols], names=[*carry, *names])
 
@@ -140,28 +148,46 @@ def encoded(docs: DataFrame, per_row, fields: str, path: str | None = None, carr
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """All columns of ``docs`` and ``token_ids``, an array of integers, in place of a column of that name."""
     keep = [c for c in docs.columns if c.lower() != "token_ids"]
-    return encoded(docs, lambda ids, _: (ids.astype(np.int32),), "token_ids array<int>", path, keep)
+    return encoded(docs, lambda ids: (ids.astype(np.int32),), "token_ids array<int>", path, keep)
 
 
-def decode(rows: DataFrame, ids_col: str = "token_ids", path: str | None = None) -> DataFrame:
-    """All columns of ``rows`` and ``decoded``: each id looked up in the table of pieces, bytes joined and read as UTF-8."""
-    path = path or vocabulary_path()
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece) of the vocabulary, a piece's bytes as a string that need not be UTF-8."""
+    known = pieces(path)
+    d = spark.createDataFrame(pa.table({"id": pa.array(range(len(known)), pa.int32()), "piece": pa.array(known, pa.binary())}))
+    d = d.select("id", F.col("piece").cast("string").alias("piece"))
+    return F.broadcast(d) if len(known) <= MOST_BROADCAST else d
 
-    @F.pandas_udf("string")
-    def text(ids):
-        known = pieces(path)
-        return ids.map(lambda x: None if x is None else b"".join([known[i] for i in x]).decode("utf-8", "replace"))
 
-    return rows.withColumn("decoded", text(F.col(ids_col)))
+def texts_of(sequences: DataFrame, path: str) -> DataFrame:
+    """(key, decoded) of (key, ids), equal keys having equal ids; none for ids that are null or empty."""
+    one = sequences.where(F.size("ids") > 0).groupBy("key").agg(F.any_value("ids").alias("ids"))
+    each = one.select("key", F.posexplode("ids").alias("pos", "id"))
+    found = each.join(piece_table(sequences.sparkSession, path), "id", "left")
+    parts = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("piece", F.lit("\ufffd")).alias("piece"))))
+    return found.groupBy("key").agg(F.make_valid_utf8(F.array_join(F.transform(parts, lambda x: x["piece"]), "")).alias("decoded"))
 
 
-def digests(ids: np.ndarray, known: list[bytes]) -> tuple[int, str, str]:
-    text = b"".join([known[i] for i in ids.tolist()]).decode("utf-8", "replace")
-    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+def decode(rows: DataFrame, ids_col: str = "token_ids", path: str | None = None) -> DataFrame:
+    """All columns of ``rows`` and ``decoded``, in place of a column of that name: the text of each row's token ids."""
+    keep = [c for c in rows.columns if c.lower() != "decoded"]
+    ids = F.col(f"`{ids_col}`").cast("array<int>")
+    d = rows.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), ids.alias("ids"), F.struct(F.xxhash64(ids).alias("a"), F.xxhash64(F.lit(1), ids).alias("b"), F.size(ids).alias("n")).alias("key"))
+    d = d.join(texts_of(d.select("key", "ids"), path or vocabulary_path()), "key", "left")
+    return d.select("row.*", F.when(F.col("ids").isNotNull(), F.coalesce("decoded", F.lit(""))).alias("decoded"))
+
+
+def digests(ids: np.ndarray) -> tuple[int, str, np.ndarray]:
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), ids.astype(np.int32)
 
 
 def digest_columns(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return encoded(docs.select("doc_id", "text"), digests, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", path)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row."""
+    path = path or vocabulary_path()
+    folder = shared_dir(docs.sparkSession)
+    d = written(encoded(docs.select("doc_id", "text"), digests, "n_tokens bigint, ids_sha256 string, ids array<int>", path), folder, "ids")
+    texts = texts_of(d.select(F.col("ids_sha256").alias("key"), "ids"), path).select(F.col("key").alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("digest"))
+    return d.join(texts, "ids_sha256", "left").select("doc_id", "n_tokens", "ids_sha256", F.coalesce("digest", F.sha2(F.lit(b""), 256)).alias("decoded_sha256"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,17 +1,20 @@
-"""Operator 6, language ID: bit-sliced Bloom filters over letter trigrams, one bit of each slot for a language.
+"""Operator 6, language ID: bit-sliced Bloom filters over letter trigrams, a few bits of each slot for a language.
 
-Training counts trigrams by language and gives a trigram to every language in which its relative frequency is at least HALF of
-its highest; a filter slot is the union of the bits of the trigrams that hash to it, so one look-up (the AND of
-PROBES slots) returns all languages of a trigram. A text's votes are the set bits of its trigrams by language, less the
-false positives expected at the language's own fill; most votes win, the language that sorts first on a tie.
+Training counts trigrams by language. A language has one filter for all its trigrams and one more for each share in
+SHARES, holding those that make up at least that share of its occurrences; all filters of all languages lie side by side as the bits
+of a slot. One look-up, the AND of PROBES slots, so returns every language that contains a trigram, and how often it does, by
+the number of its bits. A text's votes for a language are the popcounts of its bits over all trigrams, less the false positives
+expected at its filters' fill; most votes win, the language that sorts first on a tie.
 
 A trigram is a letter with its neighbours, letters in lower case and everything else a blank. All trigrams of the training texts
-are in the filter, however rare. It has at most 2 ** MOST_BITS slots; beyond 2 ** MOST_BITS / SLOTS_PER_GRAM trigrams it fills further,
-and the false positives expected of it rise.
+are in the filters, however rare, in every language that has them. There are at most 2 ** MOST_BITS slots, fewer with over 96 languages
+so that all filters stay below 256 MB; beyond 2 ** MOST_BITS / SLOTS_PER_GRAM trigrams they fill further, and the false positives expected of
+them rise.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; with letters but no votes it gets the commonest
 training language; without training rows everything is ``und``; rows without a language or an id train nothing; a null id is
-held_out false; repeated rows count each; a very long text is read in slices; extra columns are ignored.
+held_out false; repeated rows count each; a very long text is read in slices, cut at blanks where there are any, and its votes
+added up; more than MOST_LANGUAGES languages are an error; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-HALF, PROBES, SLOTS_PER_GRAM, MOST_BITS, WORD = 0.5, 3, 16, 22, 63
+PROBES, SLOTS_PER_GRAM, MOST_BITS = 3, 16, 22
+#: Shares of a language's occurrences from which a trigram is in a further filter of it.
+SHARES = (1e-6, 1e-5, 1e-4, 1e-3)
+BANDS = len(SHARES) + 1
+#: Languages whose bits share a 64-bit number.
+WORD = 63 // BANDS
+MOST_LANGUAGES = 10_000
 SLICE = 1 << 20
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -87,12 +96,12 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 class Filter:
-    """Bloom filters of all languages side by side: bit l % WORD of slot words[l // WORD, i] belongs to language l."""
+    """Bloom filters of all languages side by side: bits from l % WORD * BANDS on of words[l // WORD, slot] belong to language l."""
 
     def __init__(self, langs: list[str], commonest: str | None, bits: int, words: np.ndarray):
         self.langs, self.commonest, self.bits, self.words = langs, commonest, bits, words
-        fill = np.array([((words[i // WORD] >> np.int64(i % WORD)) & 1).mean() for i in range(len(langs))]) if langs else np.zeros(0)
-        self.false = fill**PROBES
+        fill = np.array([[((words[i // WORD] >> np.int64(i % WORD * BANDS + k)) & 1).mean() for k in range(BANDS)] for i in range(len(langs))]).reshape(-1, BANDS)
+        self.false = (fill**PROBES).sum(axis=1)
 
     def votes(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Set bits by text and language; text i has the trigrams from starts[i] to starts[i + 1]."""
@@ -100,27 +109,31 @@ class Filter:
         masks = [w[at[0]] & w[at[1]] & w[at[2]] for w in self.words]
         out = np.zeros((len(starts) - 1, len(self.langs)))
         for i in range(len(self.langs)):
-            sums = np.concatenate(([0], np.cumsum((masks[i // WORD] >> np.int64(i % WORD)) & 1)))
+            bits = np.bitwise_count(masks[i // WORD] & np.int64((1 << BANDS) - 1 << i % WORD * BANDS))
+            sums = np.concatenate(([0], np.cumsum(bits, dtype=np.int64)))
             out[:, i] = sums[starts[1:]] - sums[starts[:-1]]
         return out
 
 
 def train(rows: DataFrame) -> Filter:
-    """The filter learnt from rows (lang, text). To the driver come a row for each language and the slots in use, which MOST_BITS bounds."""
+    """The filters learnt from rows (lang, text). To the driver come a row for each language and the slots in use, which MOST_BITS bounds."""
     counts = gram_counts(rows.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text")).persist()
     try:
-        totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+        if len(totals) > MOST_LANGUAGES:
+            raise ValueError(f"more than {MOST_LANGUAGES} languages")
         langs = sorted(totals)
         if not langs:
             return Filter([], None, 1, np.zeros((1, 2), np.int64))
-        share = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, float(totals[k]))]), F.col("lang"))
-        index = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)]), F.col("lang"))
-        shares = counts.select("gram", index.alias("l"), share.alias("share"))
-        tops = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("l", "share")).alias("all"))  # a row for each language at most
-        own = tops.select("gram", F.explode("all").alias("x"), "top").where(F.col("x.share") >= HALF * F.col("top")).select("gram", F.col("x.l").alias("l"))
-        n = tops.count()
-        bits = min(MOST_BITS, max(10, (SLOTS_PER_GRAM * n - 1).bit_length()))
-        used = own.groupBy("gram", (F.col("l") / WORD).cast("int").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, l % {WORD}))").alias("mask"))
+        known = rows.sparkSession.createDataFrame([(k, i, float(totals[k])) for i, k in enumerate(langs)], "lang string, l int, total double")
+        share, first = F.col("n") / F.col("total"), F.col("l") % WORD * BANDS
+        band = F.lit(1).cast("long")
+        for k, least in enumerate(SHARES, 1):
+            band = band + F.when(share >= least, 1 << k).otherwise(0).cast("long")
+        placed = counts.join(F.broadcast(known), "lang").select("gram", (F.col("l") / WORD).cast("int").alias("word"), band.alias("band"), first.alias("first"))
+        used = placed.selectExpr("gram", "word", "shiftleft(band, first) AS bits").groupBy("gram", "word").agg(F.expr("bit_or(bits)").alias("mask")).persist()
+        n, wide = used.select("gram").distinct().count(), (-(-len(langs) // WORD) - 1).bit_length()
+        bits = min(MOST_BITS - max(0, wide - 3), max(10, (SLOTS_PER_GRAM * n - 1).bit_length()))
 
         def probe(batches):
             for b in batches:
@@ -129,6 +142,7 @@ def train(rows: DataFrame) -> Filter:
                     yield pa.RecordBatch.from_arrays([word, pa.array(at), mask], names=["word", "slot", "mask"])
 
         set_bits = used.mapInArrow(probe, "word int, slot bigint, mask bigint").groupBy("word", "slot").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+        used.unpersist()
         words = np.zeros((-(-len(langs) // WORD), 1 << bits), np.int64)
         words[set_bits["word"].to_numpy(), set_bits["slot"].to_numpy()] = set_bits["mask"].to_numpy()
         return Filter(langs, max(langs, key=lambda k: (totals[k], k)), bits, words)
@@ -147,17 +161,19 @@ def predict(docs: DataFrame, filt: Filter, carry=("doc_id", "held_out")) -> Data
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                out = [("und", 0.0)] * b.num_rows
-                for lo, texts in packs(b.column("text").to_pylist()):
+                votes, n = np.zeros((b.num_rows, len(f.langs))), np.zeros(b.num_rows, np.int64)
+                for owner, texts in packs(b.column("text").to_pylist()):
                     h, where = trigrams(" ".join(texts))
                     starts = np.searchsorted(where, np.concatenate(([0], np.cumsum([len(t.lower()) + 1 for t in texts]))))
-                    votes, n = f.votes(h, starts), np.diff(starts)
-                    votes = np.maximum(0, (votes - n[:, None] * f.false) / (1 - np.minimum(f.false, 0.999)))
-                    for i in np.flatnonzero(n):
-                        total = votes[i].sum()
-                        if f.langs:
-                            best = int(votes[i].argmax()) if total > 0 else -1
-                            out[lo + i] = (f.langs[best], float(votes[i, best] / total)) if total > 0 else prior
+                    np.add.at(votes, owner, f.votes(h, starts))
+                    np.add.at(n, owner, np.diff(starts))
+                votes = np.maximum(0, votes - n[:, None] * f.false)
+                out = [("und", 0.0)] * b.num_rows
+                for i in np.flatnonzero(n):
+                    total = votes[i].sum()
+                    if f.langs:
+                        best = int(votes[i].argmax()) if total > 0 else -1
+                        out[i] = (f.langs[best], float(votes[i, best] / total)) if total > 0 else prior
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array([x for x, _ in out]), pa.array([x for _, x in out], pa.float64())], names=[*carry, "lang_pred", "score"])
 
     kept = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in carry)
@@ -165,17 +181,18 @@ def predict(docs: DataFrame, filt: Filter, carry=("doc_id", "held_out")) -> Data
 
 
 def packs(texts: list[str | None]):
-    """(index of the first, texts) of neighbours with at most 4 SLICE characters together, or one longer text."""
-    lo, part, size = 0, [], 0
+    """(indexes of the texts, slices of them) with at most about 4 SLICE characters together."""
+    owner, part, size = [], [], 0
     for i, t in enumerate(texts):
-        t = t or ""
-        if part and size + len(t) > 4 * SLICE:
-            yield lo, part
-            lo, part, size = i, [], 0
-        part.append(t)
-        size += len(t)
+        for piece in slices(t or ""):
+            if part and size + len(piece) > 4 * SLICE:
+                yield owner, part
+                owner, part, size = [], [], 0
+            owner.append(i)
+            part.append(piece)
+            size += len(piece)
     if part:
-        yield lo, part
+        yield owner, part
 
 
 def fold(docs: DataFrame, by: int) -> DataFrame:

@@ -10,7 +10,8 @@ count and seek table, then mono layer III frames with checksums, each holding 19
 Every byte is read back from the frames by :func:`payload`.
 
 Edge cases: null and empty texts are stored as 192 blanks; null ids and repeated rows are kept; very long texts become more
-frames; bytes that are no MPEG audio give no frames and a null duration; an empty table gives an empty result.
+frames, one row each; bytes that are no MPEG audio give no frames and a null duration; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,14 @@ BITRATES = {
     (2, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
     (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
+#: Fixed values (ISO/IEC 11172-3 tables B.2a to B.2d, 13818-3 table B.1): bits of a layer II allocation, as (subbands, bits) from the lowest on.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "lsf": ((4, 4), (7, 3), (19, 2)),
+}
 RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 2.5: (11025, 12000, 8000)}
 
 
@@ -48,6 +57,14 @@ def crc16(data: bytes, value: int = 0xFFFF) -> int:
     return value
 
 
+def crc16_bits(value: int, n: int) -> int:
+    """:func:`crc16` of the ``n`` lowest bits of ``value``, highest first."""
+    out = crc16((value >> n % 8).to_bytes(n // 8)) if n >= 8 else 0xFFFF
+    for i in range(n % 8 - 1, -1, -1):
+        out = (out << 1 ^ (0x8005 if (out >> 15 ^ value >> i) & 1 else 0)) & 0xFFFF
+    return out
+
+
 @dataclass(frozen=True)
 class Header:
     version: float
@@ -59,6 +76,40 @@ class Header:
     size: int
     samples: int
     side: int
+    joint: int | None = None  # first subband that both channels share
+
+    def allocation(self) -> list[int]:
+        """Bits of the allocation of each subband, layers I and II."""
+        if self.layer == 1:
+            return [4] * 32
+        each = self.kbps // (1 if self.mono else 2)
+        if self.version != 1:
+            table = "lsf"
+        elif each <= 48:
+            table = "d" if self.rate == 32000 else "c"
+        else:
+            table = "a" if self.rate == 48000 or each <= 80 else "b"
+        return [bits for n, bits in ALLOCATION[table] for _ in range(n)]
+
+    def checksum(self, frame: bytes) -> int:
+        """The checksum of what it covers in this frame: the header's second half and side information, allocation, or allocation and selection."""
+        if self.layer == 3:
+            return crc16(frame[2:4] + frame[6 : 6 + self.side])
+        widths = self.allocation()
+        joint = len(widths) if self.joint is None else min(self.joint, len(widths))
+        fields = [w for k, w in enumerate(widths) for _ in range(1 if self.mono or k >= joint else 2)]
+        body, total = frame[6:], sum(fields)
+        value, have = int.from_bytes(body[: total // 8 + 1]), (total // 8 + 1) * 8
+        if self.layer == 2:  # two bits of scale factor selection for each channel whose subband has an allocation
+            at, used = 0, 0
+            for k, w in enumerate(widths):
+                own = 1 if self.mono or k >= joint else 2
+                for _ in range(own):
+                    used += (value >> have - at - w & (1 << w) - 1 > 0) * (1 if self.mono or own == 2 else 2)
+                    at += w
+            total += 2 * used
+            value, have = int.from_bytes(body[: total // 8 + 1]), (total // 8 + 1) * 8
+        return crc16_bits(int.from_bytes(frame[2:4]) << total | value >> have - total, 16 + total)
 
 
 def header(four: bytes, _known: dict = {}) -> Header | None:  # noqa: B006  a table of the few headers that occur
@@ -76,7 +127,8 @@ def header(four: bytes, _known: dict = {}) -> Header | None:  # noqa: B006  a ta
             samples = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
             size = (12000 * kbps // rate + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // rate + pad
             side = 0 if layer < 3 else (17 if mono else 32) if version == 1 else (9 if mono else 17)
-            h = Header(version, layer, not four[1] & 1, kbps, rate, mono, size, samples, side)
+            joint = 4 + 4 * (four[3] >> 4 & 3) if four[3] >> 6 == 1 and layer < 3 else None
+            h = Header(version, layer, not four[1] & 1, kbps, rate, mono, size, samples, side, joint)
     _known[four] = h
     return h
 
@@ -168,10 +220,12 @@ def chain(data: bytes, at: int, end: int, tags: dict[str, str]) -> Media:
             out.skipped += (lost if lost >= 0 else end) - at
             at, chained = lost if lost >= 0 else end, False
             continue
-        if h.protected and h.layer == 3:
-            covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
+        if h.protected:
+            covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side] if h.layer == 3 else data[at:after]
             if (s := sums.get(covered)) is None:
-                s = sums[covered] = crc16(covered)
+                s = h.checksum(data[at:after])
+                if len(sums) < 1000:
+                    sums[covered] = s
             out.checked += 1
             out.bad += s != data[at + 4] << 8 | data[at + 5]
         if not (first and vbr_table(data[at:after], h, out)):
@@ -241,7 +295,7 @@ def with_media(docs: DataFrame) -> DataFrame:
 FEATURES = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, seconds double, seek_offsets array<bigint>"
 
 
-def read_media(stored: DataFrame, offsets: bool = True) -> DataFrame:
+def read_media(stored: DataFrame) -> DataFrame:
     """(doc_id, the columns of FEATURES) from the stored bytes alone; null media give nulls."""
     kind = stored.schema["doc_id"].dataType.simpleString()
     fields = [x.strip().split()[0] for x in FEATURES.split(", ")]
@@ -252,7 +306,7 @@ def read_media(stored: DataFrame, offsets: bool = True) -> DataFrame:
         m = parse(data)
         p = payload(data, m)
         length = m.tags.get("TXXX:LENGTH")
-        return (int(length) if length else None, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(m), m.seconds, m.offsets if offsets else None)
+        return (int(length) if length else None, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(m), m.seconds, m.offsets)
 
     def run(batches):
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64())]
@@ -266,4 +320,4 @@ def read_media(stored: DataFrame, offsets: bool = True) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return read_media(with_media(documents(spark, sf_dir)), offsets=False).drop("seek_offsets")
+    return read_media(with_media(documents(spark, sf_dir)))

@@ -8,7 +8,8 @@ pooling adjacent violators; a score is interpolated between the pooled blocks.
 
 Inputs of a score are the text's statistics only. Edge cases: a null text is an empty text and is scored; null ids are scored,
 never learnt from and held_out false; labels that are null are ignored, of several for one id the greatest holds;
-without training rows every score is 0.5; repeated rows are scored each; extra columns are ignored.
+without training rows every score is 0.5; repeated rows are scored each; an empty table of documents trains nothing and gives an empty
+result; a very long text is one row, read whole by its task; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ when the link is taken; reading a word follows trie edges, takes links where the
 counts, so that each byte is read once and no piece is ever cut out. The result equals that of taking the
 longest vocabulary piece at each position from the left.
 
-Words are maximal runs without blanks, each read with one space before it, as the pieces of the default vocabulary are
-written. A word that can't be cut into pieces counts as one unknown token. Counts of distinct words are kept in a bounded
+Words are maximal runs without blanks. With the default vocabulary each is read with one space before it, as that writes its
+pieces; with a vocabulary of first and continuing pieces (one piece a line, the latter marked by ``##`` or the like) the first
+ones bear a mark that the automaton reads before the word. A word that can't be cut into pieces counts as one unknown token. Counts of distinct words are kept in a bounded
 table in each worker.
 
 Edge cases: null and empty texts have 0 words and 0 tokens; null ids and repeated rows are kept; a word of any length
@@ -81,13 +82,13 @@ class Automaton:
 
 
 class Counts(dict):
-    """word -> number of tokens, computed at the first look-up."""
+    """word -> number of tokens, computed at the first look-up. ``lead`` is read before each word."""
 
-    def __init__(self, automaton: Automaton):
-        self.automaton = automaton
+    def __init__(self, automaton: Automaton, lead: bytes = b" "):
+        self.automaton, self.lead = automaton, lead
 
     def __missing__(self, word: str) -> int:
-        n = self.automaton.count(b" " + word.encode())
+        n = self.automaton.count(self.lead + word.encode())
         self[word] = n = 1 if n is None else n
         return n
 
@@ -97,14 +98,26 @@ def default_automaton(path: str) -> Automaton:
     return Automaton(pieces(path))
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(doc_id, n_words, n_tokens) for each row."""
+#: Before a first piece and before each word; in no UTF-8.
+FIRST = b"\xff"
+
+
+@lru_cache(maxsize=2)
+def word_piece_automaton(path: str, continuing: str) -> Automaton:
+    """Of a file with a piece a line, the ones that ``continuing`` starts being those that don't begin a word."""
+    with open(path, encoding="utf-8") as f:
+        lines = [x.rstrip("\r\n") for x in f]
+    return Automaton(x.removeprefix(continuing).encode() if x.startswith(continuing) else FIRST + x.encode() for x in lines if x not in ("", continuing))
+
+
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, continuing: str | None = None) -> DataFrame:
+    """(doc_id, n_words, n_tokens) for each row; with ``continuing``, ``path`` is a file of pieces, see :func:`word_piece_automaton`."""
     path = path or vocabulary_path()
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        counts = Counts(default_automaton(path))
+        counts = Counts(word_piece_automaton(path, continuing), FIRST) if continuing else Counts(default_automaton(path))
         for b in batches:
             words, tokens = [], []
             for text in b.column("text"):

@@ -1,16 +1,21 @@
 """Operator 4, WARC: archives of pages, written and read as a table of chunks.
 
-Writing: each task streams its rows into compressed WARC 1.1 files (a gzip member per record) in the shared folder and returns
-rows that name the files; that manifest is a written table, so a task run twice leaves a file that nobody names.
-Of equal payloads one record is a response, the others are revisits that refer to it and carry its HTTP head only.
+Writing: Spark deals each payload out in rows of at most CHUNK bytes, (record, chunk number, bytes), in order and beside the whole
+payload's length and SHA-1, which a head needs first. Each task streams its rows into compressed WARC 1.1 files (a gzip member per
+record) in the shared folder, checks the digest as it goes, and returns rows that name the files; that manifest is a written
+table, so a task run twice leaves a file that nobody names. Of equal payloads one record is a response, the others are revisits that
+refer to it and carry its HTTP head only.
 
-Reading: a task streams a file and gives a row for each chunk of a payload -- record, chunk number, bytes, length and SHA-1 of
-the payload so far -- so neither side ever holds a whole record that is longer than a chunk. A record's last chunk has
-its whole length and digest; a revisit has one empty chunk with those that its head states.
+Reading: files are dealt out one a task, up to MOST_TASKS tasks. A task streams a file and gives a row for each chunk of a payload:
+record, chunk number, bytes, length and SHA-1 of the payload so far. A record's last chunk has its whole length and
+digest; a revisit has one empty chunk with those that its head states.
+
+A worker that writes or reads holds one chunk of a record; the cell of the pages table that Spark reads a payload from is whole.
 
 Edge cases: a null payload is empty and has one empty chunk; a null url has no target field; a null id is written as
 such and read as null, and its record is always a response, as nothing could refer to it; rows that repeat an id and
-a payload are all responses if the id is the group's smallest; an empty table gives no records; extra columns are ignored.
+a payload are all responses if the id is the group's smallest; an empty table gives no records; a very long payload
+becomes more chunks; extra columns are ignored, whatever their names. Ids are integers.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from .common import shared_dir, written
 
 CHUNK = 1 << 20
 FILE_BYTES = 256 << 20
+MOST_TASKS = 100_000
 ID = "urn:sievework:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNKS = "page_id bigint, record_type string, target_uri string, refers_to bigint, chunk_no int, chunk binary, bytes_so_far bigint, digest_so_far string, is_last boolean"
@@ -61,14 +67,29 @@ class Archive:
         self.name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
         self.out, self.records, self.bytes = base.open_output_stream(f"{path}/{self.name.rpartition('/')[2]}", compression=None), 0, 0
 
-    def record(self, fields: list[tuple[str, str]], head: bytes, body: memoryview) -> None:
-        gz = zlib.compressobj(1, zlib.DEFLATED, 31)
-        lines = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(head) + len(body)))])
-        for part in (f"WARC/1.1\r\n{lines}\r\n".encode() + head, *(body[i : i + CHUNK] for i in range(0, len(body), CHUNK)), b"\r\n\r\n"):
-            self.send(gz.compress(part))
-        self.send(gz.flush())
+    def begin(self, fields: list[tuple[str, str]], head: bytes, size: int) -> None:
+        """Starts a record whose head is followed by ``size`` bytes."""
+        self.gz, self.left = zlib.compressobj(1, zlib.DEFLATED, 31), size
+        lines = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(head) + size))])
+        self.send(self.gz.compress(f"WARC/1.1\r\n{lines}\r\n".encode() + head))
+
+    def add(self, part: memoryview | bytes) -> None:
+        self.left -= len(part)
+        self.send(self.gz.compress(part))
+
+    def end(self) -> None:
+        if self.left:
+            raise ValueError(f"a record lacks {self.left} bytes")
+        self.send(self.gz.compress(b"\r\n\r\n"))
+        self.send(self.gz.flush())
         self.records += 1
 
+    def record(self, fields: list[tuple[str, str]], head: bytes, body: memoryview) -> None:
+        self.begin(fields, head, len(body))
+        for i in range(0, len(body), CHUNK):
+            self.add(body[i : i + CHUNK])
+        self.end()
+
     def send(self, data: bytes) -> None:
         self.bytes += len(data)
         self.out.write(data)
@@ -83,28 +104,46 @@ def field_value(text: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", text)
 
 
-def write(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def payload_chunks(pages: DataFrame, min_bytes: int = 0, size: int = CHUNK) -> DataFrame:
+    """(page_id, url, refers_to, sha, length, chunk_no, chunk) in order: the chunks of each row's payload, one empty one for a revisit."""
+    p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    p = p.withColumn("sha", F.sha1("html")).join(roles(pages, min_bytes), ["page_id", "sha"], "left").withColumn("length", F.octet_length("html").cast("long"))
+    last = F.when(F.col("refers_to").isNotNull() | (F.col("length") == 0), 0).otherwise(F.floor((F.col("length") - 1) / size)).cast("int")
+    p = p.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
+    chunk = F.when(F.col("refers_to").isNull(), F.substring(F.col("html").cast("binary"), F.col("chunk_no") * size + 1, F.lit(size)))
+    return p.select("page_id", "url", "refers_to", "sha", "length", "chunk_no", chunk.alias("chunk"))
+
+
+def write(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", chunk: int = CHUNK) -> DataFrame:
     """Writes one record for each row of (page_id, url, html); the manifest (file, records, bytes)."""
-    p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    p = p.withColumn("sha", F.sha1("html")).join(roles(pages, min_bytes), ["page_id", "sha"], "left").select("page_id", "url", F.col("html").cast("binary").alias("html"), "refers_to")
+    p = payload_chunks(pages, min_bytes, chunk)
     target = f"{folder}/archives"
 
     def run(batches):
-        a, done = None, []
+        a, done, digest = None, [], None
         for b in batches:
-            cols = [b.column(i) for i in range(4)]
-            for i in range(b.num_rows):
-                page, url, refers = cols[0][i].as_py(), cols[1][i].as_py(), cols[3][i].as_py()
-                body = memoryview(cols[2][i].as_buffer())
-                digest = base32(hashlib.sha1(body).digest())
+            cols = [b.column(i) for i in range(6)]
+            for i, part in enumerate(b.column(6)):
+                page, url, refers, sha, length, number = (c[i].as_py() for c in cols)
                 if a is None:
                     a = Archive(target)
-                fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", f"<{ID}{'' if page is None else page}>"), ("WARC-Date", date)]
-                fields += [("WARC-Target-URI", field_value(url))] if url is not None else []
-                fields += [("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
-                fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{ID}{refers}>")] if refers is not None else []
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-                a.record(fields, head, body if refers is None else memoryview(b""))
+                if number == 0:
+                    fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", f"<{ID}{'' if page is None else page}>"), ("WARC-Date", date)]
+                    fields += [("WARC-Target-URI", field_value(url))] if url is not None else []
+                    fields += [("WARC-Payload-Digest", f"sha1:{base32(bytes.fromhex(sha))}"), ("Content-Type", "application/http; msgtype=response")]
+                    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{ID}{refers}>")] if refers is not None else []
+                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
+                    a.begin(fields, head, length if refers is None else 0)
+                    digest = hashlib.sha1()
+                if part.is_valid:
+                    body = memoryview(part.as_buffer())
+                    digest.update(body)
+                    a.add(body)
+                if a.left:
+                    continue
+                a.end()
+                if refers is None and digest.hexdigest() != sha:
+                    raise ValueError(f"the chunks of page {page} are not its payload")
                 if a.bytes >= FILE_BYTES:
                     done.append(a.close())
                     a = None
@@ -231,7 +270,8 @@ def read(manifest: DataFrame, payload: bool = True, chunk: int = CHUNK) -> DataF
                 if rows:
                     yield batch(rows)
 
-    return manifest.select("file").repartition("file").mapInArrow(run, CHUNKS)
+    files = manifest.select("file")
+    return files.repartitionByRange(max(1, min(files.count(), MOST_TASKS)), "file").mapInArrow(run, CHUNKS)  # a number: adaptive execution leaves it
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,9 +11,9 @@ def sha(b: bytes) -> str:
     return hashlib.sha256(b).hexdigest()
 
 
-def longest_match(word: bytes, vocabulary: set[bytes]) -> int | None:
+def longest_match(word: bytes, vocabulary: set[bytes], most: int | None = None) -> int | None:
     i = n = 0
-    most = max(map(len, vocabulary), default=0)
+    most = most or max(map(len, vocabulary), default=0)
     while i < len(word):
         j = next((j for j in range(min(len(word), i + most), i, -1) if word[i:j] in vocabulary), None)
         if j is None:

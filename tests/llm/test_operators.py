@@ -46,10 +46,11 @@ def test_empty_tables_null_ids_and_repeated_rows(docs, operator):
 
 def test_token_counts_equal_longest_match(docs):
     vocabulary = set(bpe.pieces(bpe.vocabulary_path()))
+    most = max(map(len, vocabulary))
     got = as_dict(token_counts.token_counts(docs), "n_words", "n_tokens")
     for i, t in enumerate(corpus()):
         w = brute.WORD.findall(t or "")
-        assert got[i] == (len(w), sum(brute.longest_match(b" " + x.encode(), vocabulary) for x in w))
+        assert got[i] == (len(w), sum(brute.longest_match(b" " + x.encode(), vocabulary, most) for x in w))
 
 
 def test_automaton_on_random_vocabularies():
@@ -74,6 +75,17 @@ def test_automaton_equals_the_library():
         assert (a.count(b"^" + w.encode()) or 1) == len(pieces)
 
 
+def test_counts_with_first_and_continuing_pieces(spark, tmp_path):
+    from tokenizers.models import WordPiece
+
+    voc = ["[UNK]", "the", "t", "##he", "##h", "##e", "ca", "##t", "##s", "é", "##é"]
+    (tmp_path / "pieces.txt").write_text("\n".join(voc) + "\n", encoding="utf-8")
+    model = WordPiece({v: i for i, v in enumerate(voc)}, unk_token="[UNK]", max_input_chars_per_word=100)
+    texts = ["the cats the", "éé  theé\ncat", "dog the", "hes", "", None, "t" * 3000 + " the"]
+    got = as_dict(token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path=str(tmp_path / "pieces.txt"), continuing="##"), "n_tokens")
+    assert got == {i: (sum(len(model.tokenize(w)) if len(w) < 100 else len(w) for w in brute.WORD.findall(t or "")),) for i, t in enumerate(texts)}
+
+
 def test_fm_index_counts_and_matching_statistics():
     r = np.random.default_rng(1)
     text = np.concatenate([np.append(r.integers(1, 5, n), 0) for n in (40, 1, 25, 60)])
@@ -286,6 +298,34 @@ def test_quality_rules(docs):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in quality_rules.judge(docs).where("kept").collect()}
 
 
+def test_verdicts_equal_brute_force(docs):
+    import unicodedata
+
+    def good(t):
+        n, chars, symbols, dup, rep = brute.quality(t)
+        lines = [x for x in (t or "").split("\n") if x.strip(" ")]
+        kinds = [unicodedata.category(c) for c in t or ""]
+        return not (n < 50 or 100 * rep > 50 * n or 10 * symbols > n or not 2 * n <= chars <= 14 * n or (dup >= 3 and 2 * dup > len(lines))
+                    or 10 * sum(k[0] == "L" for k in kinds) < 6 * chars or 2 * sum(k == "Lu" for k in kinds) > chars)
+
+    letters = str.maketrans("0123456789", "abcdefghij")
+    plain = [prose(s).translate(letters) for s in range(20, 26)]
+    texts = [*corpus(), *plain, plain[0].upper(), "# " * 40 + plain[1], "\n".join([plain[2][:90]] * 4 + [plain[3]]), " ".join(x * 9 for x in plain[4].split()), "AB CD EF " * 30 + prose(1).upper(), "1234 " * 10 + " ".join(str(i * 7919) for i in range(90)), ("one two " + prose(2, 8) + "\n") * 3 + prose(4, 9), "x" * 2000 + " " + prose(3, 60), prose(6, 60) + " #" * 30]
+    d = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {i for i, t in enumerate(texts) if good(t)}
+    assert {r["doc_id"] for r in quality_rules.judge(d).where("kept").collect()} == want == {r["doc_id"] for r in quality_rules.keep(d).collect()}
+    assert 0 < len(want) < len(texts) - 5
+
+
+def test_rules_are_ordered_by_rejections_per_cost(spark):
+    t = spark.createDataFrame([("x" * 40 + str(i),) for i in range(100)], "t string")
+    dear = "length(regexp_replace(sha2(regexp_replace(repeat(t, 200), '[a-y]', 'bbb'), 512), '[0-9]', 'abc')) < 0"
+    rules = [quality_rules.Rule("dear", dear), quality_rules.Rule("rare", "t LIKE '%77'"), quality_rules.Rule("frequent", "t LIKE '%1'"), quality_rules.Rule("dear_frequent", dear.replace("< 0", "> 0"))]
+    for _ in range(2):
+        assert [r.name for r in quality_rules.plan_cascade(t, rules, characters=100_000)][::3] == ["frequent", "dear"]
+    assert [r.name for r in quality_rules.plan_cascade(t.limit(0), rules)] == ["dear", "rare", "frequent", "dear_frequent"]
+
+
 def test_order_of_rules_changes_nothing_kept(docs):
     one, two = (quality_rules.judge(docs, r).where("kept").select("doc_id").collect() for r in (quality_rules.RULES, quality_rules.RULES[::-1]))
     assert sorted(one) == sorted(two)
@@ -303,10 +343,41 @@ def test_bpe_equals_the_library(docs):
     assert back == {i: (x or "", -1) for i, x in enumerate(corpus())}
 
 
-def test_warc_round_trip(spark):
+def test_decoding_is_a_join(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(bpe.vocabulary_path()), random.Random(2)
+    rows = [(i, [r.randrange(50257) for _ in range(r.randint(1, 40))], "old", i) for i in range(200)] + [(200, [], "old", 1), (201, None, "old", 2), (202, [10**6, 262], "old", 3)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id bigint, token_ids array<int>, decoded string, pos int")
+    want = {i: (t.decode(x, skip_special_tokens=False) if i < 202 and x is not None else None if x is None else "\ufffd the", k) for i, x, _, k in rows}
+    for most in (500_000, 10):
+        monkeypatch.setattr(bpe, "MOST_BROADCAST", most)
+        out = bpe.decode(df)
+        assert sorted(out.columns) == sorted(df.columns) and as_dict(out, "decoded", "pos") == want and out.count() == len(rows) + 3
+    assert bpe.decode(df.limit(0)).count() == 0
+
+
+def test_archives_are_read_in_parallel(spark):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 50).alias("html")).repartition(8)
+    manifest = warc.write(pages, shared_dir(spark))
+    files = manifest.count()
+    chunks = warc.read(manifest, payload=False)
+    assert files > 2 and chunks.withColumn("p", F.spark_partition_id()).select("p").distinct().count() == files and chunks.count() == 400
+
+
+def test_long_payloads_are_dealt_out_in_chunks(spark):
+    text = "é" * 50_000
+    parts = warc.payload_chunks(spark.createDataFrame([(1, "u", text), (2, "u", text), (3, "u", "")], "page_id bigint, url string, html string"), size=1000).collect()
+    own = [r for r in parts if r["page_id"] == 1]
+    assert [r["chunk_no"] for r in own] == list(range(100)) and b"".join(r["chunk"] for r in own) == text.encode() and max(len(r["chunk"]) for r in own) == 1000
+    assert [(r["page_id"], r["refers_to"], r["chunk"], r["length"]) for r in parts if r["page_id"] != 1] == [(2, 1, None, 100_000), (3, None, b"", 0)]
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 700])
+def test_warc_round_trip(spark, chunk):
     rows = [(1, "u", "x" * 5000), (2, None, "x" * 5000), (3, "http://a b\n", None), (4, "u", ""), (None, "z", "x" * 5000), (1, "u", "x" * 5000), (5, "q", "WARC/1.1\r\n\r\né" * 900)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
-    manifest = warc.write(pages, shared_dir(spark))
+    manifest = warc.write(pages.withColumns({"sha": F.lit(1), "length": F.lit(2), "chunk": F.lit(3), "refers_to": F.lit(4)}), shared_dir(spark), chunk=chunk)
     assert manifest.agg(F.sum("records")).first()[0] == len(rows)
     chunks = warc.read(manifest, chunk=2000).collect()
     for page, _, html in rows:
@@ -348,6 +419,11 @@ def test_mpeg_round_trip(docs):
         x = got[i]
         assert x[:4] == (len(raw), len(body), brute.sha(body), zlib.crc32(body[-16:])) and x[4] == pytest.approx(n * 1152 / 48000)
         assert len(x[5]) == n and all(b - a == 240 for a, b in zip(x[5], x[5][1:]))
+    more = as_dict(mpeg_audio.read_media(mpeg_audio.with_media(docs)), "media_bytes", "media_sha256", "feature")
+    stored = {r["doc_id"]: bytes(r["media"]) for r in mpeg_audio.with_media(docs).collect()}
+    for i, x in more.items():
+        assert x == (len(stored[i]), brute.sha(stored[i]), mpeg_audio.feature(mpeg_audio.parse(stored[i])))
+        assert x[2].startswith(f"frames={len(got[i][5])};samples={1152 * len(got[i][5])}/48000;kbps=80;crc={len(got[i][5]) + 1}/{len(got[i][5]) + 1};skipped=0;table=Info")
 
 
 def test_mpeg_resynchronises_and_checks():
@@ -363,6 +439,47 @@ def test_mpeg_resynchronises_and_checks():
     assert mpeg_audio.header(bytes([0xFF, 0xFB, 0x90, 0x64])).size == 417
 
 
+def bits_crc(bits):
+    """The checksum, a bit at a time."""
+    reg = 0xFFFF
+    for b in bits:
+        reg = (reg << 1 & 0xFFFF) ^ (0x8005 if reg >> 15 ^ b else 0)
+    return reg
+
+
+@pytest.mark.parametrize(("head", "widths"), [
+    ((0xFF, 0xFE, 0x44, 0x00), [4] * 64),  # layer I, stereo
+    ((0xFF, 0xFE, 0x44, 0x50), [4] * (2 * 8 + 24)),  # layer I, joint from subband 8
+    ((0xFF, 0xFC, 0x84, 0xC0), [4] * 11 + [3] * 12 + [2] * 4),  # layer II, mono, 48 kHz
+    ((0xFF, 0xFC, 0x80, 0xC0), [4] * 11 + [3] * 12 + [2] * 7),  # layer II, mono, 44.1 kHz, 128 kbit/s
+    ((0xFF, 0xFC, 0x28, 0xC0), [4] * 2 + [3] * 10),  # layer II, mono, 32 kHz, 48 kbit/s
+    ((0xFF, 0xFC, 0x24, 0x00), [4] * 4 + [3] * 12),  # layer II, stereo, 48 kHz, 48 kbit/s
+    ((0xFF, 0xF4, 0x84, 0xC0), [4] * 4 + [3] * 7 + [2] * 19),  # version 2, layer II, mono
+])
+def test_checksums_of_layers_one_and_two(head, widths):
+    r, frame = random.Random(1), None
+    h = mpeg_audio.header(bytes(head))
+    assert h.protected and h.layer in (1, 2)
+    frames = b""
+    for _ in range(3):
+        body = bytes(r.randrange(256) for _ in range(h.size - 6))
+        bits = [b >> k & 1 for b in body for k in range(7, -1, -1)]
+        n = sum(widths)
+        if h.layer == 2:
+            at = used = 0
+            for w in widths:
+                used += any(bits[at : at + w])
+                at += w
+            n += 2 * used
+        lead = [b >> k & 1 for b in head[2:] for k in range(7, -1, -1)]
+        frame = bytes(head) + bits_crc(lead + bits[:n]).to_bytes(2) + body
+        frames += frame
+    m = mpeg_audio.parse(frames)
+    assert (len(m.offsets), m.checked, m.bad) == (3, 3, 0)
+    m = mpeg_audio.parse(frames[: h.size] + frames[h.size : h.size + 6] + bytes([frames[h.size + 6] ^ 0x80]) + frames[h.size + 7 :])
+    assert (m.checked, m.bad) == (3, 1)
+
+
 @pytest.mark.parametrize("units", [1, 2, 5])
 def test_mpeg_payload_that_looks_like_a_tag(units):
     raw = b"x" * (192 * units - 103) + b"TAG" + b"y" * 100
@@ -392,8 +509,55 @@ def test_bloom_filters_hold_every_trigram(spark):
     df = spark.createDataFrame([("abc abd", f"l{i:02d}") for i in range(70)] + [("xyz", "l00")], "text string, lang string")
     model = language_id.train(df)
     h, _ = language_id.trigrams("xyz")
-    assert model.votes(h, np.array([0, len(h)]))[0, 0] == 3 and len(model.words) == 2
-
+    votes = model.votes(h, np.array([0, len(h)]))[0]
+    assert votes[0] == 3 * language_id.BANDS and not votes[1:].any() and len(model.words) == -(-70 // language_id.WORD)
+
+
+def test_filters_return_all_languages_of_a_trigram(spark):
+    """Against a brute-force table of trigrams: what a slot returns, and the votes that follow from it."""
+    r = random.Random(6)
+    texts = [("".join(r.choice("abcdeé ß") for _ in range(r.randint(1, 400))), f"l{r.randrange(20)}") for _ in range(60)]
+    rows = texts * 2
+    model = language_id.train(spark.createDataFrame(rows + [("zzz", None), (None, "l1"), ("", "l2")], "text string, lang string"))
+    seen = {}
+    for text, lang in rows:
+        for g in language_id.trigrams(text)[0].tolist():
+            seen.setdefault(lang, {}).setdefault(g, 0)
+            seen[lang][g] += 1
+    assert model.langs == sorted(seen)
+    for text, _ in texts[:10]:
+        h, _ = language_id.trigrams(text)
+        got = model.votes(h, np.array([0, len(h)]))[0]
+        least = [sum(1 + sum(seen[k][g] / sum(seen[k].values()) >= x for x in language_id.SHARES) for g in h.tolist() if g in seen[k]) for k in model.langs]
+        assert (got >= least).all() and (got <= np.array(least) + 0.05 * len(h) * language_id.BANDS).all()  # a trigram that is found by mistake is so each time
+
+
+def test_language_id_edge_cases(spark):
+    rows = [(1, "the with that", "en"), (1, "the with that", "en"), (2, "le avec que", "fr"), (2, "le avec que", "fr")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(df)
+    odd = df.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("score", "lang_pred", "fold", "lang", "n")], F.lit(False).alias("held_out"))
+    assert sorted((x["doc_id"], x["lang_pred"]) for x in language_id.predict(odd, model).collect()) == [(1, "en"), (1, "en"), (2, "fr"), (2, "fr")]
+    assert language_id.predict(odd.limit(0), model).count() == 0
+    with pytest.raises(ValueError, match="languages"):
+        import sievework.llm.language_id as m
+        old, m.MOST_LANGUAGES = m.MOST_LANGUAGES, 1
+        try:
+            m.train(df)
+        finally:
+            m.MOST_LANGUAGES = old
+
+
+@pytest.mark.parametrize("size", [10, 64])
+def test_votes_of_long_texts_add_up(spark, monkeypatch, size):
+    monkeypatch.setattr(language_id, "SLICE", size)
+    texts = ["the with that " * 30, None, "", "le avec " * 3, "x" * 200]
+    packs = list(language_id.packs(texts))
+    joined = {}
+    for owner, parts in packs:
+        for i, x in zip(owner, parts):
+            joined[i] = joined.get(i, "") + x
+    assert joined == {i: t or "" for i, t in enumerate(texts)} and max(sum(map(len, p)) for _, p in packs) <= 5 * size
 
 @pytest.mark.parametrize("most", [22, 19])
 def test_rare_trigrams_of_a_large_script_vote(spark, monkeypatch, most):
@@ -425,6 +589,44 @@ def test_quality_classifier_learns_and_never_sees_held_out_labels(spark):
     assert {x["score"] for x in quality_classifier.score(stats, None).collect()} == {0.5}
 
 
+def test_fit_equals_brute_force(spark):
+    """Normal equations, ridge and pooling against plain matrices and a quadratic search for the best monotone fit."""
+    r = random.Random(8)
+    rows = [(i, prose(i, r.randint(20, 90)) + " #" * r.randint(0, 9), r.randint(0, 1)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, y int").repartition(3)
+    stats = quality_classifier.document_statistics(docs)
+    model = quality_classifier.fit(stats, docs.select("doc_id", "y"))
+    x = np.array([quality_classifier.statistics(t) for _, t, _ in rows])
+    y = np.array([k for *_, k in rows], float)
+    fold = np.array([zlib.crc32(str(i).encode()) % 20 % 4 for i in range(200)])
+    to = quality_classifier.Map(x.mean(axis=0), x.std(axis=0))
+    assert np.allclose(to.mean, model.to.mean) and np.allclose(to.spread, model.to.spread)
+    z = np.array([[np.cos(np.clip((v - to.mean) / to.spread, -6, 6) @ to.w[:, j] + to.b[j]) * np.sqrt(2 / quality_classifier.FEATURES) for j in range(quality_classifier.FEATURES)] + [1.0] for v in x])
+    fit = z[fold != 1]
+    k = len(fit)
+    weights = np.linalg.solve(fit.T @ fit + quality_classifier.RIDGE * k * np.eye(fit.shape[1]) / fit.shape[1], fit.T @ y[fold != 1])
+    assert np.abs(z @ weights - model.raw(x)).max() < 1e-6
+    got = {q["doc_id"]: q["score"] for q in quality_classifier.score(stats, model).collect()}
+    s = np.clip(z @ weights, -0.5, 1.5)
+    bins = np.round(s[fold == 1] * quality_classifier.BINS / 2).astype(int)
+    kinds = np.unique(bins)
+    n, total = np.array([(bins == b).sum() for b in kinds]), np.array([y[fold == 1][bins == b].sum() for b in kinds])
+    best = [max(min(total[i : j + 1].sum() / n[i : j + 1].sum() for j in range(b, len(kinds))) for i in range(b + 1)) for b in range(len(kinds))]  # min-max formula of isotonic regression
+    at, value = quality_classifier.pooled(kinds * 2 / quality_classifier.BINS, n, total)
+    blocks = sorted(set(np.round(best, 12)))
+    assert np.allclose(value, blocks)
+    want = np.clip(np.interp(s, at, value), 0, 1)
+    assert max(abs(got[i] - want[i]) for i in range(200)) < 1e-4
+
+
+def test_quality_classifier_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    stats = quality_classifier.document_statistics(docs)
+    assert quality_classifier.fit(stats, spark.createDataFrame([(1, 1)], "doc_id bigint, y int")) is None and quality_classifier.score(stats, None).count() == 0
+    model = quality_classifier.Classifier(quality_classifier.Map(np.zeros(14), np.ones(14)), np.zeros(257))
+    assert quality_classifier.score(stats, model).count() == 0
+
+
 def test_pooling_is_monotone():
     at, value = quality_classifier.pooled(np.arange(6.0), np.ones(6), np.array([0, 1, 0, 1, 1, 0.0]))
     assert (np.diff(value) > 0).all() and (np.diff(at) > 0).all() and value[0] == 0
