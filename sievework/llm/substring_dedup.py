@@ -1,4 +1,4 @@
-"""Operator 2, substring dedup: FM-indexes of shards, searched backwards by the text that streams past them.
+"""Operator 2, substring dedup: compressed FM-indexes of shards, and the matching statistics of the text that streams past them.
 
 Every window of WINDOW words whose words also start earlier -- in a smaller id, or earlier in the document -- is a repeat,
 and each word that a repeat covers is removed. The input is cut so that equal windows meet in one shard:
@@ -6,20 +6,24 @@ and each word that a repeat covers is removed. The input is cut so that equal wi
 1. A window's anchor is the least hash among its runs of GRAM words; neighbours with one anchor form a segment, the text from
    the first word of its first window to the last of its last. Equal windows have equal anchors. Anchors are counted, and
    segments whose anchor occurs once in the corpus hold no repeat and go no further.
-2. Equal segments are folded into one, with the smallest id that has it. All windows of the others are repeats.
+2. Equal segments have equal statistics: they are folded into one, with the smallest id that has it, which streams for all. All
+   windows of the others are repeats of its windows.
 3. The distinct segments go to shards by anchor. A shard numbers its words, builds an FM-index (wavelet matrix over the
-   transform) of its segments, and streams them through backward search; each window ends with the interval of
-   all its occurrences, whose earliest place decides. A window that only one segment has is left early.
+   transform, sampled suffix array) of its segments, and streams them past it: backward search gives, at each place, the longest match
+   that starts there and the interval of its occurrences. Intervals of WINDOW words are reported; of those with an
+   occurrence elsewhere all places are located, and the earliest decides.
 4. Each document gets its repeats and drops the words they cover.
 
 A task reads its segments in order of anchor and cuts them into shards of about SHARD words, so an index stays small whatever
 the partition holds. An anchor with over HOT occurrences is split: each of its segments is indexed in one of its parts and
 streams past all of them, in pieces, so neither an index nor what a task holds grows with the anchor.
 
-Words are compared by a 64-bit hash, segments by one of theirs. Edge cases: null and blank texts have no words; a text below
-WINDOW words keeps all; a null id is the smallest; rows that share an id count as one document, so a row doesn't make its own
+Words are compared by a 64-bit hash, segments by one of theirs. Ids are integers above -2 ** 62. Edge cases: null and blank texts
+have no words; a text below WINDOW words keeps all; null ids are the smallest, in an order of their texts' hashes, rows with null id
+and equal text counting as one document; rows that share an id count as one document, so a row doesn't make its own
 repetition a repeat, and of rows with one id and different texts the earlier start wins; an empty table gives an empty
-result; extra columns are carried by :func:`without_repeats` and ignored by :func:`digests`.
+result; a very long text is one row and needs some 15 times its size in a worker; extra columns are carried, whatever their names, by
+:func:`without_repeats` and ignored by :func:`digests`.
 """
 
 from __future__ import annotations
@@ -39,6 +43,9 @@ from .word_hashes import U, blocks, mixed, powers, windows, words
 
 WINDOW, GRAM = 20, 6
 SHARD, HOT = 1_000_000, 40_000
+#: Words that stream in one piece, with WINDOW - 1 more.
+PIECE = 256
+#: Ids from here up to -2 ** 62 stand for rows without one.
 NO_ID = -(1 << 63)
 
 
@@ -82,7 +89,8 @@ def anchored_twice(h: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: n
 def keyed(docs: DataFrame) -> DataFrame:
     """(_id, text, doc_id, row) of ``docs``: row holds the columns other than the text, so that no name of theirs can clash."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_id"), "text", row.alias("row"))
+    stand_in = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 2)
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), stand_in).alias("_id"), "text", row.alias("row"))
 
 
 def raw(d: DataFrame) -> DataFrame:
@@ -148,27 +156,38 @@ def repeats(ids: np.ndarray, starts: np.ndarray, bodies: list[bytes], indexed: n
     n = np.diff(at)
     kinds, symbol = np.unique(h, return_inverse=True)
     segment = np.repeat(np.arange(len(bodies)), n)
-    place = np.arange(len(h)) + segment  # a 0 after each segment
-    text = np.zeros(len(h) + len(bodies), np.int64)
-    text[place] = symbol.reshape(-1) + 1
-    inside = np.repeat(indexed, n + 1)  # by position of the text
-    index = FMIndex(text[inside], len(kinds) + 1, window)
     offset = np.arange(len(h)) - at[segment]
+    place = np.arange(len(h)) + segment  # a 1 after each segment, a 0 after all
+    text = np.ones(len(h) + len(bodies) + 1, np.int64)
+    text[place], text[-1] = symbol.reshape(-1) + 2, 0
+    inside = np.append(np.repeat(indexed, n + 1), True)  # by position of the text
+    index = FMIndex(text[inside], len(kinds) + 2, window)
+
     begins = np.flatnonzero(offset + window <= n[segment])
-    length, lo, hi = index.matches(text, place[begins] + window, window, alone=1 if indexed.all() else 0)
-    many = np.flatnonzero((length == window) & ((hi - lo > 1) | ~indexed[segment[begins]]))
+    piece = begins[offset[begins] % PIECE == 0]
+    size = np.minimum(PIECE + window - 1, n[segment[piece]] - offset[piece])
+    # pieces overlap: each is read from its end, so a place takes what the piece says that it begins in
+    length, lo, hi = (np.zeros(len(text), np.int64) for _ in range(3))
+    for k in (0, 1):
+        turn = offset[piece] // PIECE % 2 == k
+        found = index.statistics(text, place[piece[turn]], place[piece[turn]] + size[turn])
+        own = place[offset // PIECE % 2 == k]
+        length[own], lo[own], hi[own] = (x[own] for x in found)
+
+    spot = place[begins]
+    many = np.flatnonzero((length[spot] == window) & ((hi[spot] - lo[spot] > 1) | ~indexed[segment[begins]]))
     if not len(many):
         return []
-    where = np.full(len(text), len(text), np.int64)  # rank of each position by (id, word); equal places rank equal
     by = np.lexsort((starts[segment] + offset, ids[segment]))
     a, b = ids[segment][by], (starts[segment] + offset)[by]
+    where = np.zeros(len(text), np.int32)  # rank of each position by (id, word); equal places rank equal
     where[place[by]] = np.concatenate(([0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-    low, which = np.unique(lo[many], return_inverse=True)
-    high = np.zeros(len(low), np.int64)
-    high[which.reshape(-1)] = hi[many]
-    ordered = np.append(where[inside][index.suffixes], len(text))  # one more, so that an interval's end is a place
-    earliest = np.minimum.reduceat(ordered, np.stack([low, high], axis=1).reshape(-1))[0::2]
-    late = begins[many][earliest[which.reshape(-1)] < where[place[begins[many]]]]
+    low, first, which = np.unique(lo[spot[many]], return_index=True, return_inverse=True)
+    count = hi[spot[many]][first] - low
+    ends = np.cumsum(count)
+    rows = np.arange(int(ends[-1])) + np.repeat(low - (ends - count), count)  # of all intervals, which are apart
+    earliest = np.minimum.reduceat(where[np.flatnonzero(inside)[index.locate(rows)]], ends - count)
+    late = begins[many][earliest[which.reshape(-1)] < where[spot[many]]]
     out = []
     for run in np.split(late, np.flatnonzero((np.diff(late) != 1) | (np.diff(segment[late]) != 0)) + 1):
         if len(run):

@@ -86,21 +86,47 @@ def test_counts_with_first_and_continuing_pieces(spark, tmp_path):
     assert got == {i: (sum(len(model.tokenize(w)) if len(w) < 100 else len(w) for w in brute.WORD.findall(t or "")),) for i, t in enumerate(texts)}
 
 
-def test_fm_index_counts_and_matching_statistics():
-    r = np.random.default_rng(1)
-    text = np.concatenate([np.append(r.integers(1, 5, n), 0) for n in (40, 1, 25, 60)])
-    index = fm_index.FMIndex(text, 5, 6)
-    joined = text.tolist()
-    length, lo, hi = index.matches(text, np.arange(1, len(text) + 1), 6)
-    for end in range(1, len(text) + 1):
-        n = int(length[end - 1])
-        assert n == min(6, end)
-        p = joined[end - n : end]
-        assert hi[end - 1] - lo[end - 1] == sum((joined * 2)[i : i + n] == p for i in range(len(joined)))
-    strange = np.array([1, 2, 9 % 5, 1, 1, 1, 1, 1, 1])
-    length, lo, hi = index.matches(strange, np.array([9]), 6)
-    n = int(length[0])
-    assert any((joined * 2)[i : i + n] == strange[9 - n :].tolist() for i in range(len(joined))) and (n == 6 or not any((joined * 2)[i : i + n + 1] == strange[8 - n :].tolist() for i in range(len(joined))))
+def occurrences(text, p):
+    return [i for i in range(len(text) - len(p) + 1) if text[i : i + len(p)] == p]
+
+
+@pytest.mark.parametrize("longest", [1, 6, 9])
+def test_matching_statistics_equal_brute_force(longest):
+    r = np.random.default_rng(longest)
+    parts = [r.integers(2, 5, n) for n in (40, 1, 25, 60)] + [np.full(30, 3), np.tile([2, 3, 4], 12)]
+    text = np.append(np.concatenate([np.append(p, 1) for p in parts]), 0)
+    index, plain = fm_index.FMIndex(text, 6, longest), text.tolist()
+    assert sorted(index.locate(np.arange(len(text))).tolist()) == list(range(len(text)))
+    assert [plain[i:] for i in index.locate(np.arange(len(text)))] == sorted(plain[i:] for i in range(len(text)))
+    stream = np.concatenate([r.integers(2, 6, 50), parts[3][5:30], r.integers(2, 5, 40), parts[5]])  # 5 occurs nowhere
+    for other, cuts in ((stream, [(0, 50), (50, 90), (90, len(stream))]), (text, [(0, 40), (42, 67)])):
+        first, after = (np.array(x) for x in zip(*cuts))
+        length, lo, hi = index.statistics(other, first, after)
+        for a, z in cuts:
+            for i in range(a, z):
+                n, p = int(length[i]), other[i : i + int(length[i])].tolist()
+                found = occurrences(plain, p) if n else []
+                assert n <= min(longest, z - i) and (not n or sorted(index.locate(np.arange(lo[i], hi[i])).tolist()) == found and found)
+                assert n == min(longest, z - i) or not occurrences(plain, other[i : i + n + 1].tolist())
+
+
+def test_repeats_in_long_segments(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PIECE", 7)
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(3)}"
+    for _ in range(30):
+        texts = [" ".join(word() for _ in range(r.randint(4, 60))) for _ in range(5)]
+        ids, indexed = np.array([3, 1, 4, 1, 5]), np.array([r.random() < 0.7 for _ in range(5)])
+        starts = np.array([0, 0, 0, 100, 0])
+        first = {}
+        for i, s, t, k in zip(ids, starts, texts, indexed):
+            w = t.split()
+            for j in range(len(w) - 3):
+                if k:
+                    first[tuple(w[j : j + 4])] = min(first.get(tuple(w[j : j + 4]), (9, 0)), (i, s + j))
+        want = {(i, s + j) for i, s, t in zip(ids, starts, texts) for w in [t.split()] for j in range(len(w) - 3) if first.get(tuple(w[j : j + 4]), (9, 0)) < (i, s + j)}
+        got = {(i, j) for i, a, b in substring_dedup.repeats(ids, starts, [t.encode() for t in texts], indexed, 4) for j in range(a, b - 3)}
+        assert got == want
 
 
 def test_wavelet_matrix_rank():
@@ -109,6 +135,8 @@ def test_wavelet_matrix_rank():
     at = np.arange(501)
     for c in range(11):
         assert (m.rank(np.full(501, c), at) == np.concatenate(([0], np.cumsum(x == c)))).all()
+    symbol, before = m.read(np.arange(500))
+    assert (symbol == x).all() and all(before[i] == (x[:i] == x[i]).sum() for i in range(500))
 
 
 @pytest.mark.parametrize(("shard", "hot"), [(1_000_000, 40_000), (40, 40_000), (1_000_000, 2), (30, 1)])
@@ -126,6 +154,13 @@ def test_repeats_inside_one_text(spark):
     assert {i: (k.count(False),) for i, (_, k) in brute.without_repeats(rows).items()} == got
 
 
+def test_rows_without_id_are_documents_of_their_own(spark):
+    text, other = prose(1, 60), prose(2, 30)
+    rows = [(None, text), (None, text), (None, other + " " + prose(3, 30)), (5, "lead " + text), (6, other), (None, None)]
+    out = substring_dedup.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in out) == [(0, 0, 0), (0, 60, 0), (0, 60, 0), (0, 60, 0), (5, 61, 60), (6, 30, 30)]
+
+
 def test_texts_without_repeats_stay_as_they_are(docs):
     got = as_dict(substring_dedup.without_repeats(docs), "text", "n_words")
     for i, (w, keep) in brute.without_repeats(enumerate(corpus())).items():
