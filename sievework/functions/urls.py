@@ -98,11 +98,19 @@ def directory(url: Column) -> Column:
     return F.concat(host(url), F.regexp_replace(F.regexp_replace(path(url), "/+$", ""), "[^/]*$", ""))
 
 
-def registrable(name: Column, two_part=("co.uk", "com.au", "co.jp", "com.br", "co.nz", "org.uk")) -> Column:
-    """The domain one buys: the last two labels of a host, or three below a two-part suffix. ``two_part`` is a parameter; a full list goes in a table."""
-    labels = F.split(name, r"\.")
-    last = lambda n: F.concat_ws(".", F.slice(labels, -n, n))
-    return F.when(F.size(labels) <= 2, name).when(last(2).isin(*two_part), last(3)).otherwise(last(2))
+def registrable(name: Column) -> Column:
+    """The domain that one buys: a host's public suffix and one label; null for an address, a single label and a suffix itself."""
+    from . import registry
+    from .batch import by_batch
+
+    rules = registry.suffixes()
+    return by_batch(lambda h: registry.domain(h, rules))(F.regexp_replace(name, r":[0-9]*$", ""))
+
+
+def same_registrable(a: Column, b: Column) -> Column:
+    """Of hosts: the same registrable domain, or the same host where they have none."""
+    x, y = registrable(a), registrable(b)
+    return F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(a == b)
 
 
 def page_slot(url: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +102,25 @@ def context(kind: str, text: str, at: int, items: list[str] | None = None, hot:
     return "\n".join(text[slice(*rows[k])] for k in kept), True
 
 
+def in_context(answers: DataFrame) -> DataFrame:
+    """Adds ``context``, ``cut`` and ``table_quote`` to answers (quote, kind, start and, of a list's item, items and hot): the list's items or the
+    table's rows around the answer while they fit, whether some are left out, and the table's head with the answer's row."""
+    kind = "struct<context:string,cut:boolean,table_quote:string>"
+    listed = "items" in answers.columns
+
+    @F.pandas_udf(kind)
+    def around(quote: pd.Series, kind: pd.Series, start: pd.Series, items: pd.Series, hot: pd.Series) -> pd.DataFrame:
+        out = []
+        for q, k, a, own, h in zip(quote, kind, start, items, hot, strict=True):
+            found = context(k or "", q or "", int(a), None if own is None or not len(own) else list(own), None if h is None or h != h else int(h))
+            out.append((*(found or (None, None)), table_quote(q or "", int(a)) if k != "code" else None))
+        return pd.DataFrame(out, columns=["context", "cut", "table_quote"])
+
+    none = F.lit(None)
+    items = (F.col("items"), F.col("hot").cast("double")) if listed else (none.cast("array<string>"), none.cast("double"))
+    return answers.withColumn("_x", around("quote", "kind", "start", *items)).select("*", "_x.*").drop("_x")
+
+
 def page_kind(answers: DataFrame, by) -> DataFrame:
     """(by, kind, confidence) from rows (by, kind, p) of a choice."""
     keys = names(by)

@@ -48,15 +48,20 @@ def only_block(names_of_images: DataFrame, lines: DataFrame, by) -> DataFrame:
 
 
 def attach(images: DataFrame, blocks: DataFrame, by="page_id") -> DataFrame:
-    """(by, i_image, i_block): images matched to blocks by first line in page order, the rest by a line that one block has."""
+    """(by, i_image, i_block): images matched to blocks by first line in page order, the rest by a line that one block without an
+    image has: one image a block, one whose name is the block's longest line before others, then the earlier one."""
     keys = names(by)
-    line = F.explode(F.split("text", "\n"))
     titles = blocks.select(*keys, "i", normal_line(F.get(F.split("text", "\n"), F.lit(0))).alias("title"))
     named = images.select(*keys, "i", normal_line(F.coalesce(F.nullif(F.col("caption"), F.lit("")), F.col("alt"))).alias("title")).where(F.char_length("title") >= 4)
     first = by_occurrence(named, titles, keys, "title", "title").select(*keys, "i_image", "i_block")
     rest = named.join(first.withColumnRenamed("i_image", "i"), [*keys, "i"], "left_anti").withColumnRenamed("title", "name")
-    all_lines = blocks.select(*keys, F.col("i").alias("block"), line.alias("t")).select(*keys, "block", normal_line(F.col("t")).alias("name"))
-    return first.unionByName(only_block(rest, all_lines, keys).drop("name"))
+    plain = blocks.where("kind IS NULL OR kind <> 'heading'") if "kind" in blocks.columns else blocks
+    lines = F.filter(F.transform(F.split("text", "\n"), normal_line), lambda x: x != "")
+    all_lines = plain.select(*keys, F.col("i").alias("block"), F.explode(lines).alias("name"))
+    longest = plain.select(*keys, F.col("i").alias("i_block"), F.array_max(F.transform(lines, lambda x: F.struct(F.char_length(x).alias("n"), x.alias("x"))))["x"].alias("_longest"))
+    more = only_block(rest, all_lines, keys).join(first.select(*keys, "i_block"), [*keys, "i_block"], "left_anti").join(longest, [*keys, "i_block"])
+    more = first_of(more, [*keys, "i_block"], [(F.col("name") == F.col("_longest")).desc(), F.col("i_image")])
+    return first.unionByName(more.select(*keys, "i_image", "i_block"))
 
 
 def blend(text: Column, pixels: Column, searching: bool) -> Column:

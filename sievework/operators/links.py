@@ -9,7 +9,7 @@ from ..functions import urls
 from .select import first_of, names
 
 #: Endings of addresses that are no pages.
-ASSETS = r"(?i)\.(pdf|zip|gz|tar|dmg|exe|png|jpe?g|gif|webp|svg|ico|mp[34]|mov|avi|css|js|xml|json|woff2?)$"
+ASSETS = (".pdf", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".zip", ".gz", ".xml", ".json", ".css", ".js", ".mp4", ".mp3", ".dmg", ".exe", ".tar", ".ico")
 
 
 def union_distinct(sources: list[DataFrame], by, cap: int | None = None) -> DataFrame:
@@ -63,28 +63,38 @@ def menus(site: DataFrame, content: DataFrame, by) -> DataFrame:
 def linked_hosts(links: DataFrame, by, cap: int = 3) -> DataFrame:
     """(by, host, n, first) of the other hosts under the page's registrable domain, by distinct addresses, first seen first among equals."""
     keys = names(by)
-    d = links.withColumns({"host": urls.host(F.col("url")), "_own": urls.host(F.col("page_url"))})
-    d = d.where((F.col("host") != F.col("_own")) & (urls.registrable(F.col("host")) == urls.registrable(F.col("_own"))))
+    d = links.withColumns({"host": urls.host(F.col("url")), "_own": urls.host(F.col("page_url"))}).where("host <> _own")
+    d = d.where(urls.registrable(F.col("host")) == urls.registrable(F.col("_own")))
     hosts = d.groupBy(*keys, "host").agg(F.countDistinct("url").alias("n"), F.min("i").alias("first"))
     return first_of(hosts, keys, [F.col("n").desc(), F.col("first").asc()], cap)
 
 
-def without_language_copies(links: DataFrame, by, locale: Column, own: Column) -> DataFrame:
-    """Of addresses that differ only in a language segment: the one in the reader's own, else the one without, else all."""
+def without_language_copies(links: DataFrame, by, locale: Column, own: Column, asked: list[str] = ()) -> DataFrame:
+    """Of addresses that differ only in a language segment: the one in the reader's own, else the one without, else all; copies in
+    languages that are asked for stay as well. ``locale`` is the segment (:func:`..functions.languages.path_copy`)."""
     keys = names(by)
     d = links.withColumns({"_l": locale, "_own": own})
-    d = d.withColumn("_k", F.when(F.col("_l").isNull(), urls.key(F.col("url"))).otherwise(F.regexp_replace(urls.key(F.col("url")), r"^([a-z]+://[^/]+)/[^/]+", "$1")))
+    d = d.withColumn("_k", F.when(F.col("_l").isNull(), urls.key(F.col("url"))).otherwise(F.regexp_replace(urls.key(F.col("url")), r"^([a-z]+://[^/]+)/+[^/]+", "$1")))
     w = Window.partitionBy(*keys, "_k")
-    is_own, plain = F.max(F.col("_l").eqNullSafe(F.col("_own")).cast("int")).over(w), F.max(F.col("_l").isNull().cast("int")).over(w)
-    d = d.withColumns({"_o": is_own, "_p": plain})
-    keep = F.when(F.col("_o") == 1, F.col("_l").eqNullSafe(F.col("_own"))).when(F.col("_p") == 1, F.col("_l").isNull()).otherwise(F.lit(True))
+    is_own, plain = F.col("_l").eqNullSafe(F.col("_own")), F.col("_l").isNull()
+    d = d.withColumns({"_o": F.max(is_own).over(w), "_p": F.max(plain).over(w)})
+    wanted = F.coalesce(F.substring_index("_l", "-", 1).isin(*asked), F.lit(False)) if asked else F.lit(False)
+    keep = F.when(F.col("_o"), is_own | wanted).when(F.col("_p"), plain | wanted).otherwise(F.lit(True))
     return d.where(keep).drop("_l", "_own", "_k", "_o", "_p")
 
 
 def reachable(url: Column) -> Column:
-    return url.rlike("^https?://") & ~urls.path(url).rlike(ASSETS)
+    """An address of the web that is no file of another kind."""
+    return url.rlike("^https?://") & ~F.lower(urls.path(url)).rlike("(" + "|".join(ASSETS).replace(".", r"\.") + ")$")
 
 
 def with_field(p: Column, f: Column, weight: float = 0.3) -> Column:
     """A link's probability raised by its page's field score, unknown ones left alone."""
     return p + (1 - p) * weight * F.coalesce(f, F.lit(0.0))
+
+
+def field_scored(links: DataFrame, fields: DataFrame, by) -> DataFrame:
+    """Links (by, url, p) with p raised by what is remembered of their pages' fields (by, key, f), by :func:`with_field`."""
+    keys = names(by)
+    memo = fields.groupBy(*keys, "key").agg(F.max("f").alias("_f"))
+    return links.withColumn("key", urls.key(F.col("url"))).join(memo, [*keys, "key"], "left").withColumn("p", with_field(F.col("p"), F.col("_f"))).drop("_f", "key")

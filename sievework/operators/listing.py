@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.batch import by_batch
 from ..sources.dom import parse
 from .select import first_of, names
+from .structured import minor_units
 
-# Kinds of post that are no lists, and a search's names in several languages.
-NOT_LISTS = ("page", "attachment", "nav_menu_item", "wp_block", "wp_template", "wp_template_part", "wp_global_styles", "wp_navigation", "wp_font_family", "wp_font_face", "elementor_library", "e-landing-page")
+# Kinds of post that are no lists, how many kinds are tried, how many of a page's things an endpoint has to give, and
+# a search's names in several languages.
+NOT_LISTS = ("attachment", "page", "nav_menu_item", "wp_block", "wp_template", "wp_template_part", "wp_navigation", "wp_global_styles", "wp_font_family", "wp_font_face", "product", "tribe_events")
+MOST_KINDS, LEAST_SHOWN, PER_PAGE, EVENTS_PER_PAGE = 8, 3, 100, 50
 SEARCH_WORDS = ("search", "buscar", "buscador", "búsqueda", "busqueda", "cerca", "ricerca", "recherche", "rechercher", "suche", "suchen", "pesquisa", "pesquisar", "zoeken", "cercar", "bilatu")
 
 
@@ -33,6 +37,54 @@ def site_listing(sources: list[DataFrame], by, cap: int = 300) -> DataFrame:
     return listing_order(union_distinct(sources, by), by, cap)
 
 
+def listed_in_markdown(files: DataFrame, by) -> DataFrame:
+    """(by, i, url, text): the links of llms.txt files (by, url, body), in order; relative ones are resolved against the file's address."""
+    from ..sources.documents import markdown_links
+
+    keys = names(by)
+    join = by_batch(lambda x: urls.join(*x.split("\n", 1)) if x and "\n" in x else None)
+    d = files.select(*keys, F.col("url").alias("_file"), F.posexplode(markdown_links(F.col("body"))).alias("i", "x"))
+    return d.select(*keys, "i", join(F.concat("_file", F.lit("\n"), "x.url")).alias("url"), "x.text").where("url IS NOT NULL")
+
+
+def site_files(responses: DataFrame, by, rank=None, cap: int = 300) -> DataFrame:
+    """(by, url, text, hreflang, place): what the small files of sites list, of responses (by, url, status, body): llms.txt first, then the
+    pages of sitemaps, shallow and short addresses first; an index is read through three of its children, which have to be among the
+    responses, by ``rank`` (an expression over ``loc``), then the newest. A page key stands once."""
+    from .site import index_children, lastmod_seconds, sitemap_index, sitemap_urls
+
+    keys = names(by)
+    files = small_files(responses)
+    llms = listed_in_markdown(files.where(urls.path(F.col("url")) == "/llms.txt"), keys)
+    xml = files.where(F.col("body").rlike("<(urlset|sitemapindex)")).withColumn("sitemap", F.struct(*keys, "url")).withColumnRenamed("body", "xml")
+    parts = sitemap_index(xml.where(F.col("xml").contains("<sitemapindex")))
+    parts = index_children(parts, "sitemap", rank if rank is not None else F.lit(0), lastmod_seconds(F.col("lastmod"))).select(*[F.col(f"sitemap.{k}").alias(k) for k in keys], F.col("loc").alias("url"))
+    named = parts.distinct().withColumn("_child", F.lit(True))
+    lists = xml.where(F.col("xml").contains("<urlset")).join(named, [*keys, "url"], "left")
+    # a list that an index names is read only if it is one of the chosen children
+    every = sitemap_index(xml.where(F.col("xml").contains("<sitemapindex"))).select(*[F.col(f"sitemap.{k}").alias(k) for k in keys], F.col("loc").alias("url")).distinct().withColumn("_named", F.lit(True))
+    lists = lists.join(every, [*keys, "url"], "left").where("_child OR _named IS NULL")
+    pages = sitemap_urls(lists).select(*[F.col(f"sitemap.{k}").alias(k) for k in keys], F.col("loc").alias("url"), urls.path(F.col("loc")).alias("text"), F.nullif("hreflang", F.lit("")).alias("hreflang"), F.col("pos").alias("i"))
+    all_ = llms.select(*keys, "url", "text", F.lit(None).cast("string").alias("hreflang"), "i", F.lit(0).alias("_source")).unionByName(pages.withColumn("_source", F.lit(1)))
+    later = F.when(F.col("_source") == 0, 0).otherwise(1)
+    order = [later, F.when(later == 1, urls.depth(F.col("url"))), F.when(later == 1, F.char_length("url")), F.col("i"), F.col("url")]
+    one = first_of(all_.withColumn("_key", urls.key(F.col("url"))), [*keys, "_key"], order)
+    return first_of(one, keys, order, cap, "place").select(*keys, "url", "text", "hreflang", "place")
+
+
+def linked_site_files(links: DataFrame, responses: DataFrame, by, cap: int = 300) -> DataFrame:
+    """(by, host, url, text, hreflang, place): what the files of a page's linked hosts list, of links (by, page_url, i, url) and responses (host, url,
+    status, body): the hosts under the page's registrable domain that it names most, and of their lists what lies under that domain."""
+    from .links import linked_hosts
+
+    keys = names(by)
+    hosts = linked_hosts(links, keys).select(*keys, "host")
+    domain = links.groupBy(*keys).agg(urls.host(F.min("page_url")).alias("_own"))
+    listed = site_files(responses.join(hosts.select("host").distinct(), "host", "left_semi"), "host", cap=cap)
+    d = hosts.join(listed, "host").join(domain, keys)
+    return d.where(urls.registrable(urls.host(F.col("url"))) == urls.registrable(F.col("_own"))).select(*keys, "host", "url", "text", "hreflang", "place")
+
+
 def search_links(links: DataFrame, by, cap: int = 4) -> DataFrame:
     """Links of the page's own host to another path that a search word names, in its text or path."""
     word = r"(?iU)(^|[^\p{L}])(" + "|".join(SEARCH_WORDS) + r")($|[^\p{L}])"
@@ -85,7 +137,7 @@ def item_key(url: Column) -> Column:
     return F.when((urls.query(url) == "") & clean.rlike("[^/]"), F.concat(host, clean)).when((clean == "") & named, F.concat(host, F.lit("?"), F.concat_ws("&", post)))
 
 
-def post_kinds(types: DataFrame, taxonomies: DataFrame, by, cap: int = 8) -> DataFrame:
+def post_kinds(types: DataFrame, taxonomies: DataFrame, by, cap: int = MOST_KINDS) -> DataFrame:
     """(by, slug, route, terms, place): lists that types (by, slug, rest_base, viewable, taxonomies) may give, a site's own
     kinds before its posts, with the parameters of their taxonomies (by, tax, rest_base)."""
     keys = names(by)
@@ -97,25 +149,89 @@ def post_kinds(types: DataFrame, taxonomies: DataFrame, by, cap: int = 8) -> Dat
     return first_of(d, keys, [(F.col("slug") == "post"), F.col("slug")], cap, "place").select(*keys, "slug", F.concat(F.lit("wp/v2/"), "rest_base").alias("route"), "terms", "place")
 
 
+def endpoints(pages: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(page_id, place, api, route, per_page): the interfaces that may give a page's things (page_id, html), by marks in its HTML and its
+    site's kinds (page_id, slug, route, place): events, products, then the site's kinds of post."""
+    marks = kinds.groupBy("page_id").agg(F.max(F.col("slug") == "tribe_events").alias("_events"), F.max(F.col("slug") == "product").alias("_products"))
+    p = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).join(marks, "page_id", "left")
+    events = F.col("html").contains("tribe-events") | F.col("html").contains("the-events-calendar") | F.coalesce("_events", F.lit(False))
+    products = F.col("html").contains("woocommerce") | F.coalesce("_products", F.lit(False))
+    own = p.where(events).select("page_id", F.lit(-2).alias("place"), F.lit("events").alias("api"), F.lit("tribe/events/v1/events").alias("route"), F.lit(EVENTS_PER_PAGE).alias("per_page"))
+    own = own.union(p.where(products).select("page_id", F.lit(-1).alias("place"), F.lit("products").alias("api"), F.lit("wc/store/v1/products").alias("route"), F.lit(PER_PAGE).alias("per_page")))
+    posts = kinds.where(~F.col("slug").isin(*NOT_LISTS)).select("page_id", F.col("place").cast("int").alias("place"), F.lit("posts").alias("api"), "route", F.lit(PER_PAGE).alias("per_page"))
+    return own.union(posts)
+
+
+def chosen_endpoint(candidates: DataFrame, things: DataFrame, shown: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """(page_id, api, route, place, n) of the candidates (page_id, place, api, route): the one whose things (page_id, route, url) are linked from the page
+    (page_id, url) most, LEAST_SHOWN of them at least, the earlier one among equals; none where the page's own data lists as many (page_id, n)."""
+    there = shown.select("page_id", item_key(F.col("url")).alias("_key")).where("_key IS NOT NULL").distinct()
+    each = things.select("page_id", "route", item_key(F.col("url")).alias("_key")).join(there, ["page_id", "_key"], "left_semi")
+    n = each.groupBy("page_id", "route").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SHOWN)
+    best = first_of(candidates.join(n, ["page_id", "route"]), "page_id", [F.col("n").desc(), F.col("place")])
+    if listed is not None:
+        own = listed.groupBy("page_id").agg(F.max("n").alias("_own"))
+        best = best.join(own, "page_id", "left").where("coalesce(_own, 0) < n").drop("_own")
+    return best.select("page_id", "api", "route", "place", "n")
+
+
+def shown_text(text: Column) -> Column:
+    """HTML as its page shows it: entities read, tags dropped, blanks collapsed."""
+    return by_batch(lambda t: None if t is None else " ".join(" ".join(parse(t).strings()).split()))(text)
+
+
+def first_picture(x: str, path: str) -> Column:
+    return F.nullif(F.get(F.col(x), F.lit(0))[path], F.lit(""))
+
+
 def tidy_posts(bodies: DataFrame) -> DataFrame:
-    """(url, i, name, link, published, summary, image) of the posts in a body's JSON array; HTML in names is read as text."""
-    kind = "array<struct<title:struct<rendered:string>,link:string,date:string,excerpt:struct<rendered:string>,_embedded:struct<`wp:featuredmedia`:array<struct<source_url:string>>>>>"
-    shown = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"(?U)\s+", " "))
+    """(url, i, name, link, published, summary, image, fields) of the posts in a body's JSON array; HTML in names is read as text, and of
+    a post's own fields those that are one value are kept, as a map."""
+    kind = "array<struct<title:struct<rendered:string>,link:string,date:string,excerpt:struct<rendered:string>,acf:map<string,string>,_embedded:struct<`wp:featuredmedia`:array<struct<source_url:string>>>>>"
     d = bodies.select("url", F.posexplode(F.from_json("body", kind)).alias("i", "x"))
-    media = F.get(F.col("x._embedded.wp:featuredmedia"), F.lit(0))["source_url"]
-    out = d.select("url", "i", shown(F.col("x.title.rendered")).alias("name"), F.col("x.link").alias("link"), F.col("x.date").alias("published"), shown(F.col("x.excerpt.rendered")).alias("summary"), media.alias("image"))
-    return out.where("name IS NOT NULL AND name <> ''")
+    own = F.map_filter("x.acf", lambda k, v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]"))
+    out = d.select("url", "i", F.col("x.title.rendered").alias("name"), F.nullif("x.link", F.lit("")).alias("link"), F.nullif("x.date", F.lit("")).alias("published"),
+                   F.col("x.excerpt.rendered").alias("summary"), first_picture("x._embedded.wp:featuredmedia", "source_url").alias("image"), F.when(F.size(own) > 0, own).alias("fields"))
+    return with_shown(out)
 
 
-def tidy_products(bodies: DataFrame) -> DataFrame:
-    """(url, i, name, link, price, currency, in_stock, categories) of the products in a body's JSON array."""
-    from .structured import minor_units
+def with_shown(d: DataFrame, *texts: str) -> DataFrame:
+    """Things with a name, their name and texts as the page shows them."""
+    out = d.withColumns({c: F.nullif(shown_text(F.col(c)), F.lit("")) for c in ("name", "summary", *texts)})
+    return out.where("name IS NOT NULL")
+
 
-    kind = "array<struct<name:string,permalink:string,prices:struct<price:string,currency_code:string,currency_minor_unit:int>,is_in_stock:boolean,categories:array<struct<name:string>>>>"
+def tidy_products(bodies: DataFrame) -> DataFrame:
+    """(url, i, name, link, price, regular_price, currency, image, categories, summary, in_stock) of the products in a body's JSON array; prices are
+    written out from the currency's smallest unit, the regular one where the product is on sale."""
+    kind = "array<struct<name:string,permalink:string,on_sale:boolean,prices:struct<price:string,regular_price:string,currency_code:string,currency_minor_unit:int>,images:array<struct<src:string>>,short_description:string,is_in_stock:boolean,categories:array<struct<name:string>>>>"
     d = bodies.select("url", F.posexplode(F.from_json("body", kind)).alias("i", "x"))
-    unit = F.col("x.prices.currency_minor_unit")
-    price = F.when(F.col("x.prices.price").rlike("^[0-9]+$"), F.when(unit == 2, minor_units(F.col("x.prices.price"), 2)).when(unit == 3, minor_units(F.col("x.prices.price"), 3)).otherwise(F.col("x.prices.price")))
-    return d.where("x.name <> ''").select("url", "i", F.col("x.name").alias("name"), F.col("x.permalink").alias("link"), price.alias("price"), F.col("x.prices.currency_code").alias("currency"), F.col("x.is_in_stock").alias("in_stock"), F.array_join(F.transform("x.categories", lambda c: c["name"]), ", ").alias("categories"))
+    unit = F.coalesce("x.prices.currency_minor_unit", F.lit(0))
+
+    def price(name: str) -> Column:
+        digits = F.trim(F.col(f"x.prices.{name}"))
+        return F.when(digits.rlike("^[0-9]+$"), minor_units(digits, unit))
+
+    return with_shown(d.select(
+        "url", "i", F.col("x.name").alias("name"), F.nullif("x.permalink", F.lit("")).alias("link"), price("price").alias("price"), F.when(F.col("x.on_sale"), price("regular_price")).alias("regular_price"),
+        F.nullif("x.prices.currency_code", F.lit("")).alias("currency"), first_picture("x.images", "src").alias("image"), term_names("x.categories"), F.col("x.short_description").alias("summary"), F.col("x.is_in_stock").alias("in_stock")))
+
+
+def term_names(terms: str) -> Column:
+    return F.nullif(F.array_join(F.transform(terms, lambda c: c["name"]), ", "), F.lit("")).alias("categories")
+
+
+def tidy_events(bodies: DataFrame) -> DataFrame:
+    """(url, i, name, link, start_date, end_date, cost, image, venue, city, categories, summary, next) of the events in a body; ``next`` is the address
+    of the next batch that the body names, on the body's own site."""
+    kind = "struct<events:array<struct<title:string,url:string,start_date:string,end_date:string,cost:string,image:string,venue:string,categories:array<struct<name:string>>,excerpt:string>>,next_rest_url:string>"
+    d = bodies.select("url", F.from_json("body", kind).alias("b"))
+    next_ = F.when(F.col("b.next_rest_url").rlike("^https?://") & (urls.site(F.col("b.next_rest_url")) == urls.site(F.col("url"))) & (F.col("b.next_rest_url") != F.col("url")), F.col("b.next_rest_url"))
+    d = d.select("url", next_.alias("next"), F.posexplode("b.events").alias("i", "x"))
+    inner = lambda c, k: F.nullif(F.get_json_object(c, f"$.{k}"), F.lit(""))  # noqa: E731  an empty array stands for no venue
+    return with_shown(d.select(
+        "url", "i", F.col("x.title").alias("name"), F.nullif("x.url", F.lit("")).alias("link"), F.nullif("x.start_date", F.lit("")).alias("start_date"), F.nullif("x.end_date", F.lit("")).alias("end_date"), F.col("x.cost").alias("cost"),
+        inner("x.image", "url").alias("image"), inner("x.venue", "venue").alias("venue"), inner("x.venue", "city").alias("city"), term_names("x.categories"), F.col("x.excerpt").alias("summary"), "next"), "cost", "venue", "city")
 
 
 def next_batch(url: Column, items: Column) -> Column:

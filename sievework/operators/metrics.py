@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .select import names
@@ -40,6 +40,28 @@ def top_agreement(recorded: DataFrame, replayed: DataFrame, by, item: str, p: st
     return j.select(*keys, (F.col("x1") == F.col("y1")).alias("top1"), (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).alias("jaccard"))
 
 
+def spearman(recorded: DataFrame, replayed: DataFrame, by, item: str, p: str = "p") -> DataFrame:
+    """(by, n, spearman): how far two runs order a group's items alike, equal values sharing their mean rank; null where one orders nothing."""
+    keys = names(by)
+
+    def ranks(df: DataFrame, name: str) -> DataFrame:
+        # a group's distinct values are ranked, not its rows
+        n = df.groupBy(*keys, p).agg(F.count("*").alias("_c"))
+        up = F.sum("_c").over(Window.partitionBy(*keys).orderBy(p))
+        return df.select(*keys, item, p).join(n.select(*keys, p, (up - (F.col("_c") - 1) / 2).alias(name)), [*keys, p]).select(*keys, item, name)
+
+    j = recorded.select(*keys, item).join(replayed.select(*keys, item), [*keys, item], "left_semi")
+    x = ranks(recorded.join(j, [*keys, item], "left_semi"), "x")
+    y = ranks(replayed.join(j, [*keys, item], "left_semi"), "y")
+    return x.join(y, [*keys, item]).groupBy(*keys).agg(F.count("*").alias("n"), (F.covar_pop("x", "y") / F.nullif(F.stddev_pop("x") * F.stddev_pop("y"), F.lit(0.0))).alias("spearman"))
+
+
+def stratified(rows: DataFrame, stratum: str, order: Column, most: int) -> DataFrame:
+    """Up to ``most`` rows of each stratum, the first in ``order`` (a hash of their keys, so that runs agree)."""
+    w = Window.partitionBy(stratum).orderBy(order)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
 def usage(df: DataFrame, group: str, **sums: str) -> DataFrame:
     """Totals by group and over all (group null), as a rollup."""
     return df.rollup(group).agg(F.count("*").alias("requests"), *[F.sum(c).alias(k) for k, c in sums.items()], F.grouping(group).cast("int").alias("is_total"))

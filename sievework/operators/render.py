@@ -24,9 +24,11 @@ def blocks_document(blocks: DataFrame, by, question: str | None = None) -> DataF
 
 
 def precise_document(answers: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """Adds ``json``: the answer, or the closest span below the threshold, its probability, quote and link; ``answer`` may be null."""
+    """Adds ``json``: the answer, or the closest span below the threshold, its probability, quote and link; ``answer`` may be null. Context,
+    chosen options, and the way to the page are in it where there are columns context, cut, chosen and path."""
     sure = F.col("p") >= threshold
-    fields = F.struct("url", F.when(sure, F.col("text")).alias("answer"), F.when(~sure, F.col("text")).alias("closest"), "p", "quote", "block", "kind", "link")
+    more = [c for c in ("context", "cut", "chosen", "path") if c in answers.columns]
+    fields = F.struct("url", F.when(sure, F.col("text")).alias("answer"), F.when(~sure, F.col("text")).alias("closest"), "p", "quote", "block", "kind", "link", *more)
     return answers.withColumn("json", F.to_json(fields, {"ignoreNullFields": "false"}))
 
 
@@ -43,11 +45,15 @@ def run_document(results: DataFrame, usage: DataFrame, by) -> DataFrame:
     return d.select(*keys, run_status(F.col("json").isNotNull(), F.col("error")).alias("status"), F.to_json(F.struct(F.col("json").alias("result"), "usage", "error")).alias("json"))
 
 
+#: What the log of pages says of each, where it is known.
+LOGGED = ("url", "route", "blocks", "items", "sources", "images", "forms", "rows")
+
+
 def pages_log(loads: DataFrame, by) -> DataFrame:
-    """(by, pages): the pages read in the order of their loads (n, key, url, route, blocks), each key once, as JSON."""
+    """(by, pages): the pages read in the order of their loads (n, key, and of LOGGED what there is), each key once, as JSON."""
     keys = names(by)
     one = first_of(loads, [*keys, "key"], [F.col("n")])
-    item = F.struct("n", F.struct("url", "route", "blocks").alias("page"))
+    item = F.struct("n", F.struct(*[c for c in LOGGED if c in loads.columns]).alias("page"))
     return one.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("x")).select(*keys, F.to_json(F.transform("x", lambda v: v["page"])).alias("pages"))
 
 

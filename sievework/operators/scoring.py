@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import folded
 from .links import overlap, words
 from .select import names
 
@@ -42,21 +43,43 @@ def choice_question(ident: Column, instructions: Column, options: Column) -> Col
     return F.to_json(F.struct(ident.alias("id"), F.lit("choice").alias("type"), instructions.alias("instructions"), options.alias("options")))
 
 
-def requests(items: DataFrame, by, order: str = "i", questions: str = "questions", state: str = "state", most_questions: int = 120, most_state: int = 60_000) -> DataFrame:
-    """Adds ``request``: consecutive items of a group go into one as long as its questions and states fit; folded, as totals start anew."""
-    from .text import ordered_list
+ANSWER = "struct<noul:double,choice:string,confidence:double,probabilities:map<string,double>>"
+
+
+def answers_of(replies: DataFrame, by) -> DataFrame:
+    """(by, id, noul, choice, confidence, probabilities, tokens) of replies (by, body) as the model's service writes them; a reply that is no JSON gives no rows."""
+    reply = F.from_json("body", f"struct<answers:map<string,{ANSWER}>,usage:struct<input_tokens:bigint>>")
+    d = replies.select(*names(by), reply.alias("r")).select(*names(by), F.col("r.usage.input_tokens").alias("tokens"), F.explode("r.answers").alias("id", "a"))
+    return d.select(*names(by), "id", "a.noul", "a.choice", "a.confidence", "a.probabilities", "tokens")
+
+
+#: Answers of the model's service that are asked for again, how often at most, and the wait before it in seconds:
+#: the first, doubled each time, and the longest.
+AGAIN, RETRIES, FIRST_WAIT, LONGEST_WAIT = (429, 529), 2, 0.3, 5.0
 
+
+def settled(replies: DataFrame, by) -> DataFrame:
+    """(by, status, body, attempts, waited): what each request came to, of its attempts (by, attempt from 1, status, body, retry_after in
+    seconds): the first answer that is no reason to ask again, else that of the last retry; and the seconds waited before it."""
     keys = names(by)
-    rows = ordered_list(items, keys, order, q=F.col(questions).cast("bigint"), s=F.col(state).cast("bigint"))
-    start = F.struct(F.lit(0).alias("r"), F.lit(0).cast("bigint").alias("q"), F.lit(0).cast("bigint").alias("s"), F.array().cast("array<int>").alias("out"))
+    w = Window.partitionBy(*keys).orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)
+    stands = ~F.col("status").isin(*AGAIN)
+    wait = F.least(F.coalesce(F.col("retry_after").try_cast("double"), F.lit(FIRST_WAIT) * F.pow(F.lit(2.0), F.col("attempt") - 1)), F.lit(LONGEST_WAIT))
+    d = replies.where(F.col("attempt") <= RETRIES + 1).withColumns({"_done": F.coalesce(F.max(stands).over(w), F.lit(False)), "_waited": F.coalesce(F.sum(wait).over(w), F.lit(0.0))})
+    last = d.where("NOT _done").groupBy(*keys)
+    return last.agg(F.max_by("status", "attempt").alias("status"), F.max_by("body", "attempt").alias("body"), F.max("attempt").alias("attempts"), F.max("_waited").alias("waited"))
+
+
+def requests(items: DataFrame, by, order: str = "i", questions: str = "questions", state: str = "state", most_questions: int = 120, most_state: int = 60_000) -> DataFrame:
+    """Adds ``request``: consecutive items of a group go into one as long as its questions and states fit."""
 
-    def step(a, x):
-        full = (F.size(a["out"]) > 0) & (x["q"] > 0) & ((a["q"] + x["q"] > most_questions) | (a["s"] + x["s"] > most_state)) & (a["q"] > 0)
-        r = a["r"] + F.when(full, 1).otherwise(0)
-        return F.struct(r.alias("r"), (F.when(full, 0).otherwise(a["q"]) + x["q"]).cast("bigint").alias("q"), (F.when(full, 0).otherwise(a["s"]) + x["s"]).cast("bigint").alias("s"), F.array_append(a["out"], r).alias("out"))
+    def step(at, q, n):
+        request, asked, size = at or (0, 0, 0)
+        if q > 0 and asked > 0 and (asked + q > most_questions or size + n > most_state):
+            request, asked, size = request + 1, 0, 0
+        return (request, asked + q, size + n), (request,)
 
-    folded = rows.select(*keys, F.explode(F.arrays_zip(F.transform("rows", lambda r: r["_o"]).alias("o"), F.aggregate("rows", start, step, lambda a: a["out"]).alias("p"))).alias("x"))
-    return items.join(folded.select(*keys, F.col("x.o").alias(order), F.col("x.p").alias("request")), [*keys, order])
+    return folded(items, by, [order], step, "request int", q=F.coalesce(F.col(questions).cast("bigint"), F.lit(0)), n=F.coalesce(F.col(state).cast("bigint"), F.lit(0)))
 
 
 def unblocked(answers: DataFrame, by, bar: float = 0.8) -> DataFrame:

@@ -25,13 +25,18 @@ def top_k(scored: DataFrame, by, k: int, threshold: float, p: str = "p", positio
     return first_of(scored.where(F.col(p) >= threshold), by, [F.col(p).desc(), F.col(position).asc()], k, rank)
 
 
-def candidates(blocks: DataFrame, code: bool = False) -> DataFrame:
-    """Blocks worth scoring: records and longer texts, headings only if they lead somewhere; or code."""
-    n = F.char_length("text")
+def candidate(code: bool = False) -> Column:
+    """Whether a block is worth scoring: records and longer texts, headings only if they lead somewhere; or code."""
+    is_code = (F.col("kind") == "code") & (F.trim("text") != "")
     if code:
-        return blocks.where((F.col("kind") == "code") & (F.trim("text") != ""))
-    longer = (n >= 25) & ((F.col("kind") != "heading") | F.col("href").isNotNull())
-    return blocks.where(F.col("record").isNotNull() | (F.col("kind") == "code") & (F.trim("text") != "") | (F.col("kind") != "code") & longer)
+        return is_code
+    longer = (F.char_length("text") >= 25) & ((F.col("kind") != "heading") | F.col("href").isNotNull())
+    return F.col("record").isNotNull() | is_code | (F.col("kind") != "code") & longer
+
+
+def candidates(blocks: DataFrame, code: bool = False) -> DataFrame:
+    """The blocks that are a :func:`candidate`."""
+    return blocks.where(candidate(code))
 
 
 def selected_in_page_order(blocks: DataFrame, kept: str = "kept", by="page_id") -> DataFrame:
@@ -43,35 +48,41 @@ def selected_in_page_order(blocks: DataFrame, kept: str = "kept", by="page_id")
 def ranked(spans: DataFrame, by, rank: str = "rank") -> DataFrame:
     """Spans numbered by probability in hundredths, shorter ones first among equals, then in order of ``i``."""
     hundredths = F.floor(F.col("p") * 100 + 0.5)
-    return spans.withColumn(rank, F.row_number().over(Window.partitionBy(*names(by)).orderBy(hundredths.desc(), F.col("length").asc(), F.col("i").asc())))
+    return spans.withColumn(rank, F.row_number().over(Window.partitionBy(*names(by)).orderBy(hundredths.desc_nulls_last(), F.col("length").asc(), F.col("i").asc())))
 
 
-def nested_vote(spans: DataFrame, by, limit_rows: str | None = None) -> DataFrame:
-    """For each span (start, end, p): its own p and those of spans that hold it or lie in it, at most 1, in hundredths.
+def nested_vote(spans: DataFrame, by) -> DataFrame:
+    """For each span (start, end, p): its own p and those of other ranges that hold it or lie in it, at most 1, in hundredths.
 
-    The join is within ``by`` and so as large as the square of a group; groups are the candidates of one block.
+    The join is within ``by``, which names a block, and so as large as the square of a block's candidates (200 at most);
+    for the best span of a group alone :func:`best_with_vote` needs no join.
     """
     keys = names(by)
-    a, b = spans.alias("a"), spans.select(*keys, F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("p").alias("p2"), F.col("i").alias("i2")).alias("b")
+    a, b = spans.alias("a"), spans.select(*keys, F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("p").alias("p2")).alias("b")
+    other = (F.col("s2") != F.col("start")) | (F.col("e2") != F.col("end"))
     holds = (F.col("s2") <= F.col("start")) & (F.col("e2") >= F.col("end")) | (F.col("s2") >= F.col("start")) & (F.col("e2") <= F.col("end"))
-    voted = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [holds & (F.col("i2") != F.col("i"))], "left")
+    voted = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [holds & other], "left")
     own = [F.col(f"a.{c}").alias(c) for c in spans.columns]
     return voted.groupBy(*own).agg(F.sum("p2").alias("_more")).withColumn("share", F.least(F.lit(1.0), F.floor((F.col("p") + F.coalesce("_more", F.lit(0.0))) * 100 + 0.5) / 100)).drop("_more")
 
 
-def best_with_vote(spans: DataFrame, by, within: str = "block") -> DataFrame:
+def best_with_vote(spans: DataFrame, by, within: str = "block", carry: dict[str, Column] | None = None) -> DataFrame:
     """The best span of each group as :func:`ranked` orders them, with ``share`` as in :func:`nested_vote`, in one pass over
-    the group: the winner is spread over its window, and the spans nested with it are summed there."""
+    the group: the winner is spread over its window, and the spans nested with it are summed there. Rows without p are no
+    spans; ``carry`` takes values for the winner from the rows of its block."""
     keys = names(by)
     w = Window.partitionBy(*keys)
-    d = ranked(spans, keys, "_rank").withColumn("_w", F.max(F.when(F.col("_rank") == 1, F.struct(within, "start", "end"))).over(w))
+    d = ranked(spans, keys, "_rank").withColumn("_w", F.max(F.when((F.col("_rank") == 1) & F.col("p").isNotNull(), F.struct(within, "start", "end"))).over(w))
+    same = F.col(within) == F.col(f"_w.{within}")
     holds = (F.col("start") <= F.col("_w.start")) & (F.col("end") >= F.col("_w.end")) | (F.col("start") >= F.col("_w.start")) & (F.col("end") <= F.col("_w.end"))
-    d = d.withColumn("_sum", F.sum(F.when((F.col(within) == F.col(f"_w.{within}")) & holds, F.col("p"))).over(w)).where("_rank = 1")
-    return d.withColumn("share", F.least(F.lit(1.0), F.floor(F.col("_sum") * 100 + 0.5) / 100)).drop("_rank", "_w", "_sum")
+    other = (F.col("start") != F.col("_w.start")) | (F.col("end") != F.col("_w.end"))
+    d = d.withColumn("_sum", F.coalesce(F.sum(F.when(same & holds & other, F.col("p"))).over(w), F.lit(0.0)))
+    d = d.withColumns({k: F.max(F.when(same, c)).over(w) for k, c in (carry or {}).items()})
+    return d.where("_rank = 1 AND p IS NOT NULL").withColumn("share", F.least(F.lit(1.0), F.floor((F.col("p") + F.col("_sum")) * 100 + 0.5) / 100)).drop("_rank", "_w", "_sum")
 
 
 def inside(spans: DataFrame, winners: DataFrame, by) -> DataFrame:
-    """Spans strictly inside their group's winner (start, end)."""
+    """Spans strictly inside their group's winner (start, end); ``by`` names the block too, as a winner's pieces are of its block."""
     keys = names(by)
     w = winners.select(*keys, F.col("start").alias("_ws"), F.col("end").alias("_we"))
     strict = (F.col("start") >= F.col("_ws")) & (F.col("end") <= F.col("_we")) & (F.col("end") - F.col("start") < F.col("_we") - F.col("_ws"))
@@ -92,6 +103,15 @@ def tiers(df: DataFrame, by, tier: str, order: Sequence[Column], most: int) -> D
     return first_of(df, by, [F.col(tier).asc(), *order], most, "place")
 
 
+def spread_tiers(links: DataFrame, by, tier: str, score: str, most: int) -> DataFrame:
+    """:func:`tiers` of links whose directories take turns within a tier, as in :func:`.links.spread`; adds ``place``."""
+    from .links import spread
+
+    keys = names(by)
+    turns = spread(links, [*keys, tier], score, most).withColumnRenamed("place", "_turn")
+    return tiers(turns, keys, tier, [F.col("_turn")], most).drop("_turn")
+
+
 def first_wins(df: DataFrame, by, position: str, fill: Sequence[str] = (), all_true: Sequence[str] = ()) -> DataFrame:
     """The first row of each key, its empty ``fill`` columns taken from the first row that has them; ``all_true`` are ANDed."""
     keys = names(by)

@@ -4,17 +4,14 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.batch import by_batch
+from ..functions.languages import canonical, language, likely_language, likely_region, path_tag, region
 from .select import first_of, names
 
-#: Language codes that can begin a path (codes that are also countries left out), and likely regions.
-PATH_LANGUAGES = ("en", "fr", "de", "es", "it", "pt", "nl", "pl", "ru", "ja", "zh", "ko", "ar", "tr", "sv", "da", "fi", "cs", "hu", "ro", "uk", "el", "he", "vi", "id", "ca", "eu", "gl")
-LIKELY_REGION = {"en": "US", "fr": "FR", "de": "DE", "es": "ES", "it": "IT", "pt": "BR", "nl": "NL", "pl": "PL", "ru": "RU", "ja": "JP", "zh": "CN", "ko": "KR", "sv": "SE", "da": "DK", "cs": "CZ", "uk": "UA", "el": "GR", "he": "IL"}
-
 
 # Robots
 
@@ -47,16 +44,6 @@ def robots_sitemaps(files: DataFrame, cap: int = 3) -> DataFrame:
     return first_of(one, "host", [F.col("line_no")], cap)
 
 
-def by_batch(f):
-    """A function of a text as a UDF over Arrow batches."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(f)
-
-    return run
-
-
 def normal_octets(text: str | None) -> str | None:
     """Unreserved octets plain, all others percent-encoded in upper case."""
     if text is None:
@@ -137,80 +124,41 @@ def listing_order(links: DataFrame, by, cap: int) -> DataFrame:
 # Languages
 
 
-def canonical(tag: Column) -> Column:
-    """en_us -> en-US; null for what is no tag."""
-    parts = F.split(F.trim(F.replace(tag, F.lit("_"), F.lit("-"))), "-")
-    lang, region = F.lower(F.get(parts, F.lit(0))), F.upper(F.get(F.filter(parts, lambda x: x.rlike("^[A-Za-z]{2}$|^[0-9]{3}$")), F.lit(1)))
-    return F.when(lang.rlike("^[a-z]{2,3}$"), F.when(region.isNotNull(), F.concat(lang, F.lit("-"), region)).otherwise(lang))
-
-
-def language(tag: Column) -> Column:
-    return F.substring_index(canonical(tag), "-", 1)
-
-
-def region(tag: Column) -> Column:
-    c = canonical(tag)
-    return F.when(c.contains("-"), F.substring_index(c, "-", -1))
-
-
-def path_language(url: Column) -> Column:
-    """The language that an address's first path segment names."""
-    first = F.lower(F.get(urls.segments(url), F.lit(0)))
-    return F.when(F.substring_index(first, "-", 1).isin(*PATH_LANGUAGES) & first.rlike("^[a-z]{2}(-[a-z]{2})?$"), canonical(first))
-
-
-def file_locale(url: Column) -> Column:
-    """The language and region that two neighbouring parts of an address's last segment name (``sitemap-de-at.xml``); null without."""
-    last = F.lower(F.element_at(F.concat(F.array(F.lit("")), urls.segments(url)), -1))
-    found = F.regexp_extract(last, r"(?:^|[-_.])(" + "|".join(PATH_LANGUAGES) + r")[-_.]([a-z]{2})(?:[-_.]|$)", 0)
-    return F.when(found != "", canonical(F.regexp_replace(F.regexp_replace(found, "^[-_.]|[-_.]$", ""), "[_.]", "-")))
-
-
-def url_locale(url: Column) -> Column:
-    return F.coalesce(file_locale(url), path_language(url))
-
-
-def market_rank(locale: Column, country: str | None, languages: list[str]) -> Column:
-    """0 the market's country in one of its languages, 1 its country, 2 anything else."""
-    there = F.coalesce(region(locale) == F.lit((country or "").upper()), F.lit(False))
-    return F.when(there & language(locale).isin(*languages), 0).when(there, 1).otherwise(2)
-
-
 def declares_other_country(url: Column, country: str, own_language: str | None = None) -> Column:
     """Whether an address names another country, or a language at home in another that is not the reader's."""
-    tag = path_language(url)
-    by_language = (language(tag) != F.lit(own_language or "")) & (likely_region(language(tag)) != country)
-    return F.coalesce(F.when(region(tag).isNotNull(), region(tag) != country.upper()).otherwise(by_language), F.lit(False))
+    tag = path_tag(url)
+    by_language = (language(tag) != F.lit(own_language or "")) & (likely_region(language(tag)) != country.lower())
+    return F.coalesce(F.when(region(tag).isNotNull(), region(tag) != country.lower()).otherwise(by_language), F.lit(False))
 
 
-def other_language_links(links: DataFrame, by, refused: Column) -> DataFrame:
-    """Keys of links (url, hreflang) whose declared language is refused."""
-    d = links.withColumn("tag", canonical(F.col("hreflang"))).where("tag IS NOT NULL").where(refused)
+def other_language_links(links: DataFrame, by, own: str, asked: list[str] = ()) -> DataFrame:
+    """(by, key) of links (url, hreflang) whose declared language is neither the reader's own nor asked for."""
+    d = links.withColumn("_lang", language(canonical(F.col("hreflang")))).where(F.col("_lang").isNotNull() & ~F.col("_lang").isin(own.partition("-")[0], *asked))
     return d.select(*names(by), urls.key(F.col("url")).alias("key")).distinct()
 
 
-def likely_region(lang: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in LIKELY_REGION.items() for x in kv]), lang)
-
-
-def relation(tag: Column, own: Column) -> Column:
-    """0 the same language and region, 1 the same language, 2 unknown, 3 another language."""
-    same = language(tag) == language(own)
-    exact = same & region(tag).eqNullSafe(region(own))
-    return F.when(tag.isNull() | own.isNull(), 2).when(exact, 0).when(same, 1).otherwise(3)
-
-
 def accepted(headers: DataFrame, col: str = "header", by="id") -> DataFrame:
-    """(by, place, tag) of Accept-Language headers: by weight, stable, each tag once, weight 0 and * out."""
+    """(by, place, language): the languages that Accept-Language headers ask for, by weight and then as written, each once.
+
+    A tag's weight is its first parameter q that is a number from 0 to 1, 1 without one; tags of weight 0 and tags that the
+    registry does not list are left out.
+    """
     keys = names(by)
     d = headers.select(*keys, F.posexplode(F.split(col, ",")).alias("pos", "part"))
-    q = F.regexp_extract("part", r"(?i);\s*q\s*=\s*([0-9.]+)", 1)
-    d = d.select(*keys, "pos", canonical(F.trim(F.substring_index("part", ";", 1))).alias("tag"), F.when(q == "", 1.0).otherwise(q.try_cast("double")).alias("q")).where("tag IS NOT NULL AND q > 0")
-    one = first_of(d, [*keys, "tag"], [F.col("q").desc(), F.col("pos")])
-    return one.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("q").desc(), "pos"))).select(*keys, "place", "tag")
-
-
-def market_alternate(alternates: DataFrame, by, own: Column) -> DataFrame:
-    """The page version to read: the reader's language and region, else the language, else x-default; the first among equals."""
-    d = alternates.withColumn("_rank", F.when(F.lower("hreflang") == "x-default", 2).when(relation(F.col("hreflang"), own) <= 1, relation(F.col("hreflang"), own)))
-    return first_of(d.where("_rank IS NOT NULL"), by, [F.col("_rank"), F.col("i")]).drop("_rank")
+    more = F.filter(F.split("part", ";"), lambda x, i: (i > 0) & (F.lower(F.trim(F.substring_index(x, "=", 1))) == "q") & x.contains("="))
+    weights = F.filter(F.transform(more, lambda x: F.trim(F.regexp_replace(x, "^[^=]*=", "")).try_cast("double")), lambda q: q.between(0, 1))
+    d = d.select(*keys, "pos", canonical(F.substring_index("part", ";", 1)).alias("tag"), F.coalesce(F.get(weights, F.lit(0)), F.lit(1.0)).alias("q"))
+    d = d.where("tag IS NOT NULL AND q > 0").withColumn("language", language(F.col("tag")))
+    one = first_of(d, [*keys, "language"], [F.col("q").desc(), F.col("pos")])
+    return one.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("q").desc(), "pos"))).select(*keys, "place", "language")
+
+
+def market_alternate(alternates: DataFrame, by, country: str, languages: list[str] = ()) -> DataFrame:
+    """The version of a page (by, i, hreflang, url) for a country: in the first of the run's languages that it has one in, else in
+    the country's likely language, else the country's first; none where no alternate is in the country. Adds ``tag``."""
+    d = alternates.withColumn("tag", canonical(F.col("hreflang"))).where(region(F.col("tag")) == country.lower())
+    order = F.lit(len(languages) + 1)
+    for k, wanted in reversed([*enumerate(languages), (len(languages), None)]):
+        hit = language(F.col("tag")) == (F.lit(wanted) if wanted else likely_language(F.lit(country)))
+        order = F.when(hit, k).otherwise(order)
+    return first_of(d.withColumn("_order", order), by, [F.col("_order"), F.col("i")]).drop("_order")

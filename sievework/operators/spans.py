@@ -222,10 +222,11 @@ def fragment_link(url: str, text: str, r: Range) -> str:
     return f"{url.partition('#')[0]}#:~:text=" + (f"{enc(before)}-," if before else "") + middle + (f",-{enc(after)}" if after else "")
 
 
-def spans(blocks: DataFrame, by: str = "page_id") -> DataFrame:
+def spans(blocks: DataFrame, by: str = "page_id", quotes: bool = False) -> DataFrame:
     """(by, i, block, start, end, text, label, length): the candidate spans of each group's blocks (i, kind, text).
 
-    The blocks of a group come as one array: a handful, chosen before.
+    The blocks of a group come as one array: a handful, chosen before. With ``quotes`` every block has one more row, with its
+    whole text, its kind as label and i = -1, so that what a span is quoted from needs no join.
     """
     g = blocks.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("i", "kind", "text"))).alias("b"))
     kind = f"{by} {blocks.schema[by].dataType.simpleString()}, i int, block int, start int, end int, text string, label string, length int"
@@ -237,7 +238,39 @@ def spans(blocks: DataFrame, by: str = "page_id") -> DataFrame:
                 texts = {b["i"]: b["text"] or "" for b in bs}
                 for n, (i, a, z, label) in enumerate(candidates([(b["i"], b["kind"], b["text"] or "") for b in bs])):
                     rows.append((key, n, i, a, z, texts[i][a:z], label, len(texts[i][a:z].encode())))
+                if quotes:
+                    rows += [(key, -1, b["i"], 0, len(texts[b["i"]]), texts[b["i"]], b["kind"], 0) for b in bs]
             types = [batch.schema.field(by).type, *[pa.int32()] * 4, pa.string(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[by, "i", "block", "start", "end", "text", "label", "length"])
 
     return g.mapInArrow(run, kind)
+
+
+def refinable(text: str, r: Range, label: str | None) -> bool:
+    """A long winner without a label may hold more than the answer."""
+    return label is None and len(text[slice(*r)].split()) > REFINE_WORDS
+
+
+def refine_options(winners: DataFrame, inside: DataFrame | None = None, by: str = "page_id") -> DataFrame:
+    """(by, k, start, end, text): the options of a second choice about long winners (by, quote, start, end, label): the whole (k = 0), shorter spans
+    inside it (by, start, end), and its own pieces, each once and MOST_PIECES besides the whole."""
+    if inside is not None:
+        own = inside.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("i", "start", "end"))).alias("inside"))
+        winners = winners.join(own, by, "left")
+    else:
+        winners = winners.withColumn("inside", F.lit(None).cast("array<struct<i:int,start:int,end:int>>"))
+    kind = winners.schema[by].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for key, quote, a, z, label, found in zip(*(b.column(c).to_pylist() for c in (by, "quote", "start", "end", "label", "inside")), strict=True):
+                if not refinable(quote or "", (a, z), label):
+                    continue
+                pieces_ = [(a + x, a + y) for x, y in refinements(quote[a:z])]
+                options = list(dict.fromkeys([(a, z), *((f["start"], f["end"]) for f in found or ()), *pieces_]))[: MOST_PIECES + 1]
+                rows += [(key, k, x, y, quote[x:y]) for k, (x, y) in enumerate(options)]
+            types = [b.schema.field(by).type, *[pa.int32()] * 3, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[by, "k", "start", "end", "text"])
+
+    return winners.select(by, "quote", "start", "end", "label", "inside").mapInArrow(run, f"{by} {kind}, k int, start int, end int, text string")

@@ -6,13 +6,14 @@ import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .select import first_of, names
 
 #: Limits of rows, lists, elements looked into and samples.
-MOST_ROWS, MOST_LISTS, WALKED, SAMPLES, SAMPLE_VALUES, SAMPLE_CHARS = 1000, 8, 50, 2, 60, 120
+MOST_ROWS, MOST_LISTS, MOST_SHAPES, WALKED, SAMPLES, SAMPLE_VALUES, SAMPLE_CHARS = 1000, 8, 16, 50, 2, 60, 120
 
 
 def recipe_of(text: str) -> dict:
@@ -140,6 +141,69 @@ def page_rows(pages: DataFrame, recipe: dict) -> DataFrame:
     return pages.select("page_id", "data").mapInArrow(run, "page_id bigint, row int, fields map<string,string>, truncated boolean, error string")
 
 
+def by_page(pages: DataFrame, kind: str, rows_of) -> DataFrame:
+    """The rows (page_id first, as ``kind`` says) that ``rows_of(page_id, url, data)`` gives for each page (page_id, url, data); data as (name, value) pairs."""
+    schema = T.StructType.fromDDL(kind)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                rows = []
+                for page, url, data in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("data").to_pylist(), strict=True):
+                    rows += [dict(zip(schema.names, (page, *r), strict=True)) for r in rows_of(page, url or "", [(d["name"], json.loads(d["value"])) for d in data or ()])]
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return pages.select("page_id", "url", "data").mapInArrow(run, schema)
+
+
+def page_rows_by_shape(pages: DataFrame, recipe: dict) -> DataFrame:
+    """As :func:`page_rows`, from whichever list of a page gives at least half of the recipe's fields, where its place is not known."""
+    from .listing import rows_by_shape
+
+    def rows_of(page, url, data):
+        rows, cut, error = rows_by_shape(data, recipe)
+        return [(i, r, cut, None) for i, r in enumerate(rows)] or [(None, None, cut, error)]
+
+    return by_page(pages, "page_id bigint, row int, fields map<string,string>, truncated boolean, error string", rows_of)
+
+
+def page_next_links(pages: DataFrame, batch: bool = False) -> DataFrame:
+    """(page_id, place, next, keys): the next addresses that a page's data names beside its largest list, with the keys of its things."""
+    from .listing import next_links
+
+    def rows_of(page, url, data):
+        found = next_links(data, url, batch)
+        return [(i, u, found[1]) for i, u in enumerate(found[0])] if found else []
+
+    return by_page(pages, "page_id bigint, place int, next string, keys array<string>", rows_of)
+
+
+def page_shapes(pages: DataFrame, most: int = MOST_SHAPES) -> DataFrame:
+    """(page_id, place, count, keys): the keys of each list in a page's data, of its first five things; the longest lists first, ``most`` of them."""
+
+    def rows_of(page, url, data):
+        found = [(len(o), sorted({k for x in o[:5] for k in x})) for _, v in data for _, o in lists_in(v, 1)]
+        return [(i, n, keys) for i, (n, keys) in enumerate(sorted(found, key=lambda f: -f[0])[:most])]
+
+    return by_page(pages, "page_id bigint, place int, count int, keys array<string>", rows_of)
+
+
+def holds_like(shapes: DataFrame, wanted: DataFrame, by) -> DataFrame:
+    """(by) of pages one of whose lists (by, keys) has at least half of the wanted keys (by, wanted)."""
+    return shapes.join(wanted, names(by)).where(similar(F.col("keys"), F.col("wanted"))).select(*names(by)).distinct()
+
+
+def page_data_things(pages: DataFrame) -> DataFrame:
+    """(page_id, i, text): the things of a page that is data, as texts."""
+    from .listing import data_things
+
+    return by_page(pages, "page_id bigint, i int, text string", lambda page, url, data: list(enumerate(data_things(data, url))))
+
+
 def similar(keys: Column, wanted: Column) -> Column:
     """At least half of the wanted keys are there."""
     return 2 * F.size(F.array_intersect(keys, wanted)) >= F.size(wanted)
@@ -179,23 +243,25 @@ def unshown_terms(terms: DataFrame, shown: DataFrame, item: str, term: str, leas
     return have.join(ids, item, "left_anti").join(bad, term, "left_anti").groupBy(term).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def named_term(terms: DataFrame, question_words: Column) -> DataFrame:
-    """Terms (name, n) all of whose words the question has, two at least, with 3 things or more; most words first, then most things."""
+def named_term(terms: DataFrame, question_words: Column, by=()) -> DataFrame:
+    """The term (by, name, n) of each group all of whose words the question has, two at least, with 3 things or more; most words first, then most things."""
     from .links import words
 
     w = F.array_distinct(words(F.col("name")))
     d = terms.withColumn("_w", F.size(w)).where((F.size(w) > 1) & (F.col("n") >= 3) & (F.size(F.array_except(w, question_words)) == 0))
-    return d.orderBy(F.col("_w").desc(), F.col("n").desc(), "name").limit(1).drop("_w")
+    order = [F.col("_w").desc(), F.col("n").desc(), F.col("name")]
+    return (first_of(d, by, order) if names(by) else d.orderBy(*order).limit(1)).drop("_w")
 
 
 def day_before_oldest(dates: DataFrame, date: str = "date") -> DataFrame:
     return dates.agg(F.date_sub(F.min(F.to_date(F.left(F.col(date).cast("string"), F.lit(10)))), 1).alias("day"))
 
 
-def minor_units(amount: Column, digits: int = 2) -> Column:
-    """Text of an amount given in its smallest unit: 1350 -> 13.50."""
-    padded = F.lpad(amount.cast("string"), F.greatest(F.length(amount.cast("string")), F.lit(digits + 1)), "0")
-    return padded if digits == 0 else F.concat(F.substring(padded, F.lit(1), F.length(padded) - digits), F.lit("."), F.right(padded, F.lit(digits)))
+def minor_units(amount: Column, digits: int | Column = 2) -> Column:
+    """Text of an amount given in its smallest unit: 1350 -> 13.50. ``digits`` may be a column."""
+    n, text = F.lit(digits) if isinstance(digits, int) else digits, amount.cast("string")
+    padded = F.lpad(text, F.greatest(F.length(text), n + 1), F.lit("0"))
+    return F.when(n == 0, text).otherwise(F.concat(F.substring(padded, F.lit(1), F.length(padded) - n), F.lit("."), F.right(padded, n)))
 
 
 def commonest(df: DataFrame, by, kind: str) -> DataFrame:
@@ -208,7 +274,3 @@ def key_prefix_rank(a: Column, b: Column) -> Column:
     """Length of the common beginning of two paths."""
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
     return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same).cast("bigint"))
-
-
-def rank_rows(df: DataFrame, by) -> Window:
-    return Window.partitionBy(*names(by))

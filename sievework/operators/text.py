@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import folded
 from .select import names
 
 
@@ -15,8 +16,12 @@ def ordered_list(df: DataFrame, by, order: str, **fields: Column) -> DataFrame:
 
 
 def excerpt(df: DataFrame, by, order: str = "i", text: str = "text", chars: int = 800) -> DataFrame:
-    """The first ``chars`` characters of a group's texts, a line each."""
-    return ordered_list(df, by, order, t=F.left(F.col(text), F.lit(chars))).select(*names(by), F.left(F.concat_ws("\n", F.transform("rows", lambda r: r["t"])), F.lit(chars)).alias("excerpt"))
+    """The first ``chars`` characters of a group's texts, a line each. Rows beyond them are dropped before texts are put together."""
+    keys = names(by)
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.coalesce(F.char_length(text) + 1, F.lit(0))).over(w), F.lit(0))
+    near = df.select(*keys, order, F.left(F.col(text), F.lit(chars)).alias("_t"), before.alias("_before")).where(F.col("_before") < chars)
+    return ordered_list(near, keys, order, t=F.col("_t")).select(*keys, F.left(F.concat_ws("\n", F.transform("rows", lambda r: r["t"])), F.lit(chars)).alias("excerpt"))
 
 
 def lines(df: DataFrame, text: str = "text", chars: int = 1200, keep=("doc_id",)) -> DataFrame:
@@ -25,46 +30,44 @@ def lines(df: DataFrame, text: str = "text", chars: int = 1200, keep=("doc_id",)
     return df.select(*keep, F.posexplode(trimmed).alias("line", "t")).select(*keep, "line", F.left("t", F.lit(chars)).alias("text"))
 
 
-def packed(df: DataFrame, by, order: str, size: Column, most_items: int, most_size: int) -> DataFrame:
-    """Adds ``pack``: consecutive rows of a group share one as long as they are at most so many and so large together.
-
-    A running total that starts anew depends on where it last did, so each group's sizes are folded as an array.
-    """
-    keys = names(by)
-    rows = ordered_list(df, by, order, size=size.cast("bigint"))
-    start = F.struct(F.lit(0).alias("pack"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("total"), F.array().cast("array<int>").alias("out"))
+def packed(df: DataFrame, by, order: str, size: Column, most_items: int = 255, most_size: int = 50_000) -> DataFrame:
+    """Adds ``pack``: consecutive rows of a group share one as long as they are at most so many and so large together."""
 
-    def step(acc, r):
-        full = (acc["n"] > 0) & ((acc["n"] >= most_items) | (acc["total"] + r["size"] > most_size))
-        pack = acc["pack"] + F.when(full, 1).otherwise(0)
-        return F.struct(pack.alias("pack"), (F.when(full, 0).otherwise(acc["n"]) + 1).cast("bigint").alias("n"), (F.when(full, 0).otherwise(acc["total"]) + r["size"]).cast("bigint").alias("total"), F.array_append(acc["out"], pack).alias("out"))
+    def step(state, n):
+        pack, items, total = state or (0, 0, 0)
+        if items and (items >= most_items or total + n > most_size):
+            pack, items, total = pack + 1, 0, 0
+        return (pack, items + 1, total + n), (pack,)
 
-    packs = rows.select(*keys, F.explode(F.arrays_zip(F.transform("rows", lambda r: r["_o"]).alias("o"), F.aggregate("rows", start, step, lambda a: a["out"]).alias("p"))).alias("x"))
-    return df.join(packs.select(*keys, F.col("x.o").alias(order), F.col("x.p").alias("pack")), [*keys, order])
+    return folded(df, by, [order], step, "pack int", size=F.coalesce(size.cast("bigint"), F.lit(0)))
 
 
 def joined_runs(df: DataFrame, by, order: str, text: str = "text", short: int = 25, most: int = 400) -> DataFrame:
     """(by, run, text, pieces): neighbours below ``short`` characters become one text, a line each, as long as it stays within ``most``."""
-    rows = ordered_list(df, by, order, t=F.col(text))
-    kind = "array<struct<text:string,pieces:int,short:boolean>>"
 
-    def step(acc, r):
-        last = F.element_at(acc, -1)
-        is_short = F.char_length(r["t"]) < short
-        fits = (F.size(acc) > 0) & is_short & F.coalesce(last["short"], F.lit(False)) & (F.coalesce(F.char_length(last["text"]), F.lit(0)) + 1 + F.char_length(r["t"]) <= most)
-        grown = F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(F.concat(last["text"], F.lit("\n"), r["t"]).alias("text"), (last["pieces"] + 1).alias("pieces"), F.lit(True).alias("short")))
-        return F.when(fits, grown).otherwise(F.array_append(acc, F.struct(r["t"].alias("text"), F.lit(1).alias("pieces"), is_short.alias("short")))).cast(kind)
+    def step(state, n):
+        run, total, open_ = state or (-1, 0, False)
+        if open_ and n < short and total + 1 + n <= most:
+            return (run, total + 1 + n, True), (run,)
+        return (run + 1, n, n < short), (run + 1,)
 
-    runs = F.aggregate("rows", F.array().cast(kind), step)
-    return rows.select(*names(by), F.posexplode(runs).alias("run", "x")).select(*names(by), "run", F.col("x.text").alias("text"), F.col("x.pieces").alias("pieces"))
+    runs = folded(df.select(*names(by), order, text), by, [order], step, "run int", n=F.coalesce(F.char_length(text), F.lit(0)))
+    d = ordered_list(runs, [*names(by), "run"], order, t=F.col(text))
+    return d.select(*names(by), "run", F.concat_ws("\n", F.transform("rows", lambda r: r["t"])).alias("text"), F.size("rows").alias("pieces"))
 
 
-#: Currency signs, and the words that a price may hold.
-PRICE = r"^\s*(?:[$€£¥₹₩₽₺].*[0-9].*|(?=.*[0-9])(?:[0-9\s$€£¥₹₩₽₺.,/\-–|·]|(?i:\b(?:a|per|mo|month|yr|year|user|seat)s*\b))+)\s*$"
+#: Currency signs, the words that a price may hold, and the marks between its figures.
+CURRENCY, UNITS, SEPARATORS = "$€£¥₹₩₽₺", ("a", "per", "mo", "month", "yr", "year", "user", "seat"), ".,/-–|·"
+SIGNED = rf"^[{CURRENCY}].*[0-9]"
+FIGURES = rf"^(?=.*[0-9])(?:[0-9\s{CURRENCY}{SEPARATORS.replace('-', '')}\-]|(?i:(?<!\p{{L}})(?:{'|'.join(UNITS)})s*(?!\p{{L}})))+$"
 
 
 def is_price(text: Column) -> Column:
-    return text.rlike(r"(?U)(?s)" + PRICE)
+    """A currency sign first and a digit behind, or figures and unit words only; of a text with a plus also what stands before it, with a sign."""
+    bare = lambda t: t.rlike("(?s)" + SIGNED) | t.rlike("(?sU)" + FIGURES)
+    blank = lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    head = blank(F.substring_index(text, "+", 1))
+    return bare(blank(text)) | (text.contains("+") & head.rlike(f"[{CURRENCY}]") & bare(head))
 
 
 def markdown(kind: Column, text: Column, level: Column | None = None, lang: Column | None = None) -> Column:
@@ -89,8 +92,6 @@ def bare_urls(text: Column) -> Column:
 
 def short_items_of_kept_lists(blocks: DataFrame, by="page_id", short: int = 25) -> DataFrame:
     """Adds ``beside``: a short item of a list in a run of short items of that list with a kept neighbour at either end."""
-    from pyspark.sql import Window
-
     keys = names(by)
     w = Window.partitionBy(*keys).orderBy("i")
     b = blocks.withColumn("_s", F.col("list").isNotNull() & (F.char_length("text") < short) & ~F.col("kept"))
@@ -103,8 +104,6 @@ def short_items_of_kept_lists(blocks: DataFrame, by="page_id", short: int = 25)
 
 def merged_pages(blocks: DataFrame, by, page: str = "page") -> DataFrame:
     """Blocks of several pages as one list: ``i``, ``list`` and ``record`` go on from those of the pages before."""
-    from pyspark.sql import Window
-
     keys = names(by)
     per = blocks.groupBy(*keys, page).agg((F.max("i") + 1).alias("_n"), F.coalesce(F.max("list") + 1, F.lit(0)).alias("_l"), F.coalesce(F.max("record"), F.lit(0)).alias("_r"))
     w = Window.partitionBy(*keys).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
-from ..functions import urls
-from ..operators import answers, images, listing, render, select, site, structured, text
+from ..functions import languages, urls
+from ..operators import answers, images, listing, render, site, structured, text
 from ..operators.links import most_relevant
 from ..sources import documents as bodies
 from ..sources.page import child, extract_pages
@@ -122,32 +120,75 @@ def item_keys(spark, sf):
     return table(spark, sf, "pages").select("page_id", listing.item_key(F.col("url")).alias("key"))
 
 
-@query("SELECT * FROM (VALUES (1, 'recipe', 'wp/v2/recipes', 'cuisine', 1), (1, 'post', 'wp/v2/posts', 'category tag', 2)) t(site, slug, route, terms, place)")
+SLUGS = (*listing.NOT_LISTS, "post", "recipe", "book", "talk")
+
+
+@query("""
+WITH k AS (SELECT p_brand AS site, ['attachment', 'page', 'nav_menu_item', 'wp_block', 'wp_template', 'wp_template_part', 'wp_navigation', 'wp_global_styles', 'wp_font_family', 'wp_font_face', 'product', 'tribe_events',
+  'post', 'recipe', 'book', 'talk'][1 + p_partkey % 16] AS slug, min(p_partkey) AS m FROM part GROUP BY ALL),
+t AS (SELECT site, slug, CASE WHEN m % 5 = 0 THEN 'a/b' ELSE slug || 's' END AS base, CASE WHEN m % 3 > 0 THEN 'by-' || slug ELSE '' END AS terms FROM k WHERE m % 4 > 0 AND slug IN ('post', 'recipe', 'book', 'talk'))
+SELECT site, slug, 'wp/v2/' || base AS route, terms, row_number() OVER (PARTITION BY site ORDER BY slug = 'post', slug)::INT AS place FROM t WHERE base <> 'a/b'""")
 def post_kinds(spark, sf):
-    types = spark.createDataFrame([(1, "post", "posts", True, ["c", "t"]), (1, "page", "pages", True, []), (1, "recipe", "recipes", None, ["k", "zz"]), (1, "hidden", "h", False, []), (1, "odd", "a/b", True, [])], "site int, slug string, rest_base string, viewable boolean, taxonomies array<string>")
-    taxonomies = spark.createDataFrame([(1, "c", "category"), (1, "t", "tag"), (1, "k", "cuisine"), (1, "x", "x/y")], "site int, tax string, rest_base string")
+    slug = F.element_at(F.array(*map(F.lit, SLUGS)), (F.col("p_partkey") % 16 + 1).cast("int"))
+    k = table(spark, sf, "part").groupBy(F.col("p_brand").alias("site"), slug.alias("slug")).agg(F.min("p_partkey").alias("m"))
+    types = k.select("site", "slug", F.when(F.col("m") % 5 == 0, "a/b").otherwise(F.concat("slug", F.lit("s"))).alias("rest_base"), F.when(F.col("m") % 4 == 0, False).when(F.col("m") % 4 > 1, True).alias("viewable"), F.array(F.concat(F.lit("t-"), "slug"), F.lit("no")).alias("taxonomies"))
+    taxonomies = k.select("site", F.concat(F.lit("t-"), "slug").alias("tax"), F.when(F.col("m") % 3 > 0, F.concat(F.lit("by-"), "slug")).otherwise("x/y").alias("rest_base"))
     return listing.post_kinds(types, taxonomies, "site").withColumn("terms", F.array_join("terms", " "))
 
 
-POSTS = json.dumps([{"title": {"rendered": "A <b>&</b> B"}, "link": "http://h/a", "date": "2027-01-02T03:04:05"}, {"title": {"rendered": ""}, "link": "http://h/b"}, {"title": {"rendered": "C"}, "link": "http://h/c", "_embedded": {"wp:featuredmedia": [{"source_url": "http://h/c.jpg"}]}}])
-PRODUCTS = json.dumps([{"name": "Tea", "permalink": "http://h/t", "prices": {"price": "575", "currency_code": "EUR", "currency_minor_unit": 2}, "is_in_stock": True, "categories": [{"name": "Hot"}, {"name": "Dry"}]}, {"name": "Cup", "prices": {"price": "5", "currency_code": "JPY", "currency_minor_unit": 0}, "is_in_stock": False}])
+def json_bodies(df, by, order, thing):
+    """(by, body): a JSON array of each group's things, in order."""
+    rows = F.sort_array(F.collect_list(F.struct(order, thing.alias("thing"))))
+    return df.groupBy(by).agg(rows.alias("r")).select(F.col(by).cast("string").alias("url"), F.to_json(F.transform("r", lambda x: x["thing"])).alias("body"))
 
 
-@query("SELECT * FROM (VALUES (0, 'A & B', 'http://h/a', '2027-01-02T03:04:05', NULL), (2, 'C', 'http://h/c', NULL, 'http://h/c.jpg')) t(i, name, link, published, image)")
+@query("""
+WITH c AS (SELECT c_nationkey::VARCHAR AS url, c_custkey, c_name, c_acctbal, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS i FROM customer)
+SELECT url, i, c_name || ' & Co' AS name, 'http://h/' || c_custkey AS link, CASE WHEN c_custkey % 2 = 0 THEN '2027-01-02' END AS published, CASE WHEN c_custkey % 3 = 0 THEN 'http://h/' || c_custkey || '.jpg' END AS image, CASE WHEN c_custkey % 4 = 0 THEN 'k=1' END AS fields FROM c WHERE c_acctbal >= 0""")
 def platform_posts(spark, sf):
-    return listing.tidy_posts(spark.createDataFrame([("u", POSTS)], "url string, body string")).select("i", "name", "link", "published", "image")
+    k = F.col("c_custkey")
+    rendered = F.when(F.col("c_acctbal") < 0, " <i></i> ").otherwise(F.concat(F.lit("<b>"), "c_name", F.lit("</b>\n&amp; Co")))
+    media = F.when(k % 3 == 0, F.struct(F.array(F.struct(F.concat(F.lit("http://h/"), k.cast("string"), F.lit(".jpg")).alias("source_url"))).alias("wp:featuredmedia")))
+    acf = F.when(k % 4 == 0, F.struct(F.lit(1).alias("k"), F.array(F.lit("x")).alias("gallery")))
+    thing = F.struct(F.struct(rendered.alias("rendered")).alias("title"), F.concat(F.lit("http://h/"), k.cast("string")).alias("link"), F.when(k % 2 == 0, "2027-01-02").alias("date"), acf.alias("acf"), media.alias("_embedded"))
+    posts = listing.tidy_posts(json_bodies(table(spark, sf, "customer"), "c_nationkey", "c_custkey", thing))
+    fields = F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return posts.select("url", "i", "name", "link", "published", "image", fields.alias("fields"))
 
 
-@query("SELECT * FROM (VALUES (0, 'Tea', 'http://h/t', '5.75', 'EUR', true, 'Hot, Dry'), (1, 'Cup', NULL, '5', 'JPY', false, NULL)) t(i, name, link, price, currency, in_stock, categories)")
+@query("""
+WITH p AS (SELECT p_brand AS url, p_partkey, p_name, p_size, p_type, (p_partkey % 4)::INT AS unit, (p_size * 37)::VARCHAR AS digits, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INT AS i FROM part),
+d AS (SELECT *, lpad(digits, greatest(length(digits), unit + 1)::INT, '0') AS padded FROM p)
+SELECT url, i, p_name AS name, 'http://h/' || p_partkey AS link, CASE WHEN p_size % 7 = 0 THEN NULL WHEN unit = 0 THEN digits ELSE left(padded, length(padded) - unit) || '.' || right(padded, unit) END AS price,
+  CASE WHEN p_size % 2 = 0 THEN (p_size + 1)::VARCHAR || CASE WHEN unit = 0 THEN '' ELSE '.' || repeat('0', unit) END END AS regular_price, 'EUR' AS currency, p_size > 10 AS in_stock, p_type || ', all' AS categories FROM d""")
 def platform_products(spark, sf):
-    return listing.tidy_products(spark.createDataFrame([("u", PRODUCTS)], "url string, body string")).drop("url")
+    k, size, unit = F.col("p_partkey"), F.col("p_size"), (F.col("p_partkey") % 4).cast("int")
+    price = F.when(size % 7 == 0, "free").otherwise((size * 37).cast("string"))
+    regular = F.concat((size + 1).cast("string"), F.repeat(F.lit("0"), unit))
+    prices = F.struct(price.alias("price"), regular.alias("regular_price"), F.lit("EUR").alias("currency_code"), F.when(unit > 0, unit).alias("currency_minor_unit"))
+    thing = F.struct(F.col("p_name").alias("name"), F.concat(F.lit("http://h/"), k.cast("string")).alias("permalink"), (size % 2 == 0).alias("on_sale"), prices.alias("prices"), (size > 10).alias("is_in_stock"), F.array(F.struct(F.col("p_type").alias("name")), F.struct(F.lit("all").alias("name"))).alias("categories"))
+    return listing.tidy_products(json_bodies(table(spark, sf, "part"), "p_brand", "p_partkey", thing)).select("url", "i", "name", "link", "price", "regular_price", "currency", "in_stock", "categories")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'http://h/p?per_page=' || 10 * (o_orderkey % 3) || '&page=' || (o_orderkey % 7 + 1) END AS next FROM orders WHERE o_orderkey % 7 > 0")
+@query("""
+WITH s AS (SELECT s_nationkey AS n, s_suppkey, s_name, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INT AS i FROM supplier)
+SELECT 'http://h/' || n AS url, i, s_name AS name, 'http://h/e/' || s_suppkey AS link, '2027-05-01' AS start_date, CASE WHEN s_suppkey % 2 = 0 THEN 'City ' || n END AS city, CASE WHEN n % 3 = 0 THEN 'http://h/' || n || '/2' END AS next FROM s""")
+def platform_events(spark, sf):
+    k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    venue = F.when(k % 2 == 0, F.to_json(F.struct(F.lit("Hall").alias("venue"), F.concat(F.lit("City "), n).alias("city")))).otherwise("[]")
+    thing = F.struct(F.col("s_name").alias("title"), F.concat(F.lit("http://h/e/"), k.cast("string")).alias("url"), F.lit("2027-05-01").alias("start_date"), F.lit("").alias("end_date"), F.lit("@").alias("venue"))
+    rows = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", F.replace(F.to_json(thing), F.lit('"@"'), venue).alias("t")))).alias("r"))
+    other = F.when(F.col("s_nationkey") % 3 == 0, F.concat(F.lit("http://h/"), n, F.lit("/2"))).when(F.col("s_nationkey") % 3 == 1, "http://elsewhere/2").otherwise(F.concat(F.lit("http://h/"), n))
+    body = F.concat(F.lit('{"events":['), F.array_join(F.transform("r", lambda x: x["t"]), ","), F.lit('],"next_rest_url":"'), other, F.lit('"}'))
+    events = listing.tidy_events(rows.select(F.concat(F.lit("http://h/"), n).alias("url"), body.alias("body")))
+    return events.select("url", "i", "name", "link", "start_date", "city", "next")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'http://h/p?per_page=' || 10 * (o_orderkey % 3) || '&page=' || (o_orderkey % 7 + 1) END AS next FROM orders")
 def next_batch(spark, sf):
     k = F.col("o_orderkey")
     u = F.concat(F.lit("http://h/p?page="), k % 7, F.lit("&per_page="), F.when(k % 3 > 0, k % 3 * 10).otherwise(99))
-    return table(spark, sf, "orders").where("o_orderkey % 7 > 0").select("o_orderkey", listing.next_batch(u, F.lit(20)).alias("next"))
+    return table(spark, sf, "orders").select("o_orderkey", listing.next_batch(u, F.lit(20)).alias("next"))
 
 
 @query("""
@@ -171,45 +212,79 @@ def public_addresses(spark, sf):
     return table(spark, sf, "events").select("event_id", listing.public_address(ip).alias("public"))
 
 
-@query("""SELECT place, url FROM (SELECT row_number() OVER (ORDER BY len(list_filter(string_split(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')), length(url), i)::INT AS place, url
-  FROM (SELECT min_by(url, page_id) AS url, row_number() OVER (ORDER BY min(page_id)) - 1 AS i FROM pages GROUP BY rtrim(regexp_replace(url, '#.*$', ''), '/'))) WHERE place <= 50""")
+@query("""
+WITH p AS (SELECT page_id, url, array_to_string(list_slice(string_split(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '.'), -2, -1), '.') AS site FROM pages),
+u AS (SELECT site, min_by(url, page_id) AS url, min(page_id) AS i FROM p GROUP BY site, rtrim(regexp_replace(url, '#.*$', ''), '/'))
+SELECT site, place, url FROM (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY len(list_filter(string_split(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')), length(url), i)::INT AS place FROM u) WHERE place <= 50""")
 def site_listing(spark, sf):
-    p = table(spark, sf, "pages").select(F.lit(1).alias("site"), F.col("page_id").alias("i"), "url")
-    return listing.site_listing([p], "site", 50).select("place", "url")
+    p = table(spark, sf, "pages").select(urls.registrable(urls.host(F.col("url"))).alias("site"), F.col("page_id").alias("i"), "url")
+    return listing.site_listing([p], "site", 50).select("site", "place", "url")
+
+
+HOST_SQL = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1))"
+
 
+def files_of_hosts(spark, sf, line, before="", after=""):
+    """(host, body): a file for each host, a piece for each of its pages, in order."""
+    p = table(spark, sf, "pages").select(urls.host(F.col("url")).alias("host"), "page_id", line.alias("line"))
+    rows = F.sort_array(F.collect_list(F.struct("page_id", "line")))
+    return p.groupBy("host").agg(rows.alias("r")).select("host", F.concat(F.lit(before), F.array_join(F.transform("r", lambda x: x["line"]), ""), F.lit(after)).alias("body"))
 
-@query("SELECT * FROM (VALUES (1, 0, 'http://h/a?x=1&y=2', 'de'), (1, 1, 'http://h/b', NULL)) t(sitemap, pos, loc, hreflang)")
+
+@query(f"""SELECT {HOST_SQL} AS host, (row_number() OVER (PARTITION BY {HOST_SQL} ORDER BY page_id) - 1)::INT AS pos, url AS loc, CASE WHEN page_id % 2 = 0 THEN 'de-AT' END AS hreflang FROM pages""")
 def sitemap_entries(spark, sf):
-    xml = '<urlset><url><loc> http://h/a?x=1&amp;y=2 </loc><xhtml:link rel="alternate" hreflang="x-default" href="http://h/a?x=1&amp;y=2"/><xhtml:link rel="alternate" hreflang="de" href="http://h/a?x=1&amp;y=2"/></url><url><loc>http://h/b</loc></url></urlset>'
-    d = site.sitemap_urls(spark.createDataFrame([(1, xml)], "sitemap int, xml string"))
-    return d.withColumn("hreflang", F.nullif("hreflang", F.lit("")))
+    u = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    alternate = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<xhtml:link rel="alternate" hreflang="x-default" href="'), u, F.lit('"/><xhtml:link href="'), u, F.lit('" hreflang="de-AT" rel="alternate"/>'))).otherwise('<xhtml:link rel="alternate" hreflang="fr" href="http://other/"/>')
+    files = files_of_hosts(spark, sf, F.concat(F.lit("<url><loc> "), u, F.lit(" </loc>"), alternate, F.lit("</url>\n")), "<urlset>", "</urlset>")
+    d = site.sitemap_urls(files.select(F.col("host").alias("sitemap"), F.col("body").alias("xml")))
+    return d.select(F.col("sitemap").alias("host"), "pos", "loc", F.nullif("hreflang", F.lit("")).alias("hreflang"))
+
+
+@query(f"""SELECT {HOST_SQL} AS host, (row_number() OVER (PARTITION BY {HOST_SQL} ORDER BY page_id) - 1)::INT AS pos, url AS loc, CASE WHEN page_id % 3 > 0 THEN '2027-01-0' || page_id % 3 END AS lastmod FROM pages""")
+def sitemap_indexes(spark, sf):
+    u = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    date = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("<lastmod>2027-01-0"), (F.col("page_id") % 3).cast("string"), F.lit("</lastmod>"))).otherwise("")
+    files = files_of_hosts(spark, sf, F.concat(F.lit("<sitemap><loc>"), u, F.lit("</loc>"), date, F.lit("</sitemap>")), "<sitemapindex>", "</sitemapindex>")
+    return site.sitemap_index(files.select(F.col("host").alias("sitemap"), F.col("body").alias("xml"))).withColumnRenamed("sitemap", "host")
 
 
-@query("SELECT * FROM (VALUES ('h', 5, 'http://h/a.xml'), ('h', 7, 'http://h/b.xml')) t(host, line_no, url)")
+@query(f"""
+WITH l AS (SELECT {HOST_SQL} AS host, row_number() OVER (PARTITION BY {HOST_SQL} ORDER BY page_id)::INT AS line_no, trim(regexp_replace(url, '#.*$', '')) AS url FROM pages),
+o AS (SELECT host, url, min(line_no) AS line_no FROM l GROUP BY ALL)
+SELECT host, line_no, url FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY line_no) AS n FROM o) WHERE n <= 3""")
 def robots_named_sitemaps(spark, sf):
-    body = "User-agent: *\nDisallow: /x # y\n\nSITEMAP: http://h/sitemap.xml\n#Sitemap: http://h/no.xml\nSitemap: http://h/a.xml # one\nSitemap: http://h/a.xml\nsitemap:http://h/b.xml\nSitemap:"
-    return site.robots_sitemaps(spark.createDataFrame([("h", body)], "host string, body string"))
+    files = files_of_hosts(spark, sf, F.concat(F.when(F.col("page_id") % 2 == 0, "\nSITEMAP : ").otherwise("\nSitemap:"), "url"), "User-agent: *", "\n# Sitemap: http://h/no.xml\nSitemap: http://h/sitemap.xml\nSitemap:")
+    return site.robots_sitemaps(files)
 
 
-@query("SELECT * FROM (VALUES (1, 'http://h/de-at'), (2, 'http://h/de'), (3, 'http://h/')) t(page, url)")
+@query("""
+WITH a AS (SELECT page_id % 40 AS page, page_id AS i, regexp_extract(url, '://[^/]*/([^/?#]*)', 1) AS lang, ['AT', 'es', 'US', '419'][1 + page_id // 40 % 4] AS region, url FROM pages)
+SELECT page, i, lang || '-at' AS tag, url FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY CASE lang WHEN 'fr' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, i) AS r FROM a WHERE region = 'AT') WHERE r = 1""")
 def market_versions(spark, sf):
-    rows = [(1, 0, "de", "http://h/de"), (1, 1, "de-AT", "http://h/de-at"), (1, 2, "x-default", "http://h/"), (2, 0, "fr", "http://h/fr"), (2, 1, "de-CH", "http://h/de"), (3, 0, "fr", "http://h/fr"), (3, 1, "x-default", "http://h/")]
-    return site.market_alternate(spark.createDataFrame(rows, "page int, i int, hreflang string, url string"), "page", F.lit("de-AT")).select("page", "url")
+    region = F.element_at(F.array(*map(F.lit, ("AT", "es", "US", "419"))), F.expr("cast(page_id div 40 % 4 + 1 AS int)"))
+    a = table(spark, sf, "pages").select((F.col("page_id") % 40).alias("page"), F.col("page_id").alias("i"), F.concat(languages.path_copy(F.col("url")), F.lit("_"), region).alias("hreflang"), "url")
+    return site.market_alternate(a, "page", "AT", ["fr"]).select("page", "i", "tag", "url")  # German is likely there
 
 
-@query("SELECT * FROM (VALUES (0, 'en-US', 'en', 'US'), (1, 'zh-TW', 'zh', 'TW'), (2, 'fr', 'fr', NULL), (3, NULL, NULL, NULL), (4, 'es-419', 'es', '419')) t(id, tag, lang, region)")
+@query("""
+WITH t AS (SELECT doc_id, lang, doc_id % 8 AS k FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN lang || '-us' WHEN 1 THEN 'zh-hant-tw' WHEN 2 THEN lang WHEN 3 THEN lang || '-419' WHEN 6 THEN 'de-1996' END AS tag, CASE WHEN k = 1 THEN 'zh' WHEN k = 6 THEN 'de' WHEN k IN (0, 2, 3) THEN lang END AS lang,
+  CASE k WHEN 1 THEN 'tw' WHEN 0 THEN CASE WHEN lang IS NOT NULL THEN 'us' END WHEN 3 THEN CASE WHEN lang IS NOT NULL THEN '419' END END AS region FROM t""")
 def language_tags(spark, sf):
-    d = spark.createDataFrame(list(enumerate(["en_us", "zh-Hant-tw", " FR ", "1x", "es-419"])), "id int, t string")
-    return d.select("id", site.canonical(F.col("t")).alias("tag"), site.language(F.col("t")).alias("lang"), site.region(F.col("t")).alias("region"))
+    l, k = F.col("lang"), F.col("doc_id") % 8
+    t = F.when(k == 0, F.concat(l, F.lit("_US"))).when(k == 1, "zh-Hant-tw").when(k == 2, F.concat(F.lit(" "), F.upper(l), F.lit(" "))).when(k == 3, F.concat(l, F.lit("-419"))).when(k == 4, F.concat(l, F.lit("-xyz1"))).when(k == 5, "x-default").when(k == 6, "DE-1996").otherwise("english-GB")
+    d = table(spark, sf, "documents").select("doc_id", languages.canonical(t).alias("tag"))
+    return d.select("doc_id", "tag", languages.language(F.col("tag")).alias("lang"), languages.region(F.col("tag")).alias("region"))
 
 
 # Texts and images
 
 
-@query("""SELECT conv_id, turn, len(x)::INT AS n FROM (SELECT conv_id, turn, regexp_extract_all('![i](http://i/' || turn || '.png) [a](b) ' || left(text, 20), '(^|[^!])\\[[^\\]\\n]*\\]\\([^)\\s]+\\)') AS x FROM conversations)""")
+@query("""SELECT conv_id, turn, len(x)::INT AS n, len(regexp_extract_all(t, '!\\[[^\\]\\n]*\\]\\([^)\\s]+'))::INT AS images FROM (SELECT conv_id, turn, t, regexp_extract_all(t, '(^|[^!])\\[[^\\]\\n]*\\]\\([^)\\s]+\\)') AS x
+  FROM (SELECT conv_id, turn, '![i](http://i/' || turn || '.png) [a](b) ' || text || ' and [c d](http://c/d?e) there' AS t FROM conversations))""")
 def markdown_links(spark, sf):
-    t = F.concat(F.lit("![i](http://i/"), "turn", F.lit(".png) [a](b) "), F.left("text", F.lit(20)))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(bodies.markdown_links(t)).alias("n"))
+    t = F.concat(F.lit("![i](http://i/"), "turn", F.lit(".png) [a](b) "), "text", F.lit(" and [c d](http://c/d?e) there"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(bodies.markdown_links(t)).alias("n"), F.size(bodies.markdown_images(t)).alias("images"))
 
 
 @query("SELECT p_partkey, round(0.5 * (p_size % 3) / 3 + 0.25 * (p_size % 2), 9) AS p FROM part")
@@ -229,9 +304,13 @@ def image_keep(spark, sf):
     return images.keep(table(spark, sf, "part").select(F.col("p_brand").alias("page_id"), F.col("p_partkey").alias("i"), F.col("p_size").alias("p")), "page_id", 10, 12).select("page_id", "i")
 
 
-@query("SELECT * FROM (VALUES ('http://a/1.jpg', 'http://a/', 0), ('http://a/2.jpg', NULL, 2)) t(image, page, line)")
+@query("""
+WITH l AS (SELECT page_id AS line, 'http://i/' || page_id % 97 || '.jpg' AS image, CASE WHEN page_id % 3 > 0 THEN url END AS page FROM pages WHERE page_id % 5 > 0)
+SELECT image, arg_min(coalesce(page, '-'), line) AS page, min(line) AS line FROM l GROUP BY image""")
 def listed_images(spark, sf):
-    return images.listed(spark.createDataFrame([(0, "http://a/1.jpg http://a/"), (1, "  "), (2, "http://a/2.jpg"), (3, "http://a/1.jpg")], "line int, value string"))
+    i = F.col("page_id")
+    line = F.when(i % 5 == 0, "  ").otherwise(F.concat(F.lit(" http://i/"), (i % 97).cast("string"), F.lit(".jpg"), F.when(i % 3 > 0, F.concat(F.lit("  "), "url")).otherwise("")))
+    return images.listed(table(spark, sf, "pages").select(i.alias("line"), line.alias("value"))).withColumn("page", F.coalesce("page", F.lit("-")))
 
 
 @query("SELECT event_id, (CASE WHEN event_id % 4 = 1 THEN 1 WHEN event_id % 4 = 2 THEN 3 WHEN event_id % 4 = 3 THEN 2 ELSE 0 END)::BIGINT AS n FROM events")
@@ -255,28 +334,17 @@ def shortlist(spark, sf):
     return most_relevant(l, "l_orderkey", "q", 2).select("l_orderkey", "i", F.col("q").cast("int").alias("n"))
 
 
-@query("SELECT page_id, regexp_matches(url, '^https?://') AND NOT regexp_matches(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '\\.(pdf|png|xml)$') AS reachable, regexp_extract(lower(url), '^([a-z]+://)', 1) || regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\\.', '') AS site FROM pages")
+@query("""
+WITH u AS (SELECT page_id, rtrim(regexp_replace(url, '[?#].*$', ''), '/') || ['', '.pdf', '.mov', '.XML', '.avi', '.jpeg', '.woff', '.tar'][1 + page_id % 8] AS url FROM pages)
+SELECT page_id, page_id % 8 IN (0, 2, 4, 6) AS reachable, regexp_extract(lower(url), '^([a-z]+://)', 1) || regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\\.', '') AS site FROM u""")
 def reachable_pages(spark, sf):
     from ..operators.links import reachable
 
-    return table(spark, sf, "pages").select("page_id", reachable(F.col("url")).alias("reachable"), urls.site(F.col("url")).alias("site"))
+    end = F.element_at(F.array(*map(F.lit, ("", ".pdf", ".mov", ".XML", ".avi", ".jpeg", ".woff", ".tar"))), (F.col("page_id") % 8 + 1).cast("int"))
+    p = table(spark, sf, "pages").select("page_id", F.concat(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", ""), end).alias("url"))
+    return p.select("page_id", reachable(F.col("url")).alias("reachable"), urls.site(F.col("url")).alias("site"))
 
 
 @query()
 def block_excerpts(spark, sf):
     return text.excerpt(child(extract_pages(table(spark, sf, "pages"), ["blocks"]), "blocks"), "page_id")
-
-
-@query()
-def code_blocks(spark, sf):
-    return select.candidates(child(extract_pages(table(spark, sf, "pages"), ["blocks"]), "blocks"), code=True)
-
-
-@query()
-def site_search_links(spark, sf):
-    return listing.search_links(child(extract_pages(table(spark, sf, "pages"), ["site_links"]), "site_links"), "page_id")
-
-
-@query()
-def declared_searches(spark, sf):
-    return listing.declared_searches(table(spark, sf, "pages"))

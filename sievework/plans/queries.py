@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import languages, urls
 from ..operators import images, links, metrics, paging, search, select, site, structured, text
 from ..operators.scoring import LexicalScorer, requests
 from ..sources import documents as bodies
@@ -39,12 +39,17 @@ def page_title(spark, sf):
     return extract_pages(table(spark, sf, "pages"), ["title"]).select("page_id", "title")
 
 
-@query("""
-SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(url, '://[^/]*/([^/?#]*)', 1) AS path_lang,
-  CASE WHEN regexp_extract(html, '<html lang="([^"]*)"', 1) = regexp_extract(url, '://[^/]*/([^/?#]*)', 1) THEN 0 ELSE 3 END AS relation FROM pages""")
+#: The registry's regions that are numbers, as the path's second part may name one.
+M49 = "('001', '002', '003', '005', '009', '011', '013', '014', '015', '017', '018', '019', '021', '029', '030', '034', '035', '039', '053', '054', '057', '061', '142', '143', '145', '150', '151', '154', '155', '202', '419')"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(url, '://[^/]*/([^/?#]*)', 1) AS l, regexp_extract(url, '://[^/]*/[^/?#]*/([^/?#]*)', 1) AS r FROM pages),
+t AS (SELECT page_id, lang, l, l || CASE WHEN r IN {M49} THEN '-' || r ELSE '' END AS path_lang FROM p)
+SELECT page_id, lang, path_lang, CASE WHEN lang = path_lang THEN 0 WHEN lang = l THEN 1 ELSE 3 END AS relation FROM t""")
 def page_lang_vs_path(spark, sf):
-    p = extract_pages(table(spark, sf, "pages"), ["lang"]).withColumn("path_lang", site.path_language(F.col("url")))
-    return p.select("page_id", "lang", "path_lang", site.relation(F.col("path_lang"), F.col("lang")).alias("relation"))
+    p = extract_pages(table(spark, sf, "pages"), ["lang"]).withColumn("path_lang", languages.path_tag(F.col("url")))
+    return p.select("page_id", "lang", "path_lang", languages.relation(F.col("path_lang"), languages.canonical(F.col("lang"))).alias("relation"))
 
 
 LINKS_SQL = """
@@ -157,14 +162,17 @@ def spread_links(spark, sf):
 
 
 @query("""
-WITH r(allow, pattern, re) AS (VALUES (false, '/en/', '^/en/'), (true, '/en/*5', '^/en/.*5'), (false, '/*?page=', '^/.*\\?page='), (true, '/de/', '^/de/'), (false, '/fr/*0$', '^/fr/.*0$')),
-p AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^#]*)', 1) AS path FROM pages),
-m AS (SELECT page_id, arg_max(allow, length(pattern) * 2 + allow::INT) AS allow FROM p JOIN r ON regexp_matches(path, re) GROUP BY page_id)
-SELECT p.page_id, coalesce(allow, true) AS allowed FROM p LEFT JOIN m ON p.page_id = m.page_id""")
+WITH r(site, allow, pattern, re) AS (VALUES (0, false, '/en/', '^/en/'), (0, true, '/en/*5', '^/en/.*5'), (0, false, '/*?page=', '^/.*\\?page='), (0, true, '/de/', '^/de/'), (0, false, '/fr/*0$', '^/fr/.*0$'),
+  (1, false, '/', '^/'), (1, true, '/fr/', '^/fr/'), (1, true, '/*.html$', '^/.*\\.html$')),
+p AS (SELECT page_id, CASE WHEN regexp_matches(url, '://(m|blog)\\.') THEN 1 ELSE 0 END AS site, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^#]*)', 1) AS path FROM pages),
+m AS (SELECT page_id, arg_max(allow, length(pattern) * 2 + allow::INT) AS allowed FROM p JOIN r ON p.site = r.site AND regexp_matches(path, re) GROUP BY page_id)
+SELECT page_id, coalesce(allowed, true) AS allowed FROM p LEFT JOIN m USING (page_id)""")
 def robots_longest_match(spark, sf):
-    body = "User-agent: *\nDisallow: /en/\nAllow: /en/*5 # five\nDisallow: /*?page=\nAllow: /de/\nDisallow: /fr/*0$\nDisallow:\n\nUser-agent: other\nDisallow: /\n"
+    plain = "User-agent: *\nDisallow: /en/\nAllow: /en/*5 # five\nDisallow: /*?page=\nAllow: /de/\nDisallow: /fr/*0$\nDisallow:\n\nUser-agent: other\nDisallow: /\n"
+    closed = "User-agent: other\nUser-agent: *\nDisallow: /\nAllow: /fr/\nAllow: /*.html$\n\nUser-agent: third\nAllow: /\n"
     p = table(spark, sf, "pages").select("page_id", "url")
-    files = p.select(urls.host(F.col("url")).alias("host")).distinct().withColumn("body", F.lit(body))
+    host = urls.host(F.col("url"))
+    files = p.select(host.alias("host")).distinct().withColumn("body", F.when(F.col("host").rlike(r"^(m|blog)\."), closed).otherwise(plain))
     return site.allowed(p, site.robots_rules(files)).select("page_id", "allowed")
 
 
@@ -176,28 +184,36 @@ def gist_blocks(spark, sf):
 
 
 @query()
-def precise_answers(spark, sf):
+def gist_of_pages(spark, sf):
     from . import api
 
-    return api.precise(table(spark, sf, "pages"), QUESTION)
+    return api.gist(table(spark, sf, "pages"), LexicalScorer(QUESTION))
 
 
 @query()
-def page_images(spark, sf):
-    return child(extract_pages(table(spark, sf, "pages"), ["images"]), "images")
-
+def precise_answers(spark, sf):
+    from . import api
 
-@query()
-def page_data_lists(spark, sf):
-    return structured.page_lists(extract_pages(table(spark, sf, "pages"), ["data"]))
+    return api.precise(table(spark, sf, "pages"), QUESTION)
 
 
 @query()
 def follow_graph(spark, sf):
-    e = child(extract_pages(table(spark, sf, "pages"), ["site_links"]), "site_links").select(F.col("page_url").alias("src"), F.col("url").alias("dst"), ((F.crc32("url") % 100) / 100).alias("p"), F.col("i").alias("pos"))
-    scores = e.select(F.col("dst").alias("url"), ((F.crc32("dst") % 97) / 97).alias("p"))
-    start = table(spark, sf, "pages").agg(F.min_by("url", "page_id")).first()[0]  # one value
-    return search.follow(e, scores, start)
+    """A search from every page, over a graph of the pages: page i leads to four others, by its number."""
+    e, scores, starts = page_graph(table(spark, sf, "pages"))
+    ensure_checkpoints(spark)
+    return search.follow(e, scores, starts).select("search", "step", "url", F.round("lead", 9).alias("lead"), F.round("p", 9).alias("p"), F.round("rank", 9).alias("rank"), "found", search.trail(F.col("path")).alias("trail"))
+
+
+def page_graph(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, scores, starts) over (page_id, url), as numbers of the pages give them."""
+    p = pages.select("page_id", "url")
+    n = p.agg(F.count("*").alias("n"))
+    to = F.explode(F.sequence(F.lit(1), F.lit(4))).alias("pos")
+    e = p.join(F.broadcast(n)).select(F.col("page_id").alias("i"), F.col("url").alias("src"), "n", to)  # one row
+    e = e.withColumn("page_id", F.pmod(F.col("i") * 5 + F.col("pos") * 11, F.col("n"))).join(p, "page_id")
+    e = e.select("src", F.col("url").alias("dst"), (F.pmod(F.col("i") * 13 + F.col("pos") * 29, F.lit(100)) / 100).alias("p"), "pos")
+    return e, p.select("url", (F.pmod(F.col("page_id") * 37, F.lit(97)) / 97).alias("p")), p.select(F.col("page_id").alias("search"), "url")
 
 
 # Blocks and text
@@ -237,15 +253,13 @@ def selected_in_page_order(spark, sf):
     return select.selected_in_page_order(b, by="conv_id").select("conv_id", "i", "kept")
 
 
-@query("""
-WITH RECURSIVE b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, left(text, ((turn * 13) % 40)::INT + 1) AS t FROM conversations),
-r AS (SELECT conv_id, n, 0 AS run, t AS text, 1 AS pieces, length(t) < 25 AS short FROM b WHERE n = 1
-  UNION ALL SELECT b.conv_id, b.n, CASE WHEN f THEN r.run ELSE r.run + 1 END, CASE WHEN f THEN r.text || chr(10) || b.t ELSE b.t END, CASE WHEN f THEN r.pieces + 1 ELSE 1 END, length(b.t) < 25
-  FROM r JOIN b ON b.conv_id = r.conv_id AND b.n = r.n + 1, LATERAL (SELECT r.short AND length(b.t) < 25 AND length(r.text) + 1 + length(b.t) <= 60 AS f))
-SELECT conv_id, run, max_by(text, n) AS text, max(pieces)::INT AS pieces FROM r GROUP BY conv_id, run""")
+@query("WITH RECURSIVE " + LINES_SQL + """, b AS (SELECT doc_id, line + 1 AS n, left(text, 1200) AS t FROM l),
+r AS (SELECT doc_id, n, 0 AS run, t AS text, 1 AS pieces, length(t) < 25 AS short FROM b WHERE n = 1
+  UNION ALL SELECT b.doc_id, b.n, CASE WHEN f THEN r.run ELSE r.run + 1 END, CASE WHEN f THEN r.text || chr(10) || b.t ELSE b.t END, CASE WHEN f THEN r.pieces + 1 ELSE 1 END, length(b.t) < 25
+  FROM r JOIN b ON b.doc_id = r.doc_id AND b.n = r.n + 1, LATERAL (SELECT r.short AND length(b.t) < 25 AND length(r.text) + 1 + length(b.t) <= 400 AS f))
+SELECT doc_id, run, max_by(text, n) AS text, max(pieces)::INT AS pieces FROM r GROUP BY doc_id, run""")
 def join_short_runs(spark, sf):
-    b = table(spark, sf, "conversations").select("conv_id", "turn", F.expr("left(text, cast(turn * 13 % 40 AS int) + 1)").alias("text"))
-    return text.joined_runs(b, "conv_id", "turn", most=60)
+    return text.joined_runs(text.lines(table(spark, sf, "documents")), "doc_id", "line")
 
 
 @query("""
@@ -300,11 +314,11 @@ def bare_urls(spark, sf):
 
 @query("""
 WITH t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '$' || p_size WHEN 1 THEN p_size || ' per user/month' WHEN 2 THEN 'Step ' || p_size WHEN 3 THEN '10€ + ' || p_brand ELSE p_name END AS t, p_partkey % 5 AS k, p_name FROM part)
-SELECT p_partkey, t, k IN (0, 1) OR k = 4 AND regexp_matches(t, '^[0-9 ]+$') AS price FROM t WHERE k <> 3""")
+SELECT p_partkey, t, k IN (0, 1, 3) OR k = 4 AND regexp_matches(t, '^[0-9 ]+$') AS price FROM t""")
 def price_blocks(spark, sf):
     k = F.col("p_partkey") % 5
-    t = F.when(k == 0, F.concat(F.lit("$"), "p_size")).when(k == 1, F.concat("p_size", F.lit(" per user/month"))).when(k == 2, F.concat(F.lit("Step "), "p_size")).otherwise(F.col("p_name"))
-    return table(spark, sf, "part").where(k != 3).select("p_partkey", t.alias("t")).withColumn("price", text.is_price(F.col("t")))
+    t = F.when(k == 0, F.concat(F.lit("$"), "p_size")).when(k == 1, F.concat("p_size", F.lit(" per user/month"))).when(k == 2, F.concat(F.lit("Step "), "p_size")).when(k == 3, F.concat(F.lit("10€ + "), "p_brand")).otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", t.alias("t")).withColumn("price", text.is_price(F.col("t")))
 
 
 @query("""
@@ -323,27 +337,36 @@ def dup_text_antijoin(spark, sf):
 # Selection
 
 
-SPANS_SQL = "WITH s AS (SELECT user_id, event_id AS i, (event_id % 50)::INT AS s, (event_id % 50 + event_id * 7 % 20)::INT AS e, event_id % 11 / 100.0::DOUBLE AS p FROM events)"
+SPANS_SQL = "WITH s AS (SELECT user_id, event_id AS i, (event_id // 50 % 3)::INT AS block, (event_id % 20)::INT AS s, (event_id % 20 + 1 + event_id * 7 % 9)::INT AS e, event_id % 11 / 100.0::DOUBLE AS p FROM events)"
 
 
 @query(SPANS_SQL + """
-SELECT a.user_id, a.i, round(least(1.0, floor((a.p + coalesce(sum(b.p), 0)) * 100 + 0.5) / 100), 6) AS share FROM s a LEFT JOIN s b ON a.user_id = b.user_id AND a.i <> b.i AND (b.s <= a.s AND b.e >= a.e OR b.s >= a.s AND b.e <= a.e)
+SELECT a.user_id, a.i, round(least(1.0, floor((a.p + coalesce(sum(b.p), 0)) * 100 + 0.5) / 100), 6) AS share
+FROM s a LEFT JOIN s b ON a.user_id = b.user_id AND a.block = b.block AND (a.s <> b.s OR a.e <> b.e) AND (b.s <= a.s AND b.e >= a.e OR b.s >= a.s AND b.e <= a.e)
 GROUP BY a.user_id, a.i, a.p""")
 def nested_span_vote(spark, sf):
-    return select.nested_vote(event_spans(spark, sf), "user_id").select("user_id", "i", F.round("share", 6).alias("share"))
+    return select.nested_vote(event_spans(spark, sf), ["user_id", "block"]).select("user_id", "i", F.round("share", 6).alias("share"))
 
 
 def event_spans(spark, sf):
     i = F.col("event_id")
-    return table(spark, sf, "events").select("user_id", i.alias("i"), (i % 50).cast("int").alias("start"), (i % 50 + i * 7 % 20).cast("int").alias("end"), (i % 11 / 100).alias("p"))
+    return table(spark, sf, "events").select("user_id", i.alias("i"), F.expr("cast(event_id div 50 % 3 AS int)").alias("block"), (i % 20).cast("int").alias("start"), (i % 20 + 1 + i * 7 % 9).cast("int").alias("end"), (i % 11 / 100).alias("p"))
+
+
+@query(SPANS_SQL + """,
+w AS (SELECT user_id, block AS wb, s AS ws, e AS we, p AS wp FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY floor(p * 100 + 0.5) DESC, e - s, i) AS r FROM s) WHERE r = 1)
+SELECT w.user_id, round(least(1.0, floor((wp + coalesce(sum(p) FILTER (WHERE block = wb AND (s <> ws OR e <> we) AND (s <= ws AND e >= we OR s >= ws AND e <= we)), 0)) * 100 + 0.5) / 100), 6) AS share FROM w JOIN s ON w.user_id = s.user_id GROUP BY w.user_id, wp""")
+def best_span_vote(spark, sf):
+    s = event_spans(spark, sf).withColumn("length", F.col("end") - F.col("start"))
+    return select.best_with_vote(s, "user_id").select("user_id", F.round("share", 6).alias("share"))
 
 
 @query(SPANS_SQL + """,
-w AS (SELECT user_id, s AS ws, e AS we FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, i) AS r FROM s) WHERE r = 1)
-SELECT s.user_id, i FROM s JOIN w USING (user_id) WHERE s >= ws AND e <= we AND e - s < we - ws""")
+w AS (SELECT user_id, block, s AS ws, e AS we FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, i) AS r FROM s) WHERE r = 1)
+SELECT s.user_id, i FROM s JOIN w ON s.user_id = w.user_id AND s.block = w.block WHERE s >= ws AND e <= we AND e - s < we - ws""")
 def spans_inside(spark, sf):
     s = event_spans(spark, sf)
-    return select.inside(s, select.top_k(s, "user_id", 1, 0.0), "user_id").select("user_id", "i")
+    return select.inside(s, select.top_k(s, "user_id", 1, 0.0), ["user_id", "block"]).select("user_id", "i")
 
 
 @query("""SELECT l_orderkey, l_linenumber AS i, row_number() OVER (PARTITION BY l_orderkey ORDER BY floor(l_discount * 100 + 0.5) DESC, l_quantity, l_linenumber)::INT AS rank FROM lineitem""")
@@ -388,10 +411,10 @@ def most_relevant_cap(spark, sf):
 WITH l AS (SELECT page_id AS i, url, regexp_extract(url, '://[^/]*/([^/?#]*)', 1) AS lang, rtrim(regexp_replace(url, '#.*$', ''), '/') AS k FROM pages),
 s AS (SELECT *, regexp_replace(k, '^([a-z]+://[^/]+)/[^/]+', '\\1') AS stripped FROM l),
 w AS (SELECT *, bool_or(lang = 'en') OVER (PARTITION BY stripped) AS own FROM s)
-SELECT i FROM w WHERE NOT own OR lang = 'en'""")
+SELECT i FROM w WHERE NOT own OR lang IN ('en', 'fr')""")
 def language_copies(spark, sf):
     p = table(spark, sf, "pages").select(F.lit(0).alias("g"), "url", F.col("page_id").alias("i"))
-    return links.without_language_copies(p, "g", site.path_language(F.col("url")), F.lit("en")).select("i")
+    return links.without_language_copies(p, "g", languages.path_copy(F.col("url")), F.lit("en"), ["fr"]).select("i")
 
 
 # Images
@@ -504,12 +527,19 @@ def lastmod_seconds(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", site.lastmod_seconds(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+01:30'")).alias("seconds"))
 
 
-HEADERS = ("en-us,fr;q=0.8,de;q=0.9,EN-US;q=0.1,*;q=0.5", "es;q=0,pt-BR, it", "", "xx-yyyyyyyy, fr_ca;q=0.5 , fr-CA")
+ASKED_SQL = """
+WITH d AS (SELECT doc_id, lang, ['en', 'fr', 'de', 'es'][1 + doc_id * 7 % 4] AS other, doc_id % 10 AS a, doc_id // 10 % 10 AS b, doc_id % 7 AS c FROM documents),
+e AS (SELECT doc_id, 1 AS pos, lang, a / 10.0::DOUBLE AS q FROM d UNION ALL SELECT doc_id, 2, other, b / 10.0::DOUBLE FROM d UNION ALL SELECT doc_id, 3, lang, c / 10.0::DOUBLE FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lang ORDER BY q DESC, pos) AS n FROM e WHERE q > 0 AND lang IS NOT NULL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY q DESC, pos)::INT AS place, lang AS language FROM o WHERE n = 1"""
 
 
-@query("""SELECT * FROM (VALUES (0, 1, 'en-US'), (0, 2, 'de'), (0, 3, 'fr'), (1, 1, 'pt-BR'), (1, 2, 'it'), (3, 1, 'xx'), (3, 2, 'fr-CA')) t(id, place, tag)""")
+@query(ASKED_SQL)
 def accept_language(spark, sf):
-    return site.accepted(spark.createDataFrame(list(enumerate(HEADERS)), "id int, header string"))
+    i, l = F.col("doc_id"), F.coalesce("lang", F.lit("xx"))
+    other = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (i * 7 % 4 + 1).cast("int"))
+    header = F.concat(l, F.lit("_AT;q=0."), i % 10, F.lit(", english;q=0.9, "), other, F.lit(" ; Q=0."), F.expr("doc_id div 10 % 10"), F.lit(",*;q=0.8,"), l, F.lit("-Latn;level=1;q=0."), i % 7)
+    return site.accepted(table(spark, sf, "documents").select("doc_id", header.alias("header")), by="doc_id")
 
 
 # Paging
@@ -527,10 +557,15 @@ def paging_loop(spark, sf):
 
 
 def ensure_checkpoints(spark) -> None:
-    """Where the session names no shared folder (tests on one machine), a temporary one."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    """Where a session on one machine names no shared folder (tests), a temporary one; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sievework-"))
 
 

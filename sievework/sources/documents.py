@@ -32,22 +32,28 @@ def decoded(body: bytes, content_type: str | None) -> str:
 
 
 def inflated(body: bytes, most: int = MOST_BYTES) -> bytes | None:
-    """A gzip body unpacked, others as they are; None beyond ``most`` bytes or for broken gzip."""
+    """A gzip body unpacked, others as they are; None beyond ``most`` bytes, an error for broken gzip."""
     if body[:2] != b"\x1f\x8b":
         return body if len(body) <= most else None
     try:
         d = zlib.decompressobj(31)
         out = d.decompress(body, most + 1)
-    except zlib.error:
-        return None
+    except zlib.error as e:
+        raise ValueError(f"broken gzip: {e}") from None
     return out if len(out) <= most else None
 
 
 def served_markdown(content_type: Column, body: Column) -> Column:
+    """Whether a body is markdown: by its type, or as plain text that does not begin as HTML."""
     kind = F.lower(F.coalesce(content_type, F.lit("")))
     return kind.contains("markdown") | kind.startswith("text/plain") & ~F.ltrim(body).startswith("<")
 
 
+def served_as_markdown(content_type: str | None, body: str) -> bool:
+    kind = (content_type or "").lower()
+    return "markdown" in kind or kind.startswith("text/plain") and not body.lstrip().startswith("<")
+
+
 def within(responses: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """Responses whose body is not larger than ``most`` bytes."""
     return responses.where(F.octet_length("body") <= most)
@@ -99,10 +105,20 @@ def feed_html(body: str) -> str | None:
 
 
 def json_document(body: str) -> object | None:
-    """The value of a body that is JSON, or JSON shown in a page's only ``pre``."""
-    m = re.fullmatch(r"\s*(?:<!doctype[^>]*>)?\s*<html>.*?<body[^>]*>\s*<pre[^>]*>(.*)</pre>.*?</html>\s*", body, re.S | re.I)
+    """The value of a body that is JSON, or JSON shown in a page's only ``pre`` and nothing beside it."""
+    text = body.lstrip()
+    if text.startswith("<") and "<pre" in text:
+        from .dom import parse
+
+        root = parse(text)
+        shown = list(root.find("pre"))
+        if len(shown) != 1 or root.text().strip() != shown[0].text().strip():
+            return None
+        text = shown[0].text().strip()
+    if not text.startswith(("{", "[")):
+        return None
     try:
-        v = json.loads(html.unescape(m[1]) if m else body)
+        v = json.loads(text)
     except ValueError:
         return None
     return v if isinstance(v, (dict, list)) else None
@@ -163,6 +179,29 @@ def markdown_blocks(body: str) -> tuple[str | None, list[dict]]:
     return title, out
 
 
+IMAGE = re.compile(r"!\[([^\]\n]*)\]\(([^)\s]+)[^)\n]*\)")
+ANCHOR = re.compile(r"(?<!!)\[([^\]\n]*)\]\(([^)\s]+)[^)\n]*\)")
+
+
+def markdown_page(body: str, base: str) -> dict:
+    """title, blocks, links, site_links and images of a markdown page, as a page of HTML has them; addresses are resolved against ``base``."""
+    from ..functions import urls
+
+    title, blocks = markdown_blocks(body)
+    head = next((b["text"] for b in blocks if b["kind"] == "heading"), "")
+    links, images = {}, {}
+    prose = re.sub(r"(?ms)^\s{0,3}(`{3,}|~{3,}).*?(?:^\s{0,3}\1[`~]*\s*$|\Z)", "", body)
+    for m in ANCHOR.finditer(prose):
+        url = urls.join(base, m[2])
+        if url and urls.bare(url) != urls.bare(base):
+            links.setdefault(urls.bare(url), words(m[1]))
+    for m in IMAGE.finditer(prose):
+        if url := urls.join(base, m[2]):
+            images.setdefault(url, m[1].strip())
+    listed = [{"i": i, "url": u, "text": t, "context": "", "marginal": False} for i, (u, t) in enumerate(links.items())]
+    return {"title": title or head, "blocks": blocks, "links": listed, "site_links": listed, "images": [{"i": i, "url": u, "alt": t, "caption": ""} for i, (u, t) in enumerate(images.items())]}
+
+
 def words(text: str) -> str:
     """Inline markdown as the words a reader sees."""
     text = re.sub(r"!\[([^\]]*)\]\([^)]*\)", r"\1", text)

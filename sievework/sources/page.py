@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -847,27 +849,72 @@ PAGE = struct(
 )
 
 
-def read_page(html: str, url: str) -> dict:
-    """Everything of PAGE for one page."""
-    root = parse(html)
-    mark(root)
-    page = urls.normal(url or "") or url or ""
-    at = next((n for n in root.find("base") if "href" in n.attrs), None)
-    base = (urls.join(page, at.get("href")) if at is not None else None) or page
-    r = Reader(root, page, base)
-    data = page_data(root)
-    ld = [v for k, v in data if k.startswith("ld:")]
-    body = root.marks["body"]
-    rel = next((u for n in root.find("link", "a") if "next" in (n.get("rel") or "").split() and not n.marks["hidden"] and (u := urls.join(base, n.get("href"))) and urls.bare(u) != urls.bare(page) and same_site(u, page)), None)
-    script = next(root.find("script"), None) is not None
-    seen = (s for n in root.elements() if script and n.tag not in NOT_PROSE and not n.marks["hidden"] and not n.marks["under"] and not any(u.tag in NOT_PROSE for u in n.up()) for s in n.children if isinstance(s, str) and "{" in s)
-    mount = any(n.tag == "noscript" or n.get("id") in ("root", "app", "__next", "__nuxt") or "data-reactroot" in n.attrs or "ng-app" in n.attrs for n in root.elements())
-    return {
-        "title": title(root), "lang": declared_lang(root), "root": r.content.tag, "root_bytes": r.content.marks["size"], "body_bytes": body.marks["size"], "blocks": r.read(), "links": content_links(r), "site_links": site_links(r),
-        "images": images(r, [p for v in ld for p in photos(v)]), "data": [{"name": k, "value": json.dumps(v, ensure_ascii=False)} for k, v in data], "things": [t for v in ld for t in things(v)][:300], "values": [t for v in ld for t in json_ld_values(v)][:40],
-        "alternates": alternates(root, "link", base), "link_languages": alternates(root, "a", base), "rel_next": urls.bare(rel) if rel else None, "forms": forms(root, base), "chosen": chosen(root),
-        "app_shell": script and (len(html.encode()) > 4096 or mount), "placeholders": sum(len(PLACEHOLDER.findall(s)) for s in seen) >= 2,
-    }
+class Page:
+    """A page's parts, each worked out when it is asked for; what several need is worked out once."""
+
+    def __init__(self, html: str, url: str):
+        self.html, self.root = html, parse(html)
+        self.url = urls.normal(url or "") or url or ""
+
+    @cached_property
+    def base(self) -> str:
+        at = next((n for n in self.root.find("base") if "href" in n.attrs), None)
+        return (urls.join(self.url, at.get("href")) if at is not None else None) or self.url
+
+    @cached_property
+    def marked(self) -> Node:
+        mark(self.root)
+        return self.root
+
+    @cached_property
+    def reader(self) -> Reader:
+        return Reader(self.marked, self.url, self.base)
+
+    @cached_property
+    def found(self) -> list[tuple[str, object]]:
+        return page_data(self.root)
+
+    @property
+    def ld(self) -> list[object]:
+        return [v for k, v in self.found if k.startswith("ld:")]
+
+    @cached_property
+    def scripted(self) -> bool:
+        return next(self.root.find("script"), None) is not None
+
+    def rel_next(self) -> str | None:
+        for n in self.marked.find("link", "a"):
+            if "next" in (n.get("rel") or "").split() and not n.marks["hidden"]:
+                u = urls.join(self.base, n.get("href"))
+                if u and urls.bare(u) != urls.bare(self.url) and same_site(u, self.url):
+                    return urls.bare(u)
+        return None
+
+    def app_shell(self) -> bool:
+        return self.scripted and (len(self.html.encode()) > 4096 or any(n.tag == "noscript" or n.get("id") in ("root", "app", "__next", "__nuxt") or "data-reactroot" in n.attrs or "ng-app" in n.attrs for n in self.root.elements()))
+
+    def placeholders(self) -> bool:
+        n = 0
+        for e in self.marked.elements() if self.scripted else ():
+            if e.tag in NOT_PROSE or e.marks["hidden"] or e.marks["under"] or any(u.tag in NOT_PROSE for u in e.up()):
+                continue
+            n += sum(len(PLACEHOLDER.findall(c)) for c in e.children if isinstance(c, str) and "{" in c)
+        return n >= 2
+
+
+PARTS = {
+    "title": lambda p: title(p.root), "lang": lambda p: declared_lang(p.root), "root": lambda p: p.reader.content.tag, "root_bytes": lambda p: p.reader.content.marks["size"], "body_bytes": lambda p: p.marked.marks["body"].marks["size"],
+    "blocks": lambda p: p.reader.read(), "links": lambda p: content_links(p.reader), "site_links": lambda p: site_links(p.reader), "images": lambda p: images(p.reader, [x for v in p.ld for x in photos(v)]),
+    "data": lambda p: [{"name": k, "value": json.dumps(v, ensure_ascii=False)} for k, v in p.found], "things": lambda p: [t for v in p.ld for t in things(v)][:300], "values": lambda p: [t for v in p.ld for t in json_ld_values(v)][:40],
+    "alternates": lambda p: alternates(p.root, "link", p.base), "link_languages": lambda p: alternates(p.root, "a", p.base), "rel_next": lambda p: p.rel_next(), "forms": lambda p: forms(p.marked, p.base), "chosen": lambda p: chosen(p.marked),
+    "app_shell": lambda p: p.app_shell(), "placeholders": lambda p: p.placeholders(),
+}
+
+
+def read_page(html: str, url: str, parts: Iterable[str] | None = None) -> dict:
+    """What ``parts`` names of PAGE, everything without, for one page. Blocks are read before links and images, which look at them."""
+    p = Page(html, url)
+    return {k: f(p) for k, f in PARTS.items() if parts is None or k in parts}
 
 
 def same_site(a: str, b: str) -> bool:
@@ -881,7 +928,14 @@ def same_site(a: str, b: str) -> bool:
 def extract_pages(pages: DataFrame, parts: list[str] | None = None) -> DataFrame:
     """(page_id, url, the fields of PAGE that ``parts`` names) of (page_id, url, html); a null html is an empty page."""
     fields = [f for f in PAGE.fields if parts is None or f.name in parts]
+    wanted = [f.name for f in fields]
+    return by_rows(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html"), fields, lambda url, html: read_page(html or "", url or "", wanted))
+
+
+def by_rows(df: DataFrame, fields: list[T.StructField], read) -> DataFrame:
+    """(page_id, url, ``fields``) of rows (page_id, url, ...): ``read`` gives a dict of the fields for the columns from url on."""
     out = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), *fields])
+    given = df.columns
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -890,16 +944,23 @@ def extract_pages(pages: DataFrame, parts: list[str] | None = None) -> DataFrame
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 b = whole.slice(at, 200)
-                rows = [{"page_id": i, "url": u, **{k: v for k, v in read_page(h or "", u or "").items() if k in schema.names}} for i, u, h in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)]
+                rows = [{"page_id": r[0], "url": r[1], **read(*r[1:])} for r in zip(*(b.column(c).to_pylist() for c in given), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spread(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")).mapInArrow(run, out)
+    return spread(df).mapInArrow(run, out)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where it comes in fewer partitions, as from one small file; a larger input is left as it lies."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` over all cores where its files are fewer than these, as one small file; a larger input is left as it lies."""
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    jvm = spark._jvm
+    conf, at = spark.sparkContext._jsc.hadoopConfiguration(), [jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in at)
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if size < cores * split else df
 
 
 def child(pages: DataFrame, name: str) -> DataFrame:

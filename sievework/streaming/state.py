@@ -14,21 +14,17 @@ TTL = 600
 
 def host_memo(events: DataFrame, key: str = "host", ts: str = "ts", order: str | None = None, ttl: int = TTL) -> DataFrame:
     """Adds ``learned`` and ``news``: an event is news if its key was not learned in the ``ttl`` seconds before; a window
-    counts from the news that opened it and is not extended by what comes in between.
+    counts from the news that opened it and is not extended by what comes in between."""
+    from ..operators.fold import folded
 
-    Where a window opens depends on where the last did, so each key's times are folded as an array.
-    """
-    tie = order or ts
-    keyed = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(tie).alias("o")))).alias("rows"))
-    start = F.array().cast("array<struct<t:{0},o:{1},learned:{0}>>".format(events.schema[ts].dataType.simpleString(), events.schema[tie].dataType.simpleString()))
+    def step(last, us):
+        if last is None or us - last >= ttl * 1_000_000:
+            return us, (us, True)
+        return last, (last, us == last)
 
-    def step(acc, r):
-        last = F.element_at(acc, -1)["learned"]
-        fresh = (F.size(acc) == 0) | (F.unix_micros(r["t"].cast("timestamp")) - F.unix_micros(last.cast("timestamp")) >= ttl * 1_000_000)
-        return F.array_append(acc, F.struct(r["t"].alias("t"), r["o"].alias("o"), F.when(fresh, r["t"]).otherwise(last).alias("learned")))
-
-    folded = keyed.select(key, F.explode(F.aggregate("rows", start, step)).alias("x"))
-    return folded.select(key, F.col("x.t").alias(ts), *([F.col("x.o").alias(tie)] if tie != ts else []), F.col("x.learned").alias("learned"), (F.col("x.t") == F.col("x.learned")).alias("news"))
+    rows = events.where(F.col(ts).isNotNull()).select(key, ts, *([order] if order and order != ts else []))
+    out = folded(rows, key, [ts, *([order] if order else [])], step, "_us bigint, news boolean", us=F.unix_micros(F.col(ts).cast("timestamp")))
+    return out.withColumn("learned", F.timestamp_micros("_us").cast(events.schema[ts].dataType)).drop("_us")
 
 
 def host_memo_stream(events: DataFrame, key: str = "host", ts: str = "ts", ttl: int = TTL) -> DataFrame:
