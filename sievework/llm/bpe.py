@@ -6,9 +6,10 @@ back by position with array gathers. The table of distinct words belongs to a ba
 worker), not to the corpus: a table for the corpus would have to be joined with every occurrence, and shuffling those costs more than
 encoding anew.
 
-Decoding is a join: each distinct sequence of ids is dealt out by position, every id joined with its piece in the table of the
-vocabulary, and the pieces put together in order of position where the sequence lies already. That table is broadcast up to
-MOST_BROADCAST pieces and joined by a shuffle beyond.
+Decoding (:func:`decode`) is a join: each distinct sequence of ids is dealt out by position, every id joined with its piece in the
+table of the vocabulary, and the pieces put together in order of position where the sequence lies already. That table is
+broadcast up to MOST_BROADCAST pieces and joined by a shuffle beyond. The query, which decodes each document that it has just encoded, joins the ids
+of an Arrow batch with the table by position, as the ids of a corpus are too many to shuffle; see README for figures.
 
 Texts that the split can't be trusted with go to the tokenizer whole: those with an added token's string, and those with
 characters that this Java's Unicode tables don't know.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, text_of, written
+from .common import documents, text_of
 
 #: The tokenizer's split, in Java's syntax, for Unicode classes. Fixed value of the vocabulary's format.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -118,8 +119,8 @@ def split(docs: DataFrame, path: str) -> DataFrame:
     return docs.withColumn(TEXT, F.when(hard, t)).withColumn(WORDS, F.when(~hard, F.regexp_extract_all(t, F.lit(PATTERN), 0)))
 
 
-def encoded(docs: DataFrame, per_row, fields: str, path: str | None = None, carry=("doc_id",)) -> DataFrame:
-    """``carry`` and the ``fields`` that ``per_row(ids)`` gives as a tuple for each row's ids (an array of unsigned 32-bit numbers)."""
+def encoded(docs: DataFrame, per_batch, fields: str, path: str | None = None, carry=("doc_id",)) -> DataFrame:
+    """``carry`` and the ``fields`` that ``per_batch(ids)`` gives as a tuple for each row's ids (arrays of unsigned 32-bit numbers)."""
     path = path or vocabulary_path()
     d = split(docs, path).select(*[F.col(f"`{c}`") for c in carry], TEXT, WORDS)
     kept = docs.select(*[F.col(f"`{c}`") for c in carry]).schema
@@ -135,10 +136,8 @@ def encoded(docs: DataFrame, per_row, fields: str, path: str | None = None, carr
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 b = whole.slice(at, BATCH_ROWS)
                 ids, row = table.batch(b.column(WORDS))
-                out = []
-                for i, text in enumerate(b.column(TEXT).to_pylist()):
-                    own = ids[row[i] : row[i + 1]] if text is None else np.array(table.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                    out.append(per_row(own))
+                whole_texts = b.column(TEXT).to_pylist()
+                out = per_batch([ids[row[i] : row[i + 1]] if t is None else np.array(table.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for i, t in enumerate(whole_texts)])
                 cols = [pa.array([r[k] for r in out], schema.field(n).type) for k, n in enumerate(names)]
                 yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(carry))], *cols], names=[*carry, *names])
 
@@ -148,7 +147,7 @@ def encoded(docs: DataFrame, per_row, fields: str, path: str | None = None, carr
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """All columns of ``docs`` and ``token_ids``, an array of integers, in place of a column of that name."""
     keep = [c for c in docs.columns if c.lower() != "token_ids"]
-    return encoded(docs, lambda ids: (ids.astype(np.int32),), "token_ids array<int>", path, keep)
+    return encoded(docs, lambda rows: [(ids.astype(np.int32),) for ids in rows], "token_ids array<int>", path, keep)
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -177,17 +176,20 @@ def decode(rows: DataFrame, ids_col: str = "token_ids", path: str | None = None)
     return d.select("row.*", F.when(F.col("ids").isNotNull(), F.coalesce("decoded", F.lit(""))).alias("decoded"))
 
 
-def digests(ids: np.ndarray) -> tuple[int, str, np.ndarray]:
-    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), ids.astype(np.int32)
-
-
 def digest_columns(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row."""
     path = path or vocabulary_path()
-    folder = shared_dir(docs.sparkSession)
-    d = written(encoded(docs.select("doc_id", "text"), digests, "n_tokens bigint, ids_sha256 string, ids array<int>", path), folder, "ids")
-    texts = texts_of(d.select(F.col("ids_sha256").alias("key"), "ids"), path).select(F.col("key").alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("digest"))
-    return d.join(texts, "ids_sha256", "left").select("doc_id", "n_tokens", "ids_sha256", F.coalesce("digest", F.sha2(F.lit(b""), 256)).alias("decoded_sha256"))
+
+    def digests(rows: list[np.ndarray]):
+        table = pa.array(pieces(path), pa.large_binary())
+        joined = table.take(pa.array(np.concatenate([*rows, np.zeros(0, np.uint32)])))  # id -> piece, in order of position
+        _, offsets, data = joined.buffers()
+        at = np.frombuffer(offsets, np.int64)[np.cumsum([0, *map(len, rows)])].tolist()
+        raw = memoryview(data) if data else b""
+        texts = [str(raw[a:z], "utf-8", "replace") for a, z in zip(at, at[1:], strict=False)]
+        return [(len(r), hashlib.sha256(r.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for r, t in zip(rows, texts, strict=True)]
+
+    return encoded(docs.select("doc_id", "text"), digests, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
