@@ -36,8 +36,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, a row for each copy that their source's target asks for. Texts without words are taken 0
-    times; rows without a source are one source."""
+    """Documents in training order, a row for each copy that their source's target asks for. Texts without words add nothing to it
+    and stand as often as all their source does; rows without a source are one source."""
     return mixing.mixed_documents(docs)
 
 
