@@ -8,8 +8,9 @@ A source's stream is all its documents in the order of a hash of their ids, repe
 last document of the stream is cut at the target. Running sums over a source are made in two steps, within ranges of the
 hash and over the ranges, so that a source with a large share of the rows is summed by many tasks.
 
-Edge cases: a null or empty text has size 0 and is taken 0 times; null sources are one source, the last in order; null
-ids are allowed; rows with equal ids are separate documents; an empty table gives an empty result; extra columns stay out
+Edge cases: a null or empty text has size 0 and 0 words of it are taken, in as many copies as all its source has; null sources are one source, the last in order; null
+ids are allowed; rows with equal ids are separate documents; an empty table gives an empty result; a very long text is one row, whose words
+one task counts; extra columns stay out
 of the way of computed ones in :func:`mix` and are carried by :func:`mixed_documents`.
 """
 
@@ -75,7 +76,8 @@ def order_hash(seed: int) -> Column:
 def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS, schedules=SCHEDULES, seed: int = 11, carry: dict[str, Column] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, taken, copies, and position (null if none is taken).
 
-    copies counts how often the whole document stands in the mix, the cut copy being one if half of it is taken.
+    copies counts how often the whole document stands in the mix, the cut copy being one if half of it is taken; position
+    is the first copy's, last_position the last one's (null without copies).
     """
     more = carry or {}
     d = docs.select("doc_id", "source", F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"), F.size(words_of(text_of())).cast("long").alias("size"), order_hash(seed).alias("h"), *[c.alias(k) for k, c in more.items()])
@@ -96,9 +98,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS, schedules=
     d = d.withColumn("rest", F.least(F.col("size"), F.greatest(F.lit(0), rest)))
     taken = F.col("whole") * F.col("size") + F.col("rest")
     at = position(F.col("k"), F.col("a") / F.nullif(F.col("target"), F.lit(0.0)), schedules)
-    return d.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
-                    (F.col("whole") + F.when((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size")), 1).otherwise(0)).cast("int").alias("copies"),
-                    F.when(taken > 0, at).alias("position"), "k", F.col("a"), *more)
+    d = d.withColumn("copies", (F.col("whole") + F.when((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size")), 1).otherwise(0)).cast("int"))
+    return d.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", F.when(taken > 0, at).alias("position"),
+                    F.when(F.col("copies") > 0, copy_position(F.col("copies") - 1, schedules)).alias("last_position"), "k", "a", *more)
+
+
+def copy_position(copy: Column, schedules=SCHEDULES) -> Column:
+    """Where copy 0, 1, ... of a document stands, over k, a, source_size and target."""
+    return position(F.col("k"), (F.col("a") + copy * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0)), schedules)
 
 
 def ordered(mixed: DataFrame) -> DataFrame:
@@ -111,10 +118,9 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     m = mix(docs, carry={"row": row}, **how).where("copies > 0")
     again = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
-    m = m.select("row", "doc_id", "source_size", "target", "k", "a", again)
-    m = m.withColumn("position", position(F.col("k"), (F.col("a") + F.col("copy") * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0))))
+    m = m.select("row", "doc_id", "source_size", "target", "k", "a", again).withColumn("position", copy_position(F.col("copy")))
     return m.repartitionByRange("position", F.xxhash64("doc_id")).sortWithinPartitions("position", "doc_id").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return ordered(mix(documents(spark, sf_dir))).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 6).alias("position"))
+    return ordered(mix(documents(spark, sf_dir))).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "copies", F.round("position", 6).alias("position"), F.round("last_position", 6).alias("last_position"))

@@ -1,7 +1,13 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express, over the same tables."""
 
+def reached(share: str) -> str:
+    """The time at which a source's schedule has used this share of its words, by the source's weight."""
+    return f"""CASE WHEN weight = 5 THEN 1.5 - sqrt(2.25 - 2 * {share}) WHEN weight = 2 THEN {share}
+    WHEN {share} < 0.3125 THEN 0.5 * (sqrt(0.0625 + 1.5 * {share} / 0.5) - 0.25) / 0.75 ELSE 0.5 + 0.5 * (sqrt(1 + 1.5 * ({share} - 0.3125) / 0.5) - 1) / 0.75 END"""
+
+
 #: Filling is written as its fixed point: a source is full if its size per weight is below the level of the others.
-MIXING = """
+MIXING = f"""
 WITH sized AS (
   SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
 named AS (
@@ -17,12 +23,12 @@ placed AS (
   SELECT s.doc_id, s.size, g.source_size, g.target, weight, floor(g.target)::BIGINT AS words, CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END::BIGINT AS whole,
     sum(s.size) OVER (PARTITION BY s.source ORDER BY ('0x' || substr(md5('11:' || coalesce(s.doc_id::VARCHAR, '')), 1, 15))::BIGINT, s.doc_id NULLS FIRST, s.size ROWS UNBOUNDED PRECEDING) - s.size AS a
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
+cut AS (SELECT *, least(size, greatest(0, words - whole * source_size - a)) AS rest FROM placed),
 filled AS (
-  SELECT doc_id, size, source_size, target, weight, a / target AS share, (whole * size + least(size, greatest(0, words - whole * source_size - a)))::BIGINT AS taken FROM placed)
-SELECT doc_id, size, source_size, round(target, 6) AS target, taken,
-  CASE WHEN taken > 0 THEN round(CASE WHEN weight = 5 THEN 1.5 - sqrt(2.25 - 2 * share) WHEN weight = 2 THEN share
-    WHEN share < 0.3125 THEN 0.5 * (sqrt(0.0625 + 1.5 * share / 0.5) - 0.25) / 0.75 ELSE 0.5 + 0.5 * (sqrt(1 + 1.5 * (share - 0.3125) / 0.5) - 1) / 0.75 END, 6) END AS position
-FROM filled
+  SELECT doc_id, size, source_size, target, weight, a / target AS share, (whole * size + rest)::BIGINT AS taken, (whole + (rest > 0 AND 2 * rest >= size)::INT)::INT AS copies, a FROM cut),
+ends AS (SELECT *, (a + (copies - 1) * source_size) / target AS last FROM filled)
+SELECT doc_id, size, source_size, round(target, 6) AS target, taken, copies, CASE WHEN taken > 0 THEN round({reached("share")}, 6) END AS position,
+  CASE WHEN copies > 0 THEN round({reached("last")}, 6) END AS last_position FROM ends
 """
 
 QUALITY_RULES = """

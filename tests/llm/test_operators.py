@@ -299,6 +299,7 @@ def test_mixing(docs):
         assert rs[0]["target"] == pytest.approx(target[s]) and abs(sum(r["taken"] for r in rs) - target[s]) <= 1
         assert all(r["taken"] <= 3 * r["size"] and (r["position"] is None) == (r["taken"] == 0) for r in rs)
         assert all(0 <= r["position"] <= 1 for r in rs if r["position"] is not None)
+        assert all((r["last_position"] is None) == (r["copies"] == 0) and (not r["taken"] or r["copies"] != 1 or r["last_position"] == r["position"]) and (not r["taken"] or r["copies"] < 2 or r["last_position"] > r["position"]) for r in rs)
     again = mixing.mix(docs.repartition(2), range_rows=1000).collect()
     assert {(r["doc_id"], r["taken"], r["position"]) for r in m} == {(r["doc_id"], r["taken"], r["position"]) for r in again}
 
@@ -667,6 +668,21 @@ def test_pooling_is_monotone():
     assert (np.diff(value) > 0).all() and (np.diff(at) > 0).all() and value[0] == 0
 
 
+def test_written_tables_are_released(spark):
+    import os
+
+    from sievework.llm import common
+
+    folder = common.shared_dir(spark)
+    assert common.written(spark.range(3), folder, "t").count() == 3 and os.path.isdir(folder.removeprefix("file://"))
+    common.discard(spark, f"{folder}/t")
+    assert not os.path.exists(f"{folder}/t".removeprefix("file://"))
+    own, common._folders[:] = common._folders[:-1], common._folders[-1:]
+    common.release(spark)
+    assert not os.path.exists(folder.removeprefix("file://")) and not common._folders
+    common._folders[:] = own
+
+
 def test_word_hashes():
     texts = [b" ab  cd\n", b"", b"ab", "é \x1c".encode(), b"AB"]
     h, first, after, at = word_hashes.words(texts)
