@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import languages, urls
@@ -29,7 +29,8 @@ def dressed(spark, sf: str, head=None, article=None, foot=None) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", "url", html.alias("html"))
 
 
-ID = F.col("page_id").cast("string")
+def number() -> Column:
+    return F.col("page_id").cast("string")
 
 
 # Pages with more in them
@@ -37,14 +38,14 @@ ID = F.col("page_id").cast("string")
 
 @query(f"SELECT page_id, 0 AS i, {SITE_SQL} || '/i/' || page_id || '.jpg' AS url, 'picture ' || page_id AS alt, CASE WHEN page_id % 2 = 0 THEN 640 END AS width FROM pages")
 def page_images(spark, sf):
-    img = F.concat(F.lit('<p><img src="/i/'), ID, F.lit('.jpg" alt="picture '), ID, F.lit('"'), F.when(F.col("page_id") % 2 == 0, F.lit(" width=640")).otherwise(""), F.lit("></p>"))
+    img = F.concat(F.lit('<p><img src="/i/'), number(), F.lit('.jpg" alt="picture '), number(), F.lit('"'), F.when(F.col("page_id") % 2 == 0, F.lit(" width=640")).otherwise(""), F.lit("></p>"))
     return child(extract_pages(dressed(spark, sf, article=img), ["images"]), "images").select("page_id", "i", "url", "alt", "width")
 
 
 def with_data(spark, sf: str) -> DataFrame:
     """Pages with a list of page_id % 5 + 1 things in a script, and the next batch's address where page_id % 3 > 0."""
     things = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("page_id") % 5), lambda k: F.struct(k.alias("id"), F.concat(F.lit("thing "), k.cast("string")).alias("name"), F.lit(1.5).alias("price")))
-    next_ = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("/list?batch="), ID))
+    next_ = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("/list?batch="), number()))
     json = F.to_json(F.struct(things.alias("items"), F.struct(F.struct(next_.alias("href")).alias("next")).alias("paging")))
     return dressed(spark, sf, foot=F.concat(F.lit('<script type="application/json" id="S">'), json, F.lit("</script>")))
 
@@ -88,14 +89,14 @@ def page_data_things(spark, sf):
 
 @query("SELECT page_id, 'x = ' || page_id || chr(10) || 'print(x)' AS text FROM pages WHERE page_id % 2 = 1")
 def code_blocks(spark, sf):
-    code = F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("<pre><code>x = "), ID, F.lit("\nprint(x)</code></pre>"))).otherwise("<pre> </pre>")
+    code = F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("<pre><code>x = "), number(), F.lit("\nprint(x)</code></pre>"))).otherwise("<pre> </pre>")
     return select.candidates(child(extract_pages(dressed(spark, sf, article=code), ["blocks"]), "blocks"), code=True).select("page_id", "text")
 
 
 @query(f"SELECT page_id, {SITE_SQL} || '/find/' || page_id AS url FROM pages WHERE page_id % 3 > 0")
 def site_search_links(spark, sf):
     word = F.when(F.col("page_id") % 3 == 1, "Suche").when(F.col("page_id") % 3 == 2, "Advanced search").otherwise("research")
-    link = F.concat(F.lit('<nav><a href="/find/'), ID, F.lit('">'), word, F.lit("</a></nav>"))
+    link = F.concat(F.lit('<nav><a href="/find/'), number(), F.lit('">'), word, F.lit("</a></nav>"))
     return listing.search_links(child(extract_pages(dressed(spark, sf, foot=link), ["site_links"]), "site_links"), "page_id").select("page_id", "url")
 
 
@@ -103,7 +104,7 @@ def site_search_links(spark, sf):
 SELECT page_id, 'opensearch' AS kind, {SITE_SQL} || '/os/' || page_id || '.xml' AS template FROM pages WHERE page_id % 3 = 1
 UNION ALL SELECT page_id, 'wordpress', {SITE_SQL} || '/wp-json/wp/v2/search?search=which+thing&per_page=10' FROM pages WHERE page_id % 3 = 2""")
 def declared_searches(spark, sf):
-    head = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit('<link rel="search" type="application/opensearchdescription+xml" href="/os/'), ID, F.lit('.xml">'))).when(F.col("page_id") % 3 == 2, '<link rel="https://api.w.org/" href="/wp-json/">').otherwise("")
+    head = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit('<link rel="search" type="application/opensearchdescription+xml" href="/os/'), number(), F.lit('.xml">'))).when(F.col("page_id") % 3 == 2, '<link rel="https://api.w.org/" href="/wp-json/">').otherwise("")
     return listing.declared_searches(dressed(spark, sf, head=head)).withColumn("template", listing.filled(F.col("template"), F.lit("which thing")))
 
 
@@ -115,8 +116,8 @@ SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'html' WHEN 1 THEN 'feed' WHEN 2 TH
   CASE page_id % 7 WHEN 0 THEN trim(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')) WHEN 1 THEN 'Feed ' || page_id WHEN 2 THEN 'Page ' || page_id WHEN 4 THEN 'é' END AS title FROM pages""")
 def read_responses(spark, sf):
     k = F.col("page_id") % 7
-    feed = F.concat(F.lit("<rss><channel><title>Feed "), ID, F.lit("</title><item><title>One</title><link>http://h/1</link></item></channel></rss>"))
-    body = F.when(k.isin(0, 5), F.encode("html", "UTF-8")).when(k == 1, F.encode(feed, "UTF-8")).when(k == 2, F.encode(F.concat(F.lit("# Page "), ID, F.lit("\n\ntext")), "UTF-8")).when(k == 3, F.encode(F.concat(F.lit('{"a":['), ID, F.lit("]}")), "UTF-8"))
+    feed = F.concat(F.lit("<rss><channel><title>Feed "), number(), F.lit("</title><item><title>One</title><link>http://h/1</link></item></channel></rss>"))
+    body = F.when(k.isin(0, 5), F.encode("html", "UTF-8")).when(k == 1, F.encode(feed, "UTF-8")).when(k == 2, F.encode(F.concat(F.lit("# Page "), number(), F.lit("\n\ntext")), "UTF-8")).when(k == 3, F.encode(F.concat(F.lit('{"a":['), number(), F.lit("]}")), "UTF-8"))
     body = body.when(k == 4, F.lit(b"<title>\xe9</title>")).otherwise(F.encode(F.repeat(F.lit("x"), 40_000), "UTF-8"))
     kind = F.when(k == 2, "text/markdown").when(k == 4, "text/html; charset=latin1")
     r = table(spark, sf, "pages").select("page_id", "url", F.when(k == 5, 404).otherwise(200).alias("status"), kind.alias("content_type"), body.alias("body"))
@@ -160,7 +161,7 @@ SELECT host, i, url, 'page ' || page_id AS text FROM f""")
 def search_result_links(spark, sf):
     from .more_queries import files_of_hosts
 
-    thing = F.concat(F.when(F.col("page_id") == F.first("page_id").over(by_host()), F.lit("")).otherwise(","), F.to_json(F.struct("url", F.to_json(F.struct(F.concat(F.lit("page "), ID).alias("rendered"))).alias("title"))))
+    thing = F.concat(F.when(F.col("page_id") == F.first("page_id").over(by_host()), F.lit("")).otherwise(","), F.to_json(F.struct("url", F.to_json(F.struct(F.concat(F.lit("page "), number()).alias("rendered"))).alias("title"))))
     files = files_of_hosts(spark, sf, thing, "[", "]")
     return listing.search_results(files.select(F.col("host").alias("page_id"), "body")).select(F.col("page_id").alias("host"), "i", "url", "text")
 
@@ -338,7 +339,7 @@ def lists_read_on(spark, sf):
     from .queries import ensure_checkpoints
 
     ensure_checkpoints(spark)
-    p = table(spark, sf, "pages").select("page_id", F.concat(F.lit("p"), ID).alias("page"))
+    p = table(spark, sf, "pages").select("page_id", F.concat(F.lit("p"), number()).alias("page"))
     data = F.col("page_id") % 4 == 3
     nexts = p.select("page", F.lit(0).alias("place"), F.concat(F.lit("p"), (F.col("page_id") + 1).cast("string")).alias("next"), F.when(data, paging.DATA).otherwise(paging.LINKED).alias("kind")).where("page_id % 9 > 0")
     items = p.select("page", F.concat(F.lit("item "), (F.col("page_id") % 50).cast("string")).alias("item"))

@@ -1,5 +1,6 @@
 import gzip
 import json
+import os
 import random
 
 import pytest
@@ -20,6 +21,15 @@ def one(spark, value, f):
     return spark.createDataFrame([(value,)], "v string").select(f(F.col("v"))).first()[0]
 
 
+def test_the_entry_needs_no_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 100)"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "True", out.stderr
+
+
 # Languages
 
 
