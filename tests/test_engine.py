@@ -53,6 +53,23 @@ def test_locales_of_files(spark):
     assert [r[0] for r in d.select(languages.market_rank(F.col("l"), "AW", ["nl"])).collect()] == [0, 2, 2, 2]
 
 
+def test_addresses_of_other_countries(spark):
+    d = spark.createDataFrame([("http://h/en-gb/x",), ("http://h/fr/x",), ("http://h/sv/x",), ("http://h/x",), ("http://h/fr-fr/",), ("http://h/ch/fr/",)], "u string")
+    assert [r[0] for r in d.select(site.declares_other_country(F.col("u"), "FR", "fr")).collect()] == [True, False, True, False, False, True]
+
+
+def test_fields_that_are_remembered(spark):
+    l = spark.createDataFrame([(1, "http://h/a/#x", 0.5), (1, "http://h/b", 0.5), (2, "http://h/a", 0.5)], "s int, url string, p double")
+    m = spark.createDataFrame([(1, "http://h/a", 0.2), (1, "http://h/a", 0.8)], "s int, key string, f double")
+    assert rows(links.field_scored(l, m, "s"), "s", "p") == [(1, 0.5), (1, pytest.approx(0.62)), (2, 0.5)]
+
+
+def test_replies_of_the_service(spark):
+    body = json.dumps({"answers": {"a": {"noul": 0.7}, "b": {"choice": "x", "confidence": 0.6, "probabilities": {"x": 0.6, "y": 0.4}}}, "usage": {"input_tokens": 12}})
+    got = scoring.answers_of(spark.createDataFrame([(1, body), (2, "no"), (3, None), (4, "{}")], "r int, body string"), "r").orderBy("id").collect()
+    assert [(x["r"], x["id"], x["noul"], x["choice"], x["probabilities"], x["tokens"]) for x in got] == [(1, "a", 0.7, None, None, 12), (1, "b", None, "x", {"x": 0.6, "y": 0.4}, 12)]
+
+
 def test_relations_markets_and_places(spark):
     d = spark.createDataFrame([("nl-be",), ("nl",), ("nl-nl",), ("fr-be",), (None,)], "t string")
     t = F.col("t")
