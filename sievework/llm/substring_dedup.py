@@ -44,7 +44,7 @@ from .word_hashes import U, blocks, mixed, powers, windows, words
 WINDOW, GRAM = 20, 6
 SHARD, HOT = 1_000_000, 40_000
 #: Words that stream in one piece, with WINDOW - 1 more.
-PIECE = 256
+PIECE = 64
 #: Ids from here up to -2 ** 62 stand for rows without one.
 NO_ID = -(1 << 63)
 
