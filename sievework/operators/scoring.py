@@ -49,8 +49,8 @@ ANSWER = "struct<noul:double,choice:string,confidence:double,probabilities:map<s
 def answers_of(replies: DataFrame, by) -> DataFrame:
     """(by, id, noul, choice, confidence, probabilities, tokens) of replies (by, body) as the model's service writes them; a reply that is no JSON gives no rows."""
     reply = F.from_json("body", f"struct<answers:map<string,{ANSWER}>,usage:struct<input_tokens:bigint>>")
-    d = replies.select(*names(by), reply.alias("r")).select(*names(by), F.col("r.usage.input_tokens").alias("tokens"), F.explode("r.answers").alias("id", "a"))
-    return d.select(*names(by), "id", "a.noul", "a.choice", "a.confidence", "a.probabilities", "tokens")
+    d = replies.select(*names(by), reply.alias("_reply")).select(*names(by), F.col("_reply.usage.input_tokens").alias("tokens"), F.explode("_reply.answers").alias("id", "_a"))
+    return d.select(*names(by), "id", "_a.noul", "_a.choice", "_a.confidence", "_a.probabilities", "tokens")
 
 
 #: Answers of the model's service that are asked for again, how often at most, and the wait before it in seconds:
