@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -36,11 +37,13 @@ from .common import documents, text_of
 #: The tokenizer's split, in Java's syntax, for Unicode classes. Fixed value of the vocabulary's format.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED_WORDS = 200_000
+#: Words whose encodings exist at once.
+ENCODED_WORDS = 8192
 #: Pieces that a table has at most to be broadcast; at some 40 bytes each in memory, 20 MB.
 MOST_BROADCAST = 500_000
 #: Columns in flight, by names that no table has.
 TEXT, WORDS = "__sievework_text", "__sievework_words"
-BATCH_ROWS = 500
+BATCH_ROWS = 200
 
 
 def vocabulary_path() -> str:
@@ -92,8 +95,10 @@ class Words:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         known = self.known
-        if new := [w for w in words if w not in known]:
-            known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+        new = [w for w in words if w not in known]
+        for at in range(0, len(new), ENCODED_WORDS):  # an encoding holds far more than its ids
+            part = new[at : at + ENCODED_WORDS]
+            known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
         return [known[w] for w in words]
 
     def batch(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,9 +149,10 @@ def encoded(docs: DataFrame, per_batch, fields: str, path: str | None = None, ca
     return d.mapInArrow(run, type(kept)(kept.fields + added.fields))
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """All columns of ``docs`` and ``token_ids``, an array of integers, in place of a column of that name."""
-    keep = [c for c in docs.columns if c.lower() != "token_ids"]
+def encode(docs: DataFrame, path: str | None = None, carry: Sequence[str] | None = None) -> DataFrame:
+    """The columns of ``docs`` that ``carry`` names, all without, and ``token_ids``, an array of integers, in place of a column of that
+    name. A text that is not carried goes to the workers as its words only."""
+    keep = [c for c in (docs.columns if carry is None else carry) if c.lower() != "token_ids"]
     return encoded(docs, lambda rows: [(ids.astype(np.int32),) for ids in rows], "token_ids array<int>", path, keep)
 
 
