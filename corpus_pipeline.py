@@ -44,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, position, n_tokens and token_ids of each row. Rows sorted by position are in training order: it is
     the row's place in the files of the stage before, which that stage wrote in order. Null and empty texts have no tokens."""
-    out = bpe.encode(in_order(docs))
+    out = bpe.encode(in_order(docs), carry=("doc_id", "lang", "source", POSITION))
     return out.select("doc_id", "lang", "source", POSITION, F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids").withColumnRenamed(POSITION, "position")
 
 
