@@ -16,12 +16,15 @@ def ordered_list(df: DataFrame, by, order: str, **fields: Column) -> DataFrame:
 
 
 def excerpt(df: DataFrame, by, order: str = "i", text: str = "text", chars: int = 800) -> DataFrame:
-    """The first ``chars`` characters of a group's texts, a line each. Rows beyond them are dropped before texts are put together."""
+    """The first ``chars`` characters of a group's texts, a line each; null texts have no line, and a group of these alone no excerpt. Rows
+    beyond them are dropped before texts are put together; one that begins right behind them still gives the line break before it."""
     keys = names(by)
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.coalesce(F.char_length(text) + 1, F.lit(0))).over(w), F.lit(0))
-    near = df.select(*keys, order, F.left(F.col(text), F.lit(chars)).alias("_t"), before.alias("_before")).where(F.col("_before") < chars)
-    return ordered_list(near, keys, order, t=F.col("_t")).select(*keys, F.left(F.concat_ws("\n", F.transform("rows", lambda r: r["t"])), F.lit(chars)).alias("excerpt"))
+    near = df.select(*keys, F.left(F.col(text), F.lit(chars)).alias("_t"), before.alias("_before")).where(F.col("_before") <= chars)
+    rows = F.sort_array(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_before", "_t"))))  # each text adds to what is before the next
+    whole = F.concat_ws("\n", F.transform("rows", lambda r: r["_t"]))
+    return near.groupBy(*keys).agg(rows.alias("rows")).select(*keys, F.when(F.size("rows") > 0, F.left(whole, F.lit(chars))).alias("excerpt"))
 
 
 def lines(df: DataFrame, text: str = "text", chars: int = 1200, keep=("doc_id",)) -> DataFrame:

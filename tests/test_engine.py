@@ -145,6 +145,12 @@ def test_excerpts_need_only_the_first_rows(spark):
     assert len(got) == 2 and all(len(x) == 50 and x.replace("\n", "") == full.replace("\n", "")[: len(x.replace("\n", ""))] for x in got)
 
 
+def test_an_excerpt_may_end_with_the_line_break_before_the_next_text(spark):
+    texts = [(1, 1, "c" * 9), (1, 0, "ab"), (2, 0, "ab"), (2, 1, None), (3, 0, "ab"), (3, 1, ""), (3, None, "z"), (4, 0, None), (5, 0, "abc"), (5, 1, "d")]
+    df = spark.createDataFrame([(g, i, t) for g, i, t in texts], "g int, i int, text string")
+    assert rows(text.excerpt(df, "g", chars=3), "g", "excerpt") == [(1, "ab\n"), (2, "ab"), (3, "ab\n"), (4, None), (5, "abc")]
+
+
 def test_spearman(spark):
     a = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate([1, 2, 3, 3])] + [(2, 0, 1.0), (2, 1, 1.0)], "g int, k int, p double")
     b = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate([4, 3, 2, 1, 9])] + [(2, 0, 1.0), (2, 1, 2.0)], "g int, k int, p double")
