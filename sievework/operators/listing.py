@@ -22,10 +22,11 @@ MOST_KINDS, LEAST_SHOWN, PER_PAGE, EVENTS_PER_PAGE = 8, 3, 100, 50
 SEARCH_WORDS = ("search", "buscar", "buscador", "búsqueda", "busqueda", "cerca", "ricerca", "recherche", "rechercher", "suche", "suchen", "pesquisa", "pesquisar", "zoeken", "cercar", "bilatu")
 
 
-def small_files(responses: DataFrame, most: int = 5_000_000) -> DataFrame:
-    """Responses that can be a site's file: answered, small, and no HTML page unless a sitemap was asked for."""
+def small_files(responses: DataFrame, most: int | None = 5_000_000) -> DataFrame:
+    """Responses that can be a site's file: answered, small (of any size without ``most``), and no HTML page unless a sitemap was asked for."""
     page = F.lower(F.ltrim("body")).rlike("^<(!doctype html|html)")
-    return responses.where((F.col("status") == 200) & (F.octet_length("body") <= most) & (~page | F.col("url").rlike(r"(?i)sitemap")))
+    small = F.lit(True) if most is None else F.octet_length("body") <= most
+    return responses.where((F.col("status") == 200) & small & (~page | F.col("url").rlike(r"(?i)sitemap")))
 
 
 def site_listing(sources: list[DataFrame], by, cap: int = 300) -> DataFrame:
@@ -47,14 +48,15 @@ def listed_in_markdown(files: DataFrame, by) -> DataFrame:
     return d.select(*keys, "i", join(F.concat("_file", F.lit("\n"), "x.url")).alias("url"), "x.text").where("url IS NOT NULL")
 
 
-def site_files(responses: DataFrame, by, rank=None, cap: int = 300) -> DataFrame:
+def site_files(responses: DataFrame, by, rank=None, cap: int | None = 300, most: int | None = 5_000_000) -> DataFrame:
     """(by, url, text, hreflang, place): what the small files of sites list, of responses (by, url, status, body): llms.txt first, then the
     pages of sitemaps, shallow and short addresses first; an index is read through three of its children, which have to be among the
-    responses, by ``rank`` (an expression over ``loc``), then the newest. A page key stands once."""
+    responses, by ``rank`` (an expression over ``loc``), then the newest. A page key stands once. A site keeps ``cap`` pages, and files of
+    more than ``most`` bytes are not read; None is no limit."""
     from .site import index_children, lastmod_seconds, sitemap_index, sitemap_urls
 
     keys = names(by)
-    files = small_files(responses)
+    files = small_files(responses, most)
     llms = listed_in_markdown(files.where(urls.path(F.col("url")) == "/llms.txt"), keys)
     xml = files.where(F.col("body").rlike("<(urlset|sitemapindex)")).withColumn("sitemap", F.struct(*keys, "url")).withColumnRenamed("body", "xml")
     parts = sitemap_index(xml.where(F.col("xml").contains("<sitemapindex")))

@@ -12,11 +12,12 @@ def names(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def first_of(df: DataFrame, by, order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:
-    """The first ``n`` rows of each group in ``order``; with ``rank``, their number as a column."""
+def first_of(df: DataFrame, by, order: Sequence[Column], n: int | None = 1, rank: str | None = None) -> DataFrame:
+    """The first ``n`` rows of each group in ``order``, all without ``n``; with ``rank``, their number as a column."""
     w = Window.partitionBy(*names(by)).orderBy(*order)
     col = rank or "_rank"
-    out = df.withColumn(col, F.row_number().over(w)).where(F.col(col) <= n)
+    out = df.withColumn(col, F.row_number().over(w))
+    out = out if n is None else out.where(F.col(col) <= n)
     return out if rank else out.drop(col)
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from sievework.functions import languages, registry, urls
 from sievework.operators import answers, fold, images, links, listing, metrics, paging, scoring, search, select, site, spans, text
-from sievework.plans import api
-from sievework.plans.queries import ensure_checkpoints
+from sievework.plans import api, derived_queries  # noqa: F401  it registers its queries
+from sievework.plans.queries import QUERIES, ensure_checkpoints
 from sievework.sources import responses
 
 
@@ -337,6 +337,15 @@ def test_files_of_a_site_and_of_linked_hosts(spark):
     assert {x["url"] for x in got.collect()} == {"http://d.moor.co.uk/a/b/c", *(f"http://d.moor.co.uk/page{k}" for k in (2, 3, 4))}
 
 
+def test_files_of_a_large_site_are_read_whole(spark, tmp_path):
+    k = (F.col("id") % 2400).cast("string")
+    spark.range(2500).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.org/p"), k).alias("url")).write.parquet(f"{tmp_path}/pages.parquet")
+    assert rows(QUERIES["site_file_links"](spark, str(tmp_path)), "host", "n", "llms") == [("h.org", 2400, 1200)]
+    long = "".join(f"- [a](http://h.org/{i})\n" for i in range(400))
+    r = spark.createDataFrame([("h.org", "http://h.org/llms.txt", 200, long)], "host string, url string, status int, body string")
+    assert [listing.site_files(r, "host", cap=c, most=m).count() for c, m in ((300, None), (None, None), (None, 1000))] == [300, 400, 0]
+
+
 # Answers
 
 
